@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Summation order moves a value by about 1e-16 of itself; this keeps exact halves on one side of the rounding.
-_NUDGE = 1.0000000000001
+# Summation order moves values by far less than this; it keeps exact halves on one side of the rounding.
+_NUDGE = 1e-9
+_DIGITS = {"f": 6, "g": 3}
 _SPARK = {"l": "bigint", "i": "int", "s": "string", "d": "date"}
 _DUCK = {"l": "BIGINT", "i": "INTEGER", "s": "VARCHAR", "d": "DATE"}
 
@@ -25,15 +26,15 @@ def _fields(spec: str) -> list[tuple[str, str]]:
 
 
 def _spark_column(name: str, kind: str) -> Column:
-    if kind in ("f", "g"):
-        value = F.round(F.col(name).cast("double") * _NUDGE, 6 if kind == "f" else 3)
+    if kind in _DIGITS:
+        value = F.round(F.col(name).cast("double") + _NUDGE, _DIGITS[kind])
         return F.when(value == 0, F.lit(0.0)).otherwise(value).alias(name)
     return F.col(name).cast(_SPARK[kind]).alias(name)
 
 
 def _duck_column(name: str, kind: str) -> str:
-    if kind in ("f", "g"):
-        value = f"round(CAST({name} AS DOUBLE) * CAST({_NUDGE!r} AS DOUBLE), {6 if kind == 'f' else 3})"
+    if kind in _DIGITS:
+        value = f"round(CAST({name} AS DOUBLE) + CAST({_NUDGE} AS DOUBLE), {_DIGITS[kind]})"
         return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS {name}"
     return f"CAST({name} AS {_DUCK[kind]}) AS {name}"
 

@@ -55,7 +55,7 @@ tg AS (SELECT user_id, day, hit, lag(hit) OVER w AS h1, lag(hit, 2) OVER w AS h2
 mt AS (SELECT user_id, day, count(*) FILTER (h1 = 0 AND h2 = 0) AS k, count(*) FILTER (h1 = 0 AND h2 = 0 AND hit = 1) AS b FROM tg GROUP BY 1, 2),
 ck AS (SELECT user_id, day, dn, avg(hit) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY dn DESC, half DESC) AS k
   FROM gp WHERE clu = 1) WHERE k <= 5 GROUP BY 1, 2, 3),
-cm AS (SELECT user_id, day, regr_slope(rate, i) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY dn) AS i FROM ck) GROUP BY 1, 2)"""
+cm AS (SELECT user_id, day, CASE WHEN count(*) > 1 THEN regr_slope(rate, i) END AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY dn) AS i FROM ck) GROUP BY 1, 2)"""
 PARTS = f"WITH {GAMES}, {RUNS}, {MOM}, {VEL}, {LAST5}, {GAME_STATS}"
 JOINS = " ".join(f"LEFT JOIN {t} ON {t}.user_id = c.user_id AND {t}.day = c.day"
                  for t in ("hot", "cold", "m7", "m5", "l5", "f3", "rh", "cf", "mt", "cm"))
