@@ -32,11 +32,15 @@ def _spark_column(name: str, kind: str) -> Column:
     return F.col(name).cast(_SPARK[kind]).alias(name)
 
 
+def _quoted(name: str) -> str:
+    return f'"{name}"'
+
+
 def _duck_column(name: str, kind: str) -> str:
     if kind in _DIGITS:
-        value = f"round(CAST({name} AS DOUBLE) + CAST({_NUDGE} AS DOUBLE), {_DIGITS[kind]})"
-        return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS {name}"
-    return f"CAST({name} AS {_DUCK[kind]}) AS {name}"
+        value = f"round(CAST({_quoted(name)} AS DOUBLE) + CAST({_NUDGE} AS DOUBLE), {_DIGITS[kind]})"
+        return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END AS {_quoted(name)}"
+    return f"CAST({_quoted(name)} AS {_DUCK[kind]}) AS {_quoted(name)}"
 
 
 def shaped_sql(spec: str, body: str) -> str:
