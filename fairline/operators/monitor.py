@@ -145,12 +145,19 @@ def rule_minutes(errors: DataFrame, ts: str, component: str, severity: str, rule
     """
     minutes = matched_rules(errors, ts, component, severity, rules).groupBy(
         "rule", "minutes", "threshold", "alert_severity", F.date_trunc("minute", "ts").alias("minute")
-    ).agg(F.count(F.lit(1)).alias("n")).withColumn("m", (F.unix_timestamp(F.col("minute").cast("timestamp")) / 60).cast("bigint"))
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return trailing_alerts(minutes, rules)
+
+
+def trailing_alerts(minutes: DataFrame, rules: list[AlertRule]) -> DataFrame:
+    """Trailing rates of (rule, minute) counts that reach their rule's threshold, with the minute number ``m``."""
+    numbered = minutes.withColumn("m", F.timestamp_diff(
+        "MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("minute").cast("timestamp_ntz")))
     w = Window.partitionBy("rule").orderBy("m")
     longest = sorted({r.minutes for r in rules})
     trailing = first_matching([
         (F.col("minutes") == k, F.sum("n").over(w.rangeBetween(-(k - 1), 0))) for k in longest])
-    return minutes.withColumn("rate", trailing / F.col("minutes")).where(F.col("rate") >= F.col("threshold"))
+    return numbered.withColumn("rate", trailing / F.col("minutes")).where(F.col("rate") >= F.col("threshold"))
 
 
 def suppress_repeats(alerts: DataFrame, key: str, order: str, gap: int) -> DataFrame:
