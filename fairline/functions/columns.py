@@ -51,12 +51,16 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     ]
 
 
-def one_row(stats: DataFrame) -> Column:
+def one_row(stats: DataFrame, cut: bool = False) -> Column:
     """A one-row aggregate as a scalar subquery; read its fields with ``[name]``.
 
     Spark runs the aggregate once and inlines one row, so no join is planned.
+    Every use carries the aggregate's plan through the optimiser: ``cut`` writes
+    the row first, for statistics that many columns read.
     """
-    return stats.select(F.struct("*")).scalar()
+    from fairline.functions.durable import materialise
+
+    return (materialise(stats) if cut else stats).select(F.struct("*")).scalar()
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def impute_median(
     ``fitted`` passes medians of a training set so nothing leaks from the scored rows.
     """
     chosen = columns or numeric_columns(df, exclude)
-    medians = one_row(fitted if fitted is not None else column_medians(df, chosen, approximate))
+    medians = one_row(fitted if fitted is not None else column_medians(df, chosen, approximate), cut=len(chosen) > 4)
     clean = finite_columns(df, chosen)
     return clean.withColumns({
         c: F.coalesce(F.col(c).cast("double"), medians[c], F.lit(0.0)) for c in chosen

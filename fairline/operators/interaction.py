@@ -172,7 +172,7 @@ def performance_multipliers(df: DataFrame, stats: Column) -> DataFrame:
 
 def feature_interactions(df: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
     """M14-M20 in order; ``fitted`` is the statistics row of a training table."""
-    stats = one_row(fitted if fitted is not None else global_statistics(df))
+    stats = one_row(fitted if fitted is not None else global_statistics(df), cut=True)
     out = conditional_interactions(multiplicative_interactions(df))
     out = ratio_interactions(composite_indices(out, stats))
     return performance_multipliers(cross_domain_synergies(quantile_indicators(out, stats)), stats)

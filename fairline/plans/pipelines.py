@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairline.functions.durable import materialise
 from fairline.operators import aggregate as A
 from fairline.operators import clean, evaluate, form, interaction, join, market, model, physics, rolling, schedule, streak
 from fairline.operators.quality import validate_dataset
@@ -92,10 +93,13 @@ def build_feature_table(
     blocks.append(_block(groups, "recent_form", shaped.drop(*[c for c in sums_by_day.columns if c not in key]), key))
     order = ["inning", "at_bat_number", "pitch_number", "game_pk"]
     blocks.append(_block(groups, "recent_form", form.recent_n_indicators(rows.where("is_pa = 1"), "batter", "date", order, "is_hr", "launch_speed"), key))
-    blocks.append(_block(groups, "streak_momentum", streak.streak_feature_set(games, "batter", "date", "game_pk", "hit_hr"), key))
+    played = A.entity_game_agg(rows, GAME_KEYS, {"hr": "is_hr"}, {}, ("hr", "hit_hr"))
+    blocks.append(_block(groups, "streak_momentum", streak.streak_feature_set(played, "batter", "date", "game_pk", "hit_hr"), key))
 
+    # The table so far is read by several branches below: write it once instead of planning it into each.
     for block in blocks:
         games = games.join(block, key, "left")
+    games = materialise(games)
 
     if weather is not None:
         known = games.columns
@@ -124,7 +128,7 @@ def build_feature_table(
     games = timed.drop("dn", "_home", "utc_offset")
     groups["temporal_fatigue"] = [c for c in games.columns if c not in known]
 
-    known = games.columns
+    games, known = materialise(games), games.columns
     games = interaction.feature_interactions(games)
     groups["interactions"] = [c for c in games.columns if c not in known]
     games = clean.clip_rate_columns(games, RATE_COLUMNS)
