@@ -118,11 +118,13 @@ def _recency(history: Column, value, tau: float) -> Column:
     return F.coalesce(top / F.nullif(a.total(F.transform(history, weight)), F.lit(0.0)), F.lit(0.0))
 
 
+@a.bound
 def streak_intensity(history: Column, p: StreakParameters = DEFAULTS) -> Column:
     """Recency-weighted excess over the hot threshold."""
     return _recency(history, lambda r: F.greatest(F.lit(0.0), r - p.hot), p.tau)
 
 
+@a.bound
 def streak_depth(history: Column, p: StreakParameters = DEFAULTS) -> Column:
     """Recency-weighted shortfall below the cold threshold."""
     return _recency(history, lambda r: F.greatest(F.lit(0.0), p.cold - r), p.tau)
@@ -139,22 +141,29 @@ def streak_frequency(state: Column, history: Column) -> Column:
     return state["count"] / F.greatest(span / 7.0, F.lit(1.0))
 
 
+@a.bound
 def recovery_momentum(rate: Column, p: StreakParameters = DEFAULTS) -> Column:
     """Slope of the last five rates, scaled by how low the first three of them were."""
-    recent = a.last_n(rate, 5)
-    hole = F.greatest(F.lit(0.0), p.hot - F.array_min(F.slice(recent, 1, 3)))
-    return F.when(F.size(recent) >= 3, a.slope(recent) * (1 + 2 * hole)).otherwise(0.0)
+    def score(recent: Column) -> Column:
+        hole = F.greatest(F.lit(0.0), p.hot - F.array_min(F.slice(recent, 1, 3)))
+        return F.when(F.size(recent) >= 3, a.slope(recent) * (1 + 2 * hole)).otherwise(0.0)
 
+    return a.let(a.last_n(rate, 5), score)
 
+
+@a.bound
 def slump_risk(rate: Column, p: StreakParameters = DEFAULTS) -> Column:
     """Falling slope, low last rate and share of low rates among the last five, at most 1."""
-    recent = a.last_n(rate, 5)
-    fall = F.when(a.slope(recent) < 0, 2 * F.abs(a.slope(recent))).otherwise(0.0)
-    low = F.when(a.last(recent) < p.cold, 3 * (p.cold - a.last(recent))).otherwise(0.0)
-    share = F.size(F.filter(recent, lambda r: r < p.cold)) / F.size(recent) * 0.5
-    return F.when(F.size(recent) >= 3, F.least(fall + low + share, F.lit(1.0))).otherwise(0.0)
+    def score(recent: Column) -> Column:
+        fall = a.let(a.slope(recent), lambda m: F.when(m < 0, 2 * F.abs(m)).otherwise(0.0))
+        low = a.let(a.last(recent), lambda r: F.when(r < p.cold, 3 * (p.cold - r)).otherwise(0.0))
+        share = F.size(F.filter(recent, lambda r: r < p.cold)) / F.size(recent) * 0.5
+        return F.when(F.size(recent) >= 3, F.least(fall + low + share, F.lit(1.0))).otherwise(0.0)
+
+    return a.let(a.last_n(rate, 5), score)
 
 
+@a.bound
 def power_momentum(values: Column, tau: float = 3.0) -> Column:
     """Weighted mean, weight exp(-k/3) with k counted from the end."""
     n = F.size(values)
@@ -175,21 +184,23 @@ def consistency_momentum(rate: Column) -> Column:
     return 1 / (1 + 10 * a.variance(rate))
 
 
+@a.bound
 def momentum_sustainability(rate: Column) -> Column:
     """Consistency times sample size times level of the last three rates, at most 1."""
     level = F.least(a.mean(a.last_n(rate, 3)) / F.greatest(a.mean(rate), F.lit(0.01)), F.lit(2.0)) / 2
     return F.least(1 / (1 + 5 * a.variance(rate)) * F.least(F.size(rate) / 10.0, F.lit(1.0)) * level, F.lit(1.0))
 
 
+@a.bound
 def trend_acceleration(rate: Column) -> Column:
     """Twice the quadratic coefficient, 0 below four days."""
     return F.when(F.size(rate) >= 4, 2 * a.curvature(rate)).otherwise(0.0)
 
 
+@a.bound
 def momentum_direction(rate: Column) -> Column:
     """Sign of the slope with a flat band of 0.001."""
-    s = a.slope(rate)
-    return F.when(s.isNull() | (F.abs(s) < 0.001), 0).when(s > 0, 1).otherwise(-1)
+    return a.let(a.slope(rate), lambda m: F.when(m.isNull() | (F.abs(m) < 0.001), 0).when(m > 0, 1).otherwise(-1))
 
 
 def momentum_strength(rate: Column) -> Column:
@@ -197,60 +208,69 @@ def momentum_strength(rate: Column) -> Column:
     return F.coalesce(F.abs(a.slope(rate)), F.lit(0.0))
 
 
+@a.bound
 def rate_velocity(rate: Column) -> Column:
     """Mean of the last three differences."""
     return F.when(F.size(rate) >= 2, a.mean(a.last_n(a.differences(rate), 3))).otherwise(0.0)
 
 
+@a.bound
 def rate_acceleration(rate: Column) -> Column:
     """Mean of the last two second differences."""
     return F.when(F.size(rate) >= 3, a.mean(a.last_n(a.differences(a.differences(rate)), 2))).otherwise(0.0)
 
 
+@a.bound
 def velocity_consistency(rate: Column) -> Column:
     """Inverse variance of the differences."""
     return F.when(F.size(rate) >= 3, 1 / (1 + 20 * a.variance(a.differences(rate)))).otherwise(0.0)
 
 
+@a.bound
 def breakout_velocity(rate: Column, p: StreakParameters = DEFAULTS) -> Column:
     """Improvement over the last three rates, larger from a low start."""
-    recent = a.last_n(rate, 3)
-    start = F.get(recent, F.lit(0))
-    gain = (a.last(recent) - start) * (1 + F.greatest(F.lit(0.0), p.hot - start))
-    return F.when(F.size(rate) >= 3, F.greatest(F.lit(0.0), gain)).otherwise(0.0)
+    def score(recent: Column) -> Column:
+        start = F.get(recent, F.lit(0))
+        gain = (a.last(recent) - start) * (1 + F.greatest(F.lit(0.0), p.hot - start))
+        return F.when(F.size(rate) >= 3, F.greatest(F.lit(0.0), gain)).otherwise(0.0)
 
+    return a.let(a.last_n(rate, 3), score)
 
+
+@a.bound
 def cycle_position(rate: Column) -> Column:
     """Three-day mean against seven-day mean with a band of 0.05."""
-    gap = a.mean(a.last_n(rate, 3)) - a.mean(a.last_n(rate, 7))
-    return F.when(F.size(rate) < 7, 0.0).when(gap > 0.05, 1.0).when(gap < -0.05, -1.0).otherwise(0.0)
+    band = a.let(a.mean(a.last_n(rate, 3)) - a.mean(a.last_n(rate, 7)), lambda g: F.when(g > 0.05, 1.0).when(g < -0.05, -1.0).otherwise(0.0))
+    return F.when(F.size(rate) < 7, 0.0).otherwise(band)
 
 
+@a.bound
 def cycle_prediction(rate: Column) -> Column:
     """Last rate plus slope of the last five."""
-    recent = a.last_n(rate, 5)
-    return F.when(F.size(recent) >= 3, a.last(rate) + a.slope(recent)).otherwise(0.0)
+    return a.let(a.last_n(rate, 5), lambda recent: F.when(F.size(recent) >= 3, a.last(rate) + a.slope(recent)).otherwise(0.0))
 
 
+@a.bound
 def pattern_stability(rate: Column) -> Column:
     """Inverse relative deviation, 0 below five days or with mean 0."""
-    mu = a.mean(rate)
-    return F.when((F.size(rate) >= 5) & (mu != 0), 1 / (1 + F.sqrt(a.variance(rate)) / mu)).otherwise(0.0)
+    return a.let(a.mean(rate), lambda mu: F.when(
+        (F.size(rate) >= 5) & (mu != 0), 1 / (1 + F.sqrt(a.variance(rate)) / mu)).otherwise(0.0))
 
 
 def rhythm_indicator(history: Column) -> Column:
     """Inverse variance of the gaps between games with a hit, at least three of them."""
     days = F.transform(F.filter(games_of(history), lambda g: g["hit"] == 1), lambda g: g["dn"].cast("double"))
-    return F.when(F.size(days) >= 3, 1 / (1 + a.variance(a.differences(days)) / 5)).otherwise(0.0)
+    return a.let(days, lambda d: F.when(F.size(d) >= 3, 1 / (1 + a.variance(a.differences(d)) / 5)).otherwise(0.0))
 
 
+@a.bound
 def confidence_indicator(hits: Column) -> Column:
     """Last five games against all, damped by their variance, at most 2."""
-    recent = a.last_n(hits, 5)
-    ratio = a.mean(recent) / F.greatest(a.mean(hits), F.lit(0.01))
-    return F.least(ratio / (1 + 5 * a.variance(recent)), F.lit(2.0))
+    level = F.greatest(a.mean(hits), F.lit(0.01))
+    return a.let(a.last_n(hits, 5), lambda recent: F.least(a.mean(recent) / level / (1 + 5 * a.variance(recent)), F.lit(2.0)))
 
 
+@a.bound
 def mental_toughness(hits: Column) -> Column:
     """Share of games with a hit right after two without."""
     def step(s, x):
@@ -261,28 +281,30 @@ def mental_toughness(hits: Column) -> Column:
         )
 
     start = F.struct(F.lit(-1.0).alias("b"), F.lit(-1.0).alias("a"), F.lit(0).alias("n"), F.lit(0).alias("k"))
-    s = F.aggregate(hits, start, step)
-    return F.when((F.size(hits) >= 5) & (s["n"] > 0), s["k"] / s["n"]).otherwise(0.0)
+    return a.let(F.aggregate(hits, start, step), lambda s: F.when(
+        (F.size(hits) >= 5) & (s["n"] > 0), s["k"] / s["n"]).otherwise(0.0))
 
 
 def pressure_response(history: Column) -> Column:
     """Rate in high-leverage games over the rate in the others."""
-    games = games_of(history)
+    def score(games: Column) -> Column:
+        def rate(flag: int) -> Column:
+            return a.mean(F.transform(F.filter(games, lambda g: g["lev"] == flag), lambda g: g["hit"]))
 
-    def rate(flag: int):
-        return a.mean(F.transform(F.filter(games, lambda g: g["lev"] == flag), lambda g: g["hit"]))
+        return a.let(rate(0), lambda regular: F.when(regular.isNotNull(), rate(1) / F.greatest(regular, F.lit(0.01))))
 
-    both = F.when(rate(0).isNotNull(), rate(1) / F.greatest(rate(0), F.lit(0.01)))
-    return F.coalesce(both, F.lit(0.0))
+    return F.coalesce(a.let(games_of(history), score), F.lit(0.0))
 
 
 def clutch_momentum(history: Column) -> Column:
     """Slope of the daily rates of the last five clutch games."""
+    def score(last5: Column) -> Column:
+        days = F.array_distinct(F.transform(last5, lambda g: g["dn"]))
+        return a.slope(F.transform(days, lambda d: a.mean(
+            F.transform(F.filter(last5, lambda g: g["dn"] == d), lambda g: g["hit"]))))
+
     last5 = a.last_n(F.filter(games_of(history), lambda g: g["clu"] == 1), 5)
-    days = F.array_distinct(F.transform(last5, lambda g: g["dn"]))
-    daily = F.transform(days, lambda d: a.mean(
-        F.transform(F.filter(last5, lambda g: g["dn"] == d), lambda g: g["hit"])))
-    return F.coalesce(a.slope(daily), F.lit(0.0))
+    return F.coalesce(a.let(last5, score), F.lit(0.0))
 
 
 def streak_feature_set(
