@@ -145,18 +145,19 @@ def _(spark, sf):
 
     k, s = F.col("o_custkey"), F.col("o_orderstatus")
     game = F.struct(F.col("o_orderkey").alias("gamePk"), F.struct(starter(k, s != "P").alias("home"), starter(k + 1, s != "F").alias("away")).alias("teams"))
-    days = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(F.collect_list(game).alias("games"))
+    days = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.array(game).alias("games"))
     return P.flatten_schedule_json(days.select(F.to_json(F.struct(F.array(F.struct("date", "games")).alias("dates"))).alias("j")), "j")
 
 
 @query("s9_reduce_hourly_weather", "user_id:l date:d temperature:f humidity:f wind_speed:f wind_direction:f pressure:f", """
-WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) FILTER (hour(ts) BETWEEN 19 AND 22) AS t, avg(value) AS dt, avg(CASE WHEN event_type = 'view' THEN value END)
-  FILTER (hour(ts) BETWEEN 19 AND 22) AS h FROM events GROUP BY 1, 2)
+WITH h AS (SELECT user_id, CAST(ts AS DATE) AS date, hour(ts) AS hr, avg(value) AS t, avg(CASE WHEN event_type = 'view' THEN value END) AS m FROM events GROUP BY 1, 2, 3),
+d AS (SELECT user_id, date, avg(t) FILTER (hr BETWEEN 19 AND 22) AS t, avg(t) AS dt, avg(m) FILTER (hr BETWEEN 19 AND 22) AS h FROM h GROUP BY 1, 2)
 SELECT user_id, date, coalesce(t, dt) AS temperature, coalesce(h, 50) AS humidity, 5 * 2.237 AS wind_speed, 0 AS wind_direction, 29.92 * 0.02953 AS pressure FROM d""")
 def _(spark, sf):
-    hour = F.struct(F.date_format("ts", "HH:mm:ss").alias("datetime"), F.col("value").alias("temp"), F.when(F.col("event_type") == "view", F.col("value")).alias("humidity"))
-    days = table(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("datetime")).agg(
-        F.avg("value").alias("temp"), F.collect_list(hour).alias("hours"))
+    view = F.when(F.col("event_type") == "view", F.col("value"))
+    hourly = table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("temp"), F.avg(view).alias("humidity"))
+    hour = F.struct(F.date_format("h", "HH:mm:ss").alias("datetime"), "temp", "humidity")
+    days = hourly.groupBy("user_id", F.date_format("h", "yyyy-MM-dd").alias("datetime")).agg(F.avg("temp").alias("temp"), F.collect_list(hour).alias("hours"))
     payload = days.select("user_id", F.to_json(F.struct(F.array(F.struct("datetime", "temp", "hours")).alias("days"))).alias("j"))
     return P.metric_feed_units(P.reduce_hourly_weather(payload, "j", ["user_id"]))
 

@@ -69,7 +69,11 @@ def _(spark, sf):
     return J.latest_rows(spark, out, ["component", "window_start"]).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
-@query("t3_accept_within_limit_stream", "event_id:l day:d accepted:i")
+@query("t3_accept_within_limit_stream", "event_id:l day:d accepted:i", """
+WITH RECURSIVE t AS (SELECT event_id, CAST(ts AS DATE) AS day, value AS stake, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events),
+x AS (SELECT event_id, day, r, CASE WHEN stake <= 2000 THEN 1 ELSE 0 END AS accepted, CASE WHEN stake <= 2000 THEN stake ELSE 0 END AS used FROM t WHERE r = 1
+  UNION ALL SELECT t.event_id, t.day, t.r, CASE WHEN used + stake <= 2000 THEN 1 ELSE 0 END, CASE WHEN used + stake <= 2000 THEN used + stake ELSE used END
+  FROM x JOIN t ON t.day = x.day AND t.r = x.r + 1) SELECT event_id, day, accepted FROM x""")
 def _(spark, sf):
     out, checkpoint = folders(spark)
     bets = op_stream(spark, sf).select("event_id", "ts", F.to_date("ts").alias("day"), F.col("value").alias("stake"))
