@@ -71,7 +71,7 @@ SRC2 = SRC + ", c AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in COMP.ite
 
 
 def composites(df):
-    return I.composite_indices(df, one_row(I.global_statistics(df)))
+    return I.composite_indices(df, one_row(I.global_statistics(df), cut=True))
 
 
 _register("m16_minmax_composite", COMP, composites)
@@ -94,7 +94,7 @@ QUANT["elite_performance_convergence"] = "elite_power_indicator + high_momentum_
 
 
 def quantiles(df):
-    stats = one_row(I.global_statistics(df))
+    stats = one_row(I.global_statistics(df), cut=True)
     return I.quantile_indicators(I.composite_indices(df, stats), stats)
 
 
@@ -111,4 +111,4 @@ MULT = {
     "clutch_performance_multiplier": f"{OVERALL} * CASE WHEN clutch_hr_rate > (SELECT avg(clutch_hr_rate) FROM b) THEN 1.1 ELSE 1 END",
     "hot_streak_performance_multiplier": f"{OVERALL} * (1 + 0.2 * hot_streak_intensity)", "fatigue_adjusted_multiplier": f"{OVERALL} * (1 - 0.3 * fatigue_level)",
 }
-_register("m20_performance_multipliers", MULT, lambda df: I.performance_multipliers(df, one_row(I.global_statistics(df))))
+_register("m20_performance_multipliers", MULT, lambda df: I.performance_multipliers(df, one_row(I.global_statistics(df), cut=True)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import day_number, one_row
+from fairline.functions.durable import materialise
 from fairline.functions.windows import all_before
 from fairline.operators.clean import standardise_name
 
@@ -95,8 +96,10 @@ def similar_group_history(
     games: DataFrame, pairs: DataFrame, profiles: DataFrame, entity: str, opponent: str, day: str,
 ) -> DataFrame:
     """Earlier attempts and hits against *other* opponents of the same hand and of the same speed tier."""
-    known = pairs.join(profiles.select(opponent, "handedness", "velocity_tier"), opponent)
-    rows = games.join(profiles.select(opponent, "handedness", "velocity_tier"), opponent, "left")
+    shape = profiles.select(opponent, "handedness", "velocity_tier")
+    # Both sides feed three look-ups: write them once (day grain) instead of aggregating the events three times.
+    known = materialise(pairs.select(entity, opponent, day, "pa", "hr").join(shape, opponent))
+    rows = materialise(games.join(shape, opponent, "left"))
     own = totals_before(rows, known, [entity, opponent], day, {"own_pa": "pa", "own_hr": "hr"})
     out = rows.join(own, [entity, opponent, day], "left")
     for label, group in (("hand", "handedness"), ("velocity", "velocity_tier")):
