@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
+_SCRATCH: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,9 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_FOLDER} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="fairline-")
-    spark.conf.set(_FOLDER, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _SCRATCH:
+        _SCRATCH[application] = tempfile.mkdtemp(prefix="fairline-")
+    return _SCRATCH[application]
 
 
 def materialise(df: DataFrame) -> DataFrame:
