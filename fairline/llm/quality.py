@@ -29,7 +29,7 @@ LIMIT = 28.47
 LEAST_ROWS = 60
 DIMENSIONS = ("length", "symbols", "repeats", "lines")
 #: Standard deviations below which a dimension isn't resolved (same order as DIMENSIONS); they keep the matrix regular.
-FLOORS = (0.05, 0.04, 0.06, 0.06)
+FLOORS = (0.05, 0.05, 0.08, 0.08)
 
 
 def _repeated_words(w: Column) -> Column:
@@ -93,13 +93,13 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def _vector() -> list[Column]:
-    """The transformed statistics as integers: log mean word length and square roots of three shares."""
+    """The transformed statistics as integers: log mean word length and three shares."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     values = (
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
-        F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        F.sqrt(F.col("n_repeat_words") / n),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
+        F.col("n_repeat_words") / n,
+        F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     )
     return [F.floor(v * SCALE + 0.5).cast("long").alias(f"x{i}") for i, v in enumerate(values)]
 
