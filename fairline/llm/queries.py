@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
 
@@ -14,3 +15,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@query("op1_pareto_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir), carry=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
