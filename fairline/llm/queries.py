@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
+from fairline.llm.token_counts import token_counts
 
 
 @query("op10_quality_rules")
@@ -21,3 +22,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir), carry=["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
