@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
+from fairline.llm.suffix_tree import score_texts
 from fairline.llm.token_counts import token_counts
 
 
@@ -30,3 +31,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted = token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op9_suffix_tree_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
