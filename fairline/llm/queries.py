@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fairline.llm.language import language_id
 from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
@@ -36,3 +37,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_tree_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir), carry=["doc_id"])
