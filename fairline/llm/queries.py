@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fairline.llm.decontamination import contaminations
 from fairline.llm.language import language_id
 from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
@@ -42,3 +43,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir), carry=["doc_id"])
+
+
+@query("op3_edit_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
