@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairline.llm.decontamination import contaminations
 from fairline.llm.language import language_id
+from fairline.llm.licenses import license_scan
 from fairline.llm.mixing import mix
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
@@ -48,3 +49,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_edit_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir), carry=["doc_id"])
