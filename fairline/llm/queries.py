@@ -8,6 +8,7 @@ from fairline.llm.decontamination import contaminations
 from fairline.llm.language import language_id
 from fairline.llm.licenses import license_scan
 from fairline.llm.mixing import mix
+from fairline.llm.near_duplicates import near_duplicates
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
 from fairline.llm.suffix_tree import score_texts
@@ -54,3 +55,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir), carry=["doc_id"])
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
