@@ -11,6 +11,7 @@ from fairline.llm.mixing import mix
 from fairline.llm.near_duplicates import near_duplicates
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
+from fairline.llm.substrings import without_repeats
 from fairline.llm.suffix_tree import score_texts
 from fairline.llm.token_counts import token_counts
 
@@ -60,3 +61,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op6_repeated_substrings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
