@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairline.llm.decontamination import contaminations
 from fairline.llm.language import language_id
 from fairline.llm.licenses import license_scan
 from fairline.llm.mixing import mix
 from fairline.llm.near_duplicates import near_duplicates
+from fairline.llm.personal import KINDS, count_of, personal_data, written_spans
 from fairline.llm.quality import quality_rules
 from fairline.llm.registry import documents, query
 from fairline.llm.substrings import without_repeats
@@ -66,3 +68,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeated_substrings")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir), carry=["doc_id"])
+    counts = [count_of(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans")
+    )
