@@ -149,7 +149,18 @@ def contaminations(
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def contaminated_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def _holder(sent, rate: float):
+    """Tells which texts hold an item of the block sent."""
+
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder(sent.value, rate)
+        for batch in batches:
+            yield pd.Series([bool(finder.find(t)) for t in batch], dtype=bool)
+
+    return F.pandas_udf(holds, "boolean")
+
+
+def rows_without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows whose text holds an item (decided row by row; null texts stay).
 
     Repeated rows go or stay together. Works without a shuffle: each block of items filters the rows that are left.
@@ -160,11 +171,5 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for b in range(blocks):
         own = [(i, r["t"]) for i, r in enumerate(items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect())]
         sent = docs.sparkSession.sparkContext.broadcast(own)
-
-        def holds(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            finder = Finder(sent.value, rate)
-            for batch in batches:
-                yield pd.Series([bool(finder.find(t)) for t in batch], dtype=bool)
-
-        kept = kept.where(~F.pandas_udf(holds, "boolean")(F.coalesce(F.col(text), F.lit(""))))
+        kept = kept.where(~_holder(sent, rate)(F.coalesce(F.col(text), F.lit(""))))
     return kept
