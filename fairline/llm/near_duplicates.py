@@ -15,6 +15,8 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,24 +79,27 @@ class Bands:
 
 
 def _signed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Per distinct (row id, shingle set): ``id``, ``set_id`` (hash of the set), ``grams`` and ``bands``."""
+    """A row per row of ``docs``: its number, ``id``, ``set_id`` (hash of the shingle set), compressed text and band hashes."""
     bands = bands_for()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        minhash = Bands(bands, ROWS)
+        minhash, number = Bands(bands, ROWS), TaskContext.get().partitionId() << 36
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             out = []
             for row_id, content in zip(batch["id"], batch["text"]):
                 grams = shingles(content)
                 if len(grams):
-                    data = grams.tobytes()
-                    out.append((row_id, xxhash.xxh3_128_hexdigest(data), data, minhash.of(grams)))
+                    key = xxhash.xxh3_128_digest(grams.tobytes())
+                    out.append((number, row_id, key, squeeze.compress(content.encode()), minhash.of(grams)))
                 else:
-                    out.append((row_id, None, None, None))
-            yield pd.DataFrame(out, columns=["id", "set_id", "grams", "bands"])
+                    out.append((number, row_id, None, None, None))
+                number += 1
+            yield pd.DataFrame(out, columns=["row", "id", "set_id", "data", "bands"])
 
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return plain.mapInPandas(sign, f"id {docs.schema[doc_id].dataType.simpleString()}, set_id string, grams binary, bands array<bigint>")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return plain.mapInPandas(sign, f"row long, id {kind}, set_id binary, data binary, bands array<bigint>")
 
 
 def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +130,9 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
 
 def _links(work: pd.DataFrame) -> pd.DataFrame:
     """Links within one pair of blocks: per text the weight it is linked to, and links that span what hangs together."""
-    ids, weight = work["set_id"].to_numpy(), work["weight"].to_numpy()
-    grams = [np.frombuffer(g, dtype=np.uint64) for g in work["grams"]]
+    ids, weight = work["node"].to_numpy(), work["weight"].to_numpy()
+    unpack = zstandard.ZstdDecompressor()
+    grams = [shingles(unpack.decompress(data).decode()) for data in work["data"]]
     side = work["side"].to_numpy()
     first = np.flatnonzero(side == 0)
     second = np.flatnonzero(side == 1)
@@ -146,14 +152,14 @@ def _links(work: pd.DataFrame) -> pd.DataFrame:
             i = root[i]
         return i
 
-    spanning = [None] * len(ids)
+    spanning = np.full(len(ids), -1, dtype=np.int64)
     for i, j in zip(a, b):
         p, q = find(i), find(j)
         if p != q:
             root[max(p, q)] = min(p, q)
             spanning[max(p, q)] = ids[min(p, q)]
-    out = pd.DataFrame({"set_id": ids, "linked": linked.astype(np.int64), "other": spanning})
-    return out[(out["linked"] > 0) | out["other"].notna()]
+    out = pd.DataFrame({"node": ids, "linked": linked.astype(np.int64), "other": spanning})
+    return out[(out["linked"] > 0) | (out["other"] >= 0)]
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -166,45 +172,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     signed = materialise(_signed(docs, text, doc_id))
     having = signed.where(F.col("set_id").isNotNull())
-    nodes = materialise(having.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id")))
-    # one row of each set carries its bands on; buckets with one set fall away before anything is joined
-    banded = having.select("set_id", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash", "set_id").agg(F.lit(1).alias("one"))
-    stars = banded.groupBy("band", "hash").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("far")).where("centre <> far")
-    edges = banded.join(stars, ["band", "hash"]).select(F.col("set_id").alias("a"), F.col("centre").alias("b")).where("a <> b")
+    # a node is the first row of each set; it carries the bands on
+    nodes = materialise(having.groupBy("set_id").agg(
+        F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"), F.min_by("bands", "row").alias("bands")
+    ))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    # buckets with one set fall away; the others are stars, so a bucket gives as many edges as it has sets
+    stars = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far")).where("centre <> far")
+    edges = banded.join(stars.hint("merge"), "bucket").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b")
     groups = connected_components(edges)
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # blocks by hash; a pair of blocks is a unit of work
-    blocked = (
+    members = (
         groups.join(sized, "component")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(nodes.select("node", "weight"), "node")
+        .select("node", "component", "blocks", "block", "weight")
     )
-    members = materialise(blocked.select(F.col("node").alias("set_id"), "component", "blocks", "block"))
-    sets = having.join(members.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("grams").alias("grams"))
-    carried = materialise(members.join(sets, "set_id").join(nodes.select("set_id", "weight"), "set_id"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    texts = having.select(F.col("row").alias("node"), "data")
+    carried = texts.join(members.hint("merge"), "node")
     work = (
-        carried.withColumn("with", partner)
+        carried.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "with"))
         .withColumn("high", F.greatest("block", "with"))
         .withColumn("side", F.when(F.col("block") == F.col("low"), 0).otherwise(1))
         .withColumn("same", F.col("low") == F.col("high"))
-        .select("component", "low", "high", "side", "same", "set_id", "weight", "grams")
+        .select("component", "low", "high", "side", "same", "node", "weight", "data")
     )
-    links = materialise(
-        work.groupBy("component", "low", "high").applyInPandas(_links, "set_id string, linked long, other string")
-    )
-    classes = connected_components(links.where(F.col("other").isNotNull()).select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    linked = links.groupBy("set_id").agg(F.sum("linked").alias("linked"))
+    links = materialise(work.groupBy("component", "low", "high").applyInPandas(_links, "node long, linked long, other long"))
+    classes = connected_components(links.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    linked = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     named = (
-        nodes.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumn("component", F.coalesce("component", "set_id"))
-        .join(linked, "set_id", "left")
+        nodes.drop("bands").join(classes, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .join(linked, "node", "left")
     )
     smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = materialise(
-        named.join(smallest, "component").select("set_id", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    )
+    named = named.join(smallest, "component").select("set_id", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     rows = signed.select("id", "set_id").join(named, "set_id", "left")
     return rows.select(
         F.col("id").alias(doc_id), F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
