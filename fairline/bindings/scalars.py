@@ -9,7 +9,7 @@ from fairline.bindings.frames import EV, ev
 from fairline.bindings.registry import query, table
 from fairline.operators import physics as M
 
-PLACES = [r[0] for r in schema.park_rows()] + ["Chase Field", "Unknown Park"]
+PLACES = [r[0] for r in schema.PARKS] + ["Chase Field", "Unknown Park"]
 # Expressions both engines read alike.
 INPUTS = {
     "temperature": "CASE WHEN event_type = 'error' THEN NULL ELSE 30 + x END", "wind_speed": "angle / 4",
@@ -21,7 +21,7 @@ SRC = (EV + ", w AS (SELECT event_id, day AS date, day AS game_date, hr AS game_
 DIMS = ("dim(stadium, lf_dist, cf_dist, rf_dist, lf_wall, cf_wall, rf_wall, foul, elevation, latitude, longitude, dome, surface) AS (VALUES "
         + ", ".join("('{}', {}, {}, {}, {}, {}, {}, '{}', {}, {}, {}, {}, '{}')".format(
             r[0], *[f"CAST({v} AS DOUBLE)" for v in r[1:7]], r[7], *[f"CAST({v} AS DOUBLE)" for v in r[8:11]], r[11], r[12])
-            for r in schema.park_rows()) + ")")
+            for r in schema.PARKS) + ")")
 PARK = f"{SRC}, {DIMS}, pk AS (SELECT w.*, dim.* EXCLUDE (stadium) FROM w LEFT JOIN dim USING (stadium))"
 
 

@@ -55,7 +55,7 @@ def _(spark, sf):
     out, checkpoint = folders(spark)
     source = f"{out}_alerts"
     alerts = N.rule_minutes(ops(spark, sf), "ts", "component", "severity", RULES)
-    alerts.select("rule", F.col("minute").cast("timestamp").alias("minute")).coalesce(1).write.parquet(source)
+    alerts.select("rule", F.col("minute").cast("timestamp").alias("minute")).write.parquet(source)
     stream = J.read_file_stream(spark, source, "rule string, minute timestamp")
     J.run_available(J.suppress_repeats_stream(stream, "rule", "minute"), checkpoint, "append", J.batch_folder_sink(out))
     return spark.read.parquet(out).select("rule", (F.col("seconds") / 60).cast("bigint").alias("m"))
@@ -77,8 +77,20 @@ x AS (SELECT event_id, day, r, CASE WHEN stake <= 2000 THEN 1 ELSE 0 END AS acce
 def _(spark, sf):
     out, checkpoint = folders(spark)
     bets = op_stream(spark, sf).select("event_id", "ts", F.to_date("ts").alias("day"), F.col("value").alias("stake"))
-    J.run_available(J.accept_within_limit_stream(bets, "day", "ts", "event_id", "stake", 2000.0), checkpoint, "append", J.batch_folder_sink(out))
-    return spark.read.parquet(out)
+    J.accept_within_limit_stream(bets, out, checkpoint, "day", "ts", "event_id", "stake", 2000.0)
+    return spark.read.parquet(f"{out}/decided")
+
+
+@query("t3_one_long_day_stream", "event_id:l accepted:i", """
+WITH RECURSIVE t AS (SELECT event_id, CAST(round(value, 6) AS DECIMAL(30, 6)) AS stake, row_number() OVER (ORDER BY ts, event_id) AS r FROM events),
+x AS (SELECT event_id, r, CASE WHEN stake <= 20000 THEN 1 ELSE 0 END AS accepted, CASE WHEN stake <= 20000 THEN stake ELSE CAST(0 AS DECIMAL(30, 6)) END AS used FROM t WHERE r = 1
+  UNION ALL SELECT t.event_id, t.r, CASE WHEN used + stake <= 20000 THEN 1 ELSE 0 END, CAST(CASE WHEN used + stake <= 20000 THEN used + stake ELSE used END AS DECIMAL(30, 6))
+  FROM x JOIN t ON t.r = x.r + 1) SELECT event_id, accepted FROM x""")
+def _(spark, sf):
+    out, checkpoint = folders(spark)
+    bets = op_stream(spark, sf).select("event_id", "ts", F.lit("1998-01-01").cast("date").alias("day"), F.col("value").alias("stake"))
+    J.accept_within_limit_stream(bets, out, checkpoint, "day", "ts", "event_id", "stake", 20000.0)
+    return spark.read.parquet(f"{out}/decided")
 
 
 @query("t4_incremental_matchup_update", "ent:l opp:l pa:l hr:l ev:f last_date:d", f"""

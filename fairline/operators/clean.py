@@ -97,7 +97,7 @@ def impute_median(
     ``fitted`` passes medians of a training set so nothing leaks from the scored rows.
     """
     chosen = columns or numeric_columns(df, exclude)
-    medians = one_row(fitted if fitted is not None else column_medians(df, chosen, approximate), cut=len(chosen) > 4)
+    medians = one_row(fitted if fitted is not None else column_medians(df, chosen, approximate), cut=True)
     clean = finite_columns(df, chosen)
     return clean.withColumns({
         c: F.coalesce(F.col(c).cast("double"), medians[c], F.lit(0.0)) for c in chosen
@@ -171,10 +171,15 @@ def fill_prediction_defaults(
     return impute_median(filled, median_columns) if median_columns else filled
 
 
-def align_features(df: DataFrame, order: list[str], ids: list[str], minimum: int = 20) -> DataFrame:
-    """Model column order, missing as 0; too few known features means every numeric non-id column."""
+def align_features(df: DataFrame, order: list[str], ids: list[str], minimum: int = 20, numeric_instead: bool = False) -> DataFrame:
+    """Model column order, missing as 0.
+
+    Fewer than ``minimum`` known features is an error, or with ``numeric_instead`` means every numeric non-id column.
+    """
     known = [c for c in order if c in df.columns]
     if len(known) < minimum:
+        if not numeric_instead:
+            raise ValueError(f"only {len(known)} of the model's features are there, {minimum} are needed")
         order = numeric_columns(df, tuple(ids))
     return df.select(*ids, *[
         (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(c) for c in order

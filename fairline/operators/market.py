@@ -138,7 +138,11 @@ def settle_bets(bets: DataFrame, results: DataFrame, key: str = "bet_id") -> Dat
     }).drop("_won", "_paid")
 
 
-def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: float) -> DataFrame:
+#: Type of money totals.
+EXACT = "decimal(30,6)"
+
+
+def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: Column) -> DataFrame:
     """First-fit over one short, ordered array per day."""
     listed = bets.groupBy(day).agg(
         F.first("_used").alias("_used"),
@@ -147,7 +151,7 @@ def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, lim
     def step(s, x):
         fits = s["total"] + x["_stake"] <= limit
         return F.struct(
-            F.when(fits, s["total"] + x["_stake"]).otherwise(s["total"]).alias("total"),
+            F.when(fits, (s["total"] + x["_stake"]).cast(EXACT)).otherwise(s["total"]).alias("total"),
             F.when(fits, F.concat(s["taken"], F.array(x["_key"]))).otherwise(s["taken"]).alias("taken"))
 
     kind = bets.schema[key].dataType.simpleString()
@@ -157,29 +161,37 @@ def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, lim
 
 def accept_within_limit(
     bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: float, fold_rows: int = 10000,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """A bet is accepted iff the day's accepted total plus its stake stays within the limit.
 
-    Exact for days of any size: while a day has more than ``fold_rows`` open
-    bets, the longest fitting prefix is accepted in one distributed pass, bets
-    larger than what is left can never fit and go out, and the rest follows in
-    the next pass. Short days finish with a fold.
+    Totals are exact decimals (six places), so how they are grouped doesn't matter: while a day has more than
+    ``fold_rows`` open bets, the longest fitting prefix is accepted in one distributed pass, bets larger than what is
+    left can never fit and go out, and the rest follows in the next pass. Short days finish with a fold, which gives
+    the very same choice. ``used`` (``day``, ``used``) tells what earlier bets of a day have taken.
     """
     keys = [day, *[c for c in order if c != day], key, stake]
-    pending = bets.select(*dict.fromkeys(keys)).where(F.col(stake) <= limit).withColumn("_used", F.lit(0.0))
+    most = F.lit(limit).cast(EXACT)
+    pending = bets.select(*dict.fromkeys(keys)).withColumn(stake, F.col(stake).cast(EXACT))
+    if used is None:
+        pending = pending.withColumn("_used", F.lit(0).cast(EXACT))
+    else:
+        pending = pending.join(used.select(day, F.col("used").cast(EXACT).alias("_used")), day, "left")
+        pending = pending.withColumn("_used", F.coalesce("_used", F.lit(0).cast(EXACT)))
+    pending = pending.where(F.col(stake) <= most - F.col("_used"))
     taken = []
     while True:
         largest = pending.groupBy(day).count().agg(F.max("count")).first()[0] or 0
         if largest <= fold_rows:
-            taken.append(_fold(pending, day, order, key, stake, limit))
+            taken.append(_fold(pending, day, order, key, stake, most))
             break
         summed = materialise(running_totals(pending, [day], [*order, key], [stake]).withColumn(
-            "_total", F.col("_used") + F.col(f"{stake}_before") + F.col(stake)))
-        fits = F.col("_total") <= limit
+            "_total", (F.col("_used") + F.col(f"{stake}_before") + F.col(stake)).cast(EXACT)))
+        fits = F.col("_total") <= most
         taken.append(summed.where(fits).select(day, key))
-        used = summed.groupBy(day).agg(F.max(F.when(fits, F.col("_total")).otherwise(F.col("_used"))).alias("_now"))
+        now = summed.groupBy(day).agg(F.max(F.when(fits, F.col("_total")).otherwise(F.col("_used"))).alias("_now"))
         pending = materialise(
-            summed.where(~fits).join(used, day).where(F.col(stake) <= limit - F.col("_now"))
+            summed.where(~fits).join(now, day).where(F.col(stake) <= most - F.col("_now"))
             .select(*dict.fromkeys(keys), F.col("_now").alias("_used")))
     accepted = taken[0]
     for more in taken[1:]:

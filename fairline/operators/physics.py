@@ -65,7 +65,7 @@ def weather_indices(df: DataFrame, place: str = "stadium") -> DataFrame:
 
 def park_table(spark: SparkSession) -> DataFrame:
     """The fixed park dimensions (ten rows), safe to broadcast."""
-    return F.broadcast(spark.createDataFrame(schema.park_rows(), schema.PARK_SCHEMA))
+    return F.broadcast(spark.createDataFrame(schema.PARKS, schema.PARK_SCHEMA))
 
 
 def attach_dimensions(df: DataFrame, dims: DataFrame, place: str = "stadium") -> DataFrame:

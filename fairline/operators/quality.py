@@ -125,25 +125,26 @@ def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_stats(df, columns, {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev}).join(medians, "feature", "left")
 
 
+#: Column pairs of one aggregation.
+PAIRS_PER_PASS = 100
+
+
 def correlation_pairs(df: DataFrame, columns: list[str], threshold: float = 0.7) -> DataFrame:
     """Pearson correlation of column pairs above a threshold.
 
-    A few columns are one aggregation of ``corr`` terms; many go through the
-    distributed covariance matrix of Spark ML (columns x columns, not rows).
+    Each pair uses the rows that have both values, whatever the other columns hold. Pairs are aggregated in chunks, each
+    one pass with a single partial row per task.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if len(pairs) <= 150:
-        wide = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-        rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-        long = wide.select(F.explode(rows).alias("_r")).select("_r.*")
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df.select(*columns))
-        matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-        values = [(a, b, float(matrix[columns.index(a)][columns.index(b)])) for a, b in pairs]
-        long = df.sparkSession.createDataFrame(values, "feature_a string, feature_b string, r double")
+    long = None
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk = pairs[at : at + PAIRS_PER_PASS]
+        wide = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
+        rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(chunk)])
+        part = wide.select(F.explode(rows).alias("_r")).select("_r.*")
+        long = part if long is None else long.unionByName(part)
+    if long is None:
+        raise ValueError("correlation needs two columns")
     return long.where(F.abs("r") > threshold)
 
 

@@ -11,7 +11,7 @@ from fairline.functions.durable import materialise
 from fairline.operators import aggregate as A
 from fairline.operators import clean, evaluate, form, interaction, join, market, model, physics, rolling, schedule, streak
 from fairline.operators.quality import validate_dataset
-from fairline.schema import offset_rows
+from fairline.schema import STADIUM_OFFSET
 
 GAME_KEYS = ["date", "game_pk", "batter", "home_team", "away_team", "bat_team"]
 RATE_COLUMNS = ["roll10_hr_rate", "roll30d_hr_rate", "p_roll10_hr_rate", "p_roll30d_hr_rate", "power_form_hr_rate"]
@@ -119,7 +119,7 @@ def build_feature_table(
     groups["ballpark"] = [c for c in games.columns if c not in known]
 
     known = games.columns
-    offsets = F.broadcast(spark.createDataFrame(offset_rows(), "stadium string, utc_offset int"))
+    offsets = F.broadcast(spark.createDataFrame(list(STADIUM_OFFSET.items()), "stadium string, utc_offset int"))
     timed = schedule.numbered(games.withColumns({"game_hour": clean.infer_game_hour(F.col("date")), "_home": F.col("bat_team") == F.col("home_team")}), "date")
     timed = schedule.rest_deficit(schedule.fatigue_state(timed, "batter", "game_pk"), "batter", "game_pk")
     timed = schedule.travel_features(timed, "batter", "game_pk", "stadium", offsets, home="_home")

@@ -24,10 +24,12 @@ def read_pitch_events(
     else:
         raw = spark.read.format(kind).load(path)
     require_columns(raw, [n for n, _ in required])
+    # a typed date column keeps the filter pushed to the source; text is tried, so a bad date drops its row only
+    day = F.col("game_date") if raw.schema["game_date"].dataType.typeName() in ("date", "timestamp") else F.col("game_date").try_cast("date")
     if first:
-        raw = raw.where(F.col("game_date") >= F.lit(first).cast("date"))
+        raw = raw.where(day >= F.lit(first).cast("date"))
     if last:
-        raw = raw.where(F.col("game_date") <= F.lit(last).cast("date"))
+        raw = raw.where(day <= F.lit(last).cast("date"))
     typed = raw.select(*[
         (F.col(n).try_cast(t) if n in raw.columns else F.lit(None).cast(t)).alias(n) for n, t in [*required, *optional]])
     return normalise_dates(derive_event_flags(filter_regular_season(typed)))
@@ -68,21 +70,29 @@ def attach_weather_csv(games: DataFrame, weather: DataFrame | None) -> DataFrame
     return games.join(weather, ["date", "stadium"], "left")
 
 
-def read_dataset_union(spark: SparkSession, pattern: str, keys: list[str] | None = None) -> DataFrame:
-    """All snapshots with the union of their columns, unreadable files skipped.
+def read_dataset_union(spark: SparkSession, pattern: str, keys: list[str] | None = None, skip_unreadable: bool = False) -> DataFrame:
+    """All snapshots with the union of their columns.
 
-    With ``keys``, overlapping snapshots keep the row of the newest file (by
-    name); the choice is a mergeable aggregate, not a sort.
+    An unreadable file is an error unless ``skip_unreadable`` is set; ``skipped_files`` then tells which. With
+    ``keys``, overlapping snapshots keep the row of the newest file (by name), of equal ones the largest row; the
+    choice is a mergeable aggregate, not a sort.
     """
-    rows = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(pattern)
+    rows = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_unreadable).parquet(pattern)
     if not keys:
         return rows
     tagged = rows.withColumn("_file", F.col("_metadata.file_path"))
     rest = [c for c in rows.columns if c not in keys]
-    newest = tagged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_file")).alias("_r"))
+    newest = tagged.groupBy(*keys).agg(F.max(F.struct(F.col("_file"), *rest)).alias("_r"))
     return newest.select(*keys, "_r.*").select(*rows.columns)
 
 
+def skipped_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Files of the pattern that give no row when unreadable ones are skipped (column ``path``)."""
+    there = spark.read.format("binaryFile").load(pattern).select("path")
+    read = spark.read.option("ignoreCorruptFiles", True).parquet(pattern).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return there.join(read, "path", "left_anti")
+
+
 def write_snapshot(df: DataFrame, folder: str, name: str, date: str) -> tuple[str, str]:
     """A dated snapshot and the ``latest`` copy, both snappy; the copy re-reads the snapshot."""
     dated, latest = f"{folder}/{name}_{date}.parquet", f"{folder}/{name}_latest.parquet"

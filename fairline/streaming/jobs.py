@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fairline.functions.durable import materialise
+from fairline.operators.market import EXACT, accept_within_limit
 from fairline.operators.monitor import AlertRule, matched_rules
 from fairline.sources.store import PAIR_SUMS, matchup_increment, merge_partials
 
@@ -60,18 +62,24 @@ def alert_rules_stream(errors: DataFrame, ts: str, component: str, severity: str
 
 
 def suppress_repeats_stream(alerts: DataFrame, key: str, ts: str, gap_seconds: int = 3600) -> DataFrame:
-    """Drop an alert less than ``gap_seconds`` after the last one let through for its key (state: one time per key)."""
+    """Drop an alert less than ``gap_seconds`` after the last one let through for its key (state: one time per key).
+
+    The distinct moments of a key in a micro-batch are put in order over all its Arrow batches. A moment that comes in
+    a later micro-batch than younger ones already let through is dropped: its time has been decided.
+    """
     def keep(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
+        moments: set[int] = set()
         for frame in frames:
-            sent = []
-            for moment in sorted(frame["seconds"]):
-                if last is None or moment - last >= gap_seconds:
-                    last = int(moment)
-                    sent.append(last)
-            yield pd.DataFrame({key: [keys[0]] * len(sent), "seconds": sent})
+            moments.update(int(x) for x in frame["seconds"])
+        sent = []
+        for moment in sorted(moments):
+            if last is None or moment - last >= gap_seconds:
+                last = moment
+                sent.append(moment)
         if last is not None:
             state.update((last,))
+        yield pd.DataFrame({key: [keys[0]] * len(sent), "seconds": sent})
 
     kind = alerts.schema[key].dataType.simpleString()
     moments = alerts.select(key, F.unix_timestamp(ts).alias("seconds"))
@@ -85,32 +93,25 @@ def throughput_stream(events: DataFrame, ts: str, operation: str, seconds: int,
     return counts.select(operation, F.col("w.start").alias("window_start"), "n", (F.col("n") / seconds).alias("rate_per_second"))
 
 
-def accept_within_limit_stream(bets: DataFrame, day: str, ts: str, key: str, stake: str, limit: float, late: str = "1 day", keep_days: int = 2) -> DataFrame:
-    """First-fit acceptance with a running total per day; the state is one number and expires with the watermark.
+def accept_within_limit_stream(bets: DataFrame, path: str, checkpoint: str, day: str, ts: str, key: str, stake: str, limit: float) -> None:
+    """First-fit acceptance with a running total per day, one micro-batch after the other.
 
-    Rows are taken in arrival order of their Arrow batches, sorted by time inside each.
+    Each batch is the batch operator on its rows in time order, starting from the days' totals so far, so neither the
+    size of a day nor how its rows are cut into Arrow batches or files matters. Rows of an earlier time that arrive in
+    a later batch are judged after those already decided. Decisions go to ``decided/_batch=i``; batch ``i`` turns the
+    totals ``used/v{i}`` into ``used/v{i + 1}``, so a repeated batch writes the same again.
     """
-    def decide(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        total = state.get[0] if state.exists else 0.0
-        for frame in frames:
-            ordered = frame.sort_values(["moment", key])
-            flags = []
-            for amount in ordered[stake]:
-                fits = total + amount <= limit
-                total += amount if fits else 0.0
-                flags.append(int(fits))
-            yield pd.DataFrame({day: [keys[0]] * len(flags), key: ordered[key].to_list(), "accepted": flags})
-        state.update((float(total),))
-        expiry = (pd.Timestamp(keys[0]) + pd.Timedelta(days=keep_days)).value // 1_000_000
-        state.setTimeoutTimestamp(max(int(expiry), state.getCurrentWatermarkMs() + 1))
-
-    kind = bets.schema[key].dataType.simpleString()
-    timed = bets.withWatermark(ts, late).select(day, ts, F.unix_micros(ts).alias("moment"), key, stake)
-    return timed.groupBy(day).applyInPandasWithState(
-        decide, f"{day} date, {key} {kind}, accepted int", "total double", "append", GroupStateTimeout.EventTimeTimeout)
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = materialise(batch.select(day, F.unix_micros(ts).alias("moment"), key, stake))
+        used = spark.read.parquet(f"{path}/used/v{batch_id}") if batch_id else None
+        decided = materialise(accept_within_limit(rows, day, ["moment"], key, stake, limit, used=used))
+        decided.select(day, key, F.col("accepted").cast("int").alias("accepted")).write.mode("overwrite").parquet(f"{path}/decided/{_BATCH}={batch_id}")
+        taken = decided.where("accepted = 1").groupBy(day).agg(F.sum(F.col(stake).cast(EXACT)).cast(EXACT).alias("used"))
+        total = taken if used is None else taken.unionByName(used).groupBy(day).agg(F.sum("used").cast(EXACT).alias("used"))
+        total.write.mode("overwrite").parquet(f"{path}/used/v{batch_id + 1}")
+
+    run_available(bets, checkpoint, "append", decide)
 
 
 def incremental_matchup_update(

@@ -17,8 +17,8 @@ def test_running_limit_over_batches(spark, tmp_path):
     for part in range(3):
         df.where((F.col("key") >= part * 20) & (F.col("key") < part * 20 + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = J.read_file_stream(spark, str(tmp_path / "in"), df.schema, 1).withColumn("day", F.to_date("ts"))
-    J.run_available(J.accept_within_limit_stream(stream, "day", "ts", "key", "stake", 100.0), str(tmp_path / "cp"), "append", J.batch_folder_sink(str(tmp_path / "out")))
-    got = {r.key: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    J.accept_within_limit_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "day", "ts", "key", "stake", 100.0)
+    got = {r.key: r.accepted for r in spark.read.parquet(str(tmp_path / "out" / "decided")).collect()}
     batch = B.accept_within_limit(df.withColumn("day", F.to_date("ts")), "day", ["ts", "key"], "key", "stake", 100.0)
     assert got == {r.key: r.accepted for r in batch.collect()}
 
@@ -33,3 +33,20 @@ def test_pair_totals_over_batches(spark, tmp_path):
     whole = K.matchup_increment(df, "b", "p", "day", "att", "hit", "x", "y").collect()
     assert stored == {(r.b, r.p): (r.pa, r.hr, r.ev_sum) for r in whole}
     assert K.current_version(spark, str(tmp_path / "store")) == 3
+
+
+def test_running_limit_over_many_arrow_batches(spark, tmp_path):
+    random.seed(10)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 3), random.randint(1, 3000) / 100) for i in range(25_000)]
+    shuffled = rows[:]
+    random.shuffle(shuffled)
+    spark.createDataFrame(shuffled, "key bigint, ts timestamp, stake double").repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = J.read_file_stream(spark, str(tmp_path / "in"), "key bigint, ts timestamp, stake double").withColumn("day", F.to_date("ts"))
+    J.accept_within_limit_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "day", "ts", "key", "stake", 900.0)
+    got = {r.key for r in spark.read.parquet(str(tmp_path / "out" / "decided")).where("accepted = 1").collect()}
+    total, want = 0, set()
+    for key, _, stake in rows:
+        if total + round(stake * 100) <= 90_000:
+            total += round(stake * 100)
+            want.add(key)
+    assert got == want
