@@ -16,17 +16,18 @@ from fairline.llm.registry import documents, query
 from fairline.llm.substrings import without_repeats
 from fairline.llm.suffix_tree import score_texts
 from fairline.llm.token_counts import token_counts
+from fairline.llm.twins import MIXING, quality_sql
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", quality_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(documents(spark, sf_dir), carry=["doc_id"])
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-@query("op1_pareto_mixing")
+@query("op1_pareto_mixing", MIXING)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir), carry=["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
