@@ -110,7 +110,7 @@ def _texts_and_blocks(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     keys = [xxhash.xxh3_128_digest(data[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist())]
                     key = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
                     found.append((np.full(len(rank), number), rank, key[:, 0], key[:, 1], anchor, first, last))
-                    if sum(len(f[0]) for f in found) > 200_000:
+                    if sum(len(f[0]) for f in found) > 60_000:
                         yield _pass_rows(found)
                         found = []
                 number += 1
