@@ -13,12 +13,13 @@ from fairline.operators import join as J
 
 @query("j1_join_starters", "l_orderkey:l opp_team:s n:l starter:l", f"""
 WITH {LI}, g AS (SELECT l_orderkey, hand AS opp_team, count(*) AS n FROM li GROUP BY 1, 2),
-s AS (SELECT l_orderkey, hand, first(ent ORDER BY inning, day, l_partkey, ent) AS starter FROM li WHERE inning <= 3 GROUP BY 1, 2)
+s AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey, hand, first(ent ORDER BY inning, day, l_partkey, ent) AS starter FROM li GROUP BY 1, 2)
 SELECT g.*, starter FROM g LEFT JOIN s ON g.l_orderkey = s.l_orderkey AND opp_team = hand""")
 def _(spark, sf):
     rows = li(spark, sf)
     games = rows.groupBy("l_orderkey", F.col("hand").alias("opp_team")).agg(F.count(F.lit(1)).alias("n"))
-    starters = A.first_per_group(rows.where("inning <= 3"), ["l_orderkey", "hand"], "ent",
+    other = rows.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 7 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")))
+    starters = A.first_per_group(other, ["l_orderkey", "hand"], "ent",
                                  ["inning", "day", "l_partkey", "ent"], "starter")
     return J.join_starters(games, starters, "l_orderkey", "opp_team", "hand")
 
@@ -36,16 +37,16 @@ def _(spark, sf):
 
 @query("j3_join_names", "o_orderkey:l name:s", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN c_mktsegment || ' ' || c_name END AS name FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+LEFT JOIN customer ON o_custkey = CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "unknown").otherwise(F.col("o_custkey").cast("string")).alias("id"))
-    register = table(spark, sf, "customer").where("c_acctbal > 0")
+    register = table(spark, sf, "customer").withColumn("c_custkey", F.expr("CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END"))
     return J.join_names(rows, register, "id", "c_custkey", "c_mktsegment", "c_name")
 
 
 WIDE = """w AS (SELECT ent, day, sum(att) FILTER (hand = 'R') AS R_pa, sum(att) FILTER (hand = 'A') AS A_pa,
-  avg(x) FILTER (hand = 'R') AS R_x, avg(x) FILTER (hand = 'A') AS A_x FROM li WHERE hand <> 'N' GROUP BY 1, 2)"""
+  avg(x) FILTER (hand = 'R') AS R_x, avg(x) FILTER (hand = 'A') AS A_x FROM li GROUP BY 1, 2)"""
 
 
 @query("j4_join_pivoted_splits", "ent:l day:d n:l R_pa:l A_pa:l R_x:f A_x:f", f"""
@@ -54,7 +55,7 @@ SELECT g.*, R_pa, A_pa, R_x, A_x FROM g LEFT JOIN w USING (ent, day)""")
 def _(spark, sf):
     rows = li(spark, sf)
     games = rows.groupBy("ent", "day").agg(F.count(F.lit(1)).alias("n"))
-    wide = rows.where("hand <> 'N'").groupBy("ent", "day").pivot("hand", ["R", "A"]).agg(
+    wide = rows.groupBy("ent", "day").pivot("hand", ["R", "A"]).agg(
         F.sum("att").alias("pa"), F.avg("x").alias("x"))
     return J.join_pivoted_splits(games, wide, "ent", "day")
 
@@ -124,9 +125,9 @@ def _(spark, sf):
     return J.similar_group_cutoff(games(rows), pair_days(spark, sf), profile(rows), "ent", "opp", "day", "1999-12-31")
 
 
-WEATHER = """wx AS (SELECT day AS date, park AS stadium, avg(x) + 40 AS temperature, avg(speed) / 3 AS wind_speed,
+WEATHER = """wx AS (SELECT day AS date, CASE WHEN park < 20 THEN park ELSE park + 100 END AS stadium, avg(x) + 40 AS temperature, avg(speed) / 3 AS wind_speed,
   CAST(sum(l_orderkey) % 360 AS DOUBLE) AS wind_direction, avg(inning) * 10 AS humidity, 29 + avg(hit) AS pressure
-  FROM li WHERE park < 20 GROUP BY 1, 2)"""
+  FROM li GROUP BY 1, 2)"""
 GAME_DAYS = "gd AS (SELECT ent, park AS stadium, day AS date, sum(hit) AS hr FROM li GROUP BY 1, 2, 3)"
 WX = "coalesce(temperature, 72) AS temperature, coalesce(wind_speed, 5) AS wind_speed, coalesce(wind_direction, 0) AS " \
      "wind_direction, coalesce(humidity, 50) AS humidity, coalesce(pressure, 29.92) AS pressure"
@@ -134,7 +135,7 @@ WX_SPEC = "temperature:f wind_speed:f wind_direction:f humidity:f pressure:f"
 
 
 def weather(rows):
-    return rows.where("park < 20").groupBy(F.col("day").alias("date"), F.col("park").alias("stadium")).agg(
+    return rows.groupBy(F.col("day").alias("date"), F.expr("CASE WHEN park < 20 THEN park ELSE park + 100 END").alias("stadium")).agg(
         (F.avg("x") + 40).alias("temperature"), (F.avg("speed") / 3).alias("wind_speed"),
         (F.sum("l_orderkey") % 360).cast("double").alias("wind_direction"), (F.avg("inning") * 10).alias("humidity"),
         (29 + F.avg("hit")).alias("pressure"))
@@ -160,14 +161,14 @@ def _(spark, sf):
     return J.accept_feed(holes, feed)
 
 
-ODDS = """od AS (SELECT date, 'Player ' || player AS batter_name, max(odds_yes) AS odds_hr_yes, max(bookmaker) AS bookmaker
-  FROM board WHERE offer % 3 <> 0 GROUP BY 1, 2), pr AS (SELECT offer, date, 'Player ' || player AS batter_name, p FROM board)"""
+ODDS = """od AS (SELECT date, CASE WHEN offer % 3 <> 0 THEN 'Player ' ELSE 'Other ' END || player AS batter_name, max(odds_yes) AS odds_hr_yes, max(bookmaker) AS bookmaker
+  FROM board GROUP BY 1, 2), pr AS (SELECT offer, date, 'Player ' || player AS batter_name, p FROM board)"""
 
 
 def odds_sides(spark, sf):
     board = odds_board(spark, sf)
-    odds = board.where("offer % 3 <> 0").groupBy(
-        "date", F.concat(F.lit(" "), "player", F.lit(", Player ")).alias("batter_name")).agg(
+    odds = board.groupBy(
+        "date", F.concat(F.lit(" "), "player", F.expr("CASE WHEN offer % 3 <> 0 THEN ', Player ' ELSE ', Other ' END")).alias("batter_name")).agg(
         F.max("odds_yes").alias("odds_hr_yes"), F.max("bookmaker").alias("bookmaker"))
     return board.select("offer", "date", F.concat(F.lit("Player "), "player").alias("batter_name"), "p"), odds
 
@@ -192,18 +193,18 @@ def _(spark, sf):
 
 
 @query("j12_match_names_contains", "target:s name:s", """
-WITH t AS (SELECT DISTINCT upper(p_name) AS target FROM part WHERE p_name IS NOT NULL AND p_size < 10
+WITH t AS (SELECT DISTINCT upper(p_name) || CASE WHEN p_size < 10 THEN '' ELSE ' OTHER' END AS target FROM part WHERE p_name IS NOT NULL
   UNION SELECT DISTINCT p_type FROM part), n AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS name FROM part)
 SELECT target, name FROM n JOIN t ON contains(lower(name), lower(target))""")
 def _(spark, sf):
     parts = table(spark, sf, "part")
-    targets = parts.where("p_size < 10").select(F.upper("p_name").alias("target")).union(parts.select("p_type"))
+    targets = parts.select(F.concat(F.upper("p_name"), F.when(F.col("p_size") < 10, "").otherwise(" OTHER")).alias("target")).union(parts.select("p_type"))
     names = parts.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
     return J.match_names_contains(names, "name", targets, "target")
 
 
 @query("j12_template_rows", "target:s last_orderkey:l recent_price:f recent_rows:l", """
-WITH m AS (SELECT 'MEMBER ' || c_custkey || '#' AS target, c_custkey AS k FROM customer WHERE c_acctbal > 9000),
+WITH m AS (SELECT CASE WHEN c_acctbal > 9000 THEN 'MEMBER ' ELSE 'OTHER ' END || c_custkey || '#' AS target, CASE WHEN c_acctbal > 9000 THEN c_custkey END AS k FROM customer),
 r AS (SELECT target, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY target ORDER BY o_orderdate DESC, o_orderkey DESC)
   AS rk FROM orders JOIN m ON o_custkey = k)
 SELECT target, max(CASE WHEN rk = 1 THEN o_orderkey END) AS last_orderkey, avg(o_totalprice) AS recent_price,
@@ -212,8 +213,8 @@ def _(spark, sf):
     orders = table(spark, sf, "orders").select(
         F.concat(F.lit("Mr Member "), "o_custkey", F.lit("# x")).alias("name"), "o_orderdate",
         F.col("o_orderkey").alias("last_orderkey"), F.col("o_totalprice").alias("price"))
-    targets = table(spark, sf, "customer").where("c_acctbal > 9000").select(
-        F.concat(F.lit("MEMBER "), "c_custkey", F.lit("#")).alias("target"))
+    targets = table(spark, sf, "customer").select(
+        F.concat(F.when(F.col("c_acctbal") > 9000, "MEMBER ").otherwise("OTHER "), "c_custkey", F.lit("#")).alias("target"))
     matches = J.match_names_contains(orders, "name", targets, "target")
     return J.template_rows(orders, matches, "name", [F.desc("o_orderdate"), F.desc("last_orderkey")],
                            ["last_orderkey"], ["price"])
@@ -232,27 +233,27 @@ def _(spark, sf):
 
 @query("j14_rebuild_recent_report", "game_id:l game_date:d player_name:s hits:l pitcher:l temperature:f", """
 SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, p.player_name, p.hits, s.pitcher, w.temperature
-FROM orders LEFT JOIN (SELECT l_orderkey, 'part ' || l_partkey AS player_name, count(*) AS hits FROM lineitem
-  WHERE l_linestatus = 'F' GROUP BY 1, 2) p ON p.l_orderkey = o_orderkey
+FROM orders LEFT JOIN (SELECT CASE WHEN l_linestatus = 'F' THEN l_orderkey ELSE -l_orderkey END AS l_orderkey, 'part ' || l_partkey AS player_name, count(*) AS hits FROM lineitem
+  GROUP BY 1, 2) p ON p.l_orderkey = o_orderkey
 LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS pitcher, max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS is_starter
   FROM lineitem GROUP BY 1) s ON s.l_orderkey = o_orderkey AND s.is_starter = 1
-LEFT JOIN (SELECT l_orderkey, avg(l_quantity) AS temperature FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) w
+LEFT JOIN (SELECT CASE WHEN l_returnflag = 'A' THEN l_orderkey ELSE -l_orderkey END AS l_orderkey, avg(l_quantity) AS temperature FROM lineitem GROUP BY 1) w
   ON w.l_orderkey = o_orderkey
 WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' AND p.player_name IS NOT NULL""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("game_id", F.col("l_orderkey"))
     games_ = table(spark, sf, "orders").select(F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"))
-    performances = lines.where("l_linestatus = 'F'").groupBy(
-        "game_id", F.concat(F.lit("part "), "l_partkey").alias("player_name")).agg(F.count(F.lit(1)).alias("hits"))
+    performances = lines.groupBy(
+        F.expr("CASE WHEN l_linestatus = 'F' THEN game_id ELSE -game_id END").alias("game_id"), F.concat(F.lit("part "), "l_partkey").alias("player_name")).agg(F.count(F.lit(1)).alias("hits"))
     starters = lines.groupBy("game_id").agg(
         F.min("l_suppkey").alias("pitcher"), F.max((F.col("l_linenumber") == 1).cast("int")).alias("is_starter"))
-    climate = lines.where("l_returnflag = 'A'").groupBy("game_id").agg(F.avg("l_quantity").alias("temperature"))
+    climate = lines.groupBy(F.expr("CASE WHEN l_returnflag = 'A' THEN game_id ELSE -game_id END").alias("game_id")).agg(F.avg("l_quantity").alias("temperature"))
     return J.rebuild_recent_report(games_, performances, starters, climate, "game_date", "1997-01-01", "1999-12-31")
 
 
 @query("j15_lookup_matchup_features", "ent:l opp:l pa:l handedness:s velocity_tier:s vs_hand_pa:l vs_hand_hr_rate:f "
        "vs_velocity_pa:l vs_velocity_hr_rate:f", f"""
-WITH {LI}, {PROFILE}, {SIMILAR}, m AS (SELECT ent, opp, sum(att) AS pa FROM li WHERE day < DATE '1998-01-01' GROUP BY 1, 2),
+WITH {LI}, {PROFILE}, {SIMILAR}, m AS (SELECT ent, opp, sum(att) AS pa FROM li GROUP BY 1, 2),
 q AS (SELECT DISTINCT ent, cust % 30 AS opp FROM li)
 SELECT q.ent, q.opp, m.pa, handedness, velocity_tier, h.pa AS vs_hand_pa, h.hr / h.pa AS vs_hand_hr_rate,
   v.pa AS vs_velocity_pa, v.hr / v.pa AS vs_velocity_hr_rate
@@ -262,17 +263,17 @@ LEFT JOIN sim v ON v.ent = q.ent AND v.group_type = 'velocity' AND v.group_value
 def _(spark, sf):
     rows = li(spark, sf)
     batch = rows.select("ent", (F.col("cust") % 30).alias("opp")).distinct()
-    stored = rows.where("day < DATE '1998-01-01'").groupBy("ent", "opp").agg(F.sum("att").alias("pa"))
+    stored = rows.groupBy("ent", "opp").agg(F.sum("att").alias("pa"))
     shapes = profile(rows)
     return J.lookup_matchup_features(batch, stored, shapes, A.similarity_stats(rows, shapes, "ent", "opp", "att", "hit"), "ent", "opp")
 
 
 @query("j16_join_pitch_slg", "ent:l day:d n:l slg_A:f slg_R:f", f"""
-WITH {LI}, s AS (SELECT ent, day, sum(hit) FILTER (hand = 'A') / nullif(count(*) FILTER (hand = 'A'), 0) AS slg_A,
-  sum(hit) FILTER (hand = 'R') / nullif(count(*) FILTER (hand = 'R'), 0) AS slg_R FROM li WHERE att = 1 GROUP BY 1, 2),
+WITH {LI}, s AS (SELECT ent, day, avg(hit) FILTER (hand = 'A' AND att = 1) AS slg_A,
+  avg(hit) FILTER (hand = 'R' AND att = 1) AS slg_R FROM li GROUP BY 1, 2),
 g AS (SELECT ent, day, count(*) AS n FROM li GROUP BY 1, 2) SELECT g.*, slg_A, slg_R FROM g LEFT JOIN s USING (ent, day)""")
 def _(spark, sf):
     rows = li(spark, sf)
-    slg = rows.where("att = 1").groupBy("ent", "day").agg(
-        *[F.avg(F.when(F.col("hand") == k, F.col("hit"))).alias(f"slg_{k}") for k in ("A", "R")])
+    slg = rows.groupBy("ent", "day").agg(
+        *[F.avg(F.when((F.col("hand") == k) & (F.col("att") == 1), F.col("hit"))).alias(f"slg_{k}") for k in ("A", "R")])
     return J.join_pitch_slg(rows.groupBy("ent", "day").agg(F.count(F.lit(1)).alias("n")), slg, "ent", "day")

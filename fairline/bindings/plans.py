@@ -49,12 +49,12 @@ def _(spark, sf):
 
 
 @query("x2_build_prediction_table", "target:s last_offer:l recent_total:f recent_rows:l", """
-WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders), r AS (SELECT 'PLAYER ' || c_custkey || '#' AS target, o_orderkey, o_totalprice,
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders), r AS (SELECT 'PLAYER ' || CASE WHEN c_acctbal > 5000 THEN '' ELSE 'x' END || c_custkey || '#' AS target, o_orderkey, o_totalprice,
   row_number() OVER (PARTITION BY c_custkey ORDER BY d DESC, o_orderkey DESC) AS k FROM o JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND d >= (SELECT max(d) FROM o) - 400)
 SELECT target, max(CASE WHEN k = 1 THEN o_orderkey END) AS last_offer, avg(o_totalprice) AS recent_total, count(*) AS recent_rows FROM r WHERE k <= 10 GROUP BY 1""")
 def _(spark, sf):
     history = odds_board(spark, sf).select(F.col("offer").alias("last_offer"), F.concat(F.lit("Jr Player "), "player", F.lit("#")).alias("name"), "date", "total")
-    targets = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("PLAYER "), "c_custkey", F.lit("#")).alias("target"))
+    targets = table(spark, sf, "customer").select(F.concat(F.lit("PLAYER "), F.when(F.col("c_acctbal") > 5000, "").otherwise("x"), "c_custkey", F.lit("#")).alias("target"))
     return X.build_prediction_table(history, targets, "name", "target", "date", [F.desc("date"), F.desc("last_offer")], ["last_offer"], ["total"], days=400)
 
 

@@ -9,14 +9,14 @@ from fairline.bindings.registry import query, table
 from fairline.operators import schedule as H
 
 GAMES = EV + """, g AS (SELECT user_id, day, CASE WHEN hr < 14 THEN 0 ELSE 1 END AS half, count(*) AS n,
-  CAST(datediff('day', DATE '1970-01-01', day) AS INTEGER) AS dn FROM ev WHERE event_type <> 'view' GROUP BY 1, 2, 3),
+  CAST(datediff('day', DATE '1970-01-01', day) AS INTEGER) AS dn FROM ev GROUP BY 1, 2, 3),
 q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY dn, half) AS r, (user_id * 7 + dn // 2) % 25 AS place,
   (user_id + dn // 3) % 2 AS home FROM g)"""
 KEYS = "user_id:l day:d half:i "
 
 
 def game_rows(spark, sf):
-    rows = ev(spark, sf).where("event_type <> 'view'").groupBy(
+    rows = ev(spark, sf).groupBy(
         "user_id", "day", F.when(F.col("hr") < 14, 0).otherwise(1).alias("half")).agg(F.count(F.lit(1)).alias("n"))
     return H.numbered(rows, "day").withColumns({
         "place": (F.col("user_id") * 7 + F.floor(F.col("dn") / 2)) % 25, "home": (F.col("user_id") + F.floor(F.col("dn") / 3)) % 2})
@@ -52,8 +52,8 @@ SELECT b.user_id, b.day, b.half, CASE WHEN b.moved THEN abs(b.s) ELSE 0 END AS t
   CASE WHEN b.moved AND b.flip THEN 1 ELSE 0 END AS home_away_transition, CASE WHEN a.jl > 0 AND b.gap >= 1 THEN a.jl * (1 - 0.5 * least(b.gap, 3)) ELSE 0 END AS time_zone_adjustment
 FROM t b LEFT JOIN t a ON a.user_id = b.user_id AND a.r = b.r - 1""")
 def _(spark, sf):
-    offsets = table(spark, sf, "nation").where("n_nationkey < 20").select(
-        F.col("n_nationkey").alias("place"), (-5 - F.col("n_nationkey") % 4).alias("utc_offset"))
+    offsets = table(spark, sf, "nation").select(
+        F.expr("CASE WHEN n_nationkey < 20 THEN n_nationkey ELSE n_nationkey + 100 END").alias("place"), (-5 - F.col("n_nationkey") % 4).alias("utc_offset"))
     return H.travel_features(game_rows(spark, sf), "user_id", "half", "place", offsets, home="home")
 
 
