@@ -14,6 +14,7 @@ from fairline.operators.quality import validate_dataset
 from fairline.schema import STADIUM_OFFSET
 
 GAME_KEYS = ["date", "game_pk", "batter", "home_team", "away_team", "bat_team"]
+BAT_TRACKING = ["bat_speed", "attack_angle", "attack_direction", "swing_path_tilt"]
 RATE_COLUMNS = ["roll10_hr_rate", "roll30d_hr_rate", "p_roll10_hr_rate", "p_roll30d_hr_rate", "power_form_hr_rate"]
 
 
@@ -32,9 +33,14 @@ def _block(groups: dict[str, list[str]], name: str, df: DataFrame, keys: list[st
 
 def build_feature_table(
     events: DataFrame, pitch_types: list[str], weather: DataFrame | None = None, impute: str | None = None,
+    fit_before: str | None = None, fitted: DataFrame | None = None,
 ) -> FeatureTable:
     """One row per (batter, game) with all point-in-time features.
 
+    Pitcher profiles and the table-wide statistics of the interaction features come from rows before the date
+    ``fit_before`` (or from ``fitted``, the statistics row of a training table); without either they describe the whole
+    table, which is right for a closed history only. Bat-tracking columns are averaged and rolled where events have them.
+
     ``events`` are cleaned event rows (see ``read_pitch_events``). Features live
     at (batter, day) or (pitcher, day) grain, are computed by one window
     partitioning per key and meet the game rows in equi joins; the only rows at
@@ -46,16 +52,17 @@ def build_feature_table(
         "p_throws": F.coalesce("p_throws", F.lit("R")), "def_team": F.when(F.col("bat_team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team")),
         "score_diff": F.when(F.col("bat_team") == F.col("home_team"), F.col("post_home_score") - F.col("post_away_score")).otherwise(
             F.col("post_away_score") - F.col("post_home_score"))})
-    measures = {"launch_speed": "launch_speed", "launch_angle": "launch_angle"}
+    means = ["launch_speed", "launch_angle", *[c for c in BAT_TRACKING if c in events.columns]]
+    measures = {c: c for c in means}
     games = A.entity_game_agg(rows, GAME_KEYS, {"pa": "is_pa", "hr": "is_hr"}, measures, ("hr", "hit_hr"))
     games = clean.derive_opponent(clean.attach_park(games), "home_team", "away_team", "bat_team")
 
     daily = A.entity_game_agg(rows, key, {"pa": "is_pa", "hr": "is_hr"}, measures).withColumn("dn", F.unix_date("date"))
-    sums, means = ["pa", "hr"], ["launch_speed", "launch_angle"]
+    sums = ["pa", "hr"]
     rolled = rolling.rolling_days_lagged(rolling.rolling_rows_lagged(daily, ["batter"], ["dn"], sums, means), ["batter"], "dn", sums, means)
     rolled = rolling.rate_and_flags(
         rolled, {"roll10_hr_rate": ("roll10_hr", "roll10_pa"), "roll30d_hr_rate": ("roll30d_hr", "roll30d_pa")}, "roll10_launch_speed", "roll10_launch_angle")
-    blocks = [_block(groups, "core", rolled.drop("pa", "hr", "launch_speed", "launch_angle", "dn"), key)]
+    blocks = [_block(groups, "core", rolled.drop("pa", "hr", "dn", *means), key)]
 
     hands = A.split_day_agg(rows, "batter", "p_throws", "date", {"pa": "is_pa", "hr": "is_hr"}, {"ev": "launch_speed", "la": "launch_angle"})
     blocks.append(_block(groups, "core", rolling.split_rolling_pivot(hands, "batter", "p_throws", ["R", "L"], "date", sums, ["ev", "la"]), key))
@@ -74,7 +81,8 @@ def build_feature_table(
     groups["core"].append("exp_slg_vs_mix")
 
     pairs = A.pair_day_agg(rows, "batter", "pitcher", "date", "is_pa", "is_hr", "launch_speed", "launch_angle").withColumnRenamed("pitcher", "opp_starter")
-    profiles = A.opponent_profile(rows, "pitcher", "release_speed", "p_throws", "pitch_type").withColumnRenamed("pitcher", "opp_starter")
+    past = rows if fit_before is None else rows.where(F.col("date") < F.lit(fit_before).cast("date"))
+    profiles = A.opponent_profile(past, "pitcher", "release_speed", "p_throws", "pitch_type").withColumnRenamed("pitcher", "opp_starter")
     known = games.columns
     games = rolling.matchup_features(games, pairs, ["batter", "opp_starter"], "date")
     games = join.similar_group_history(games, pairs, profiles, "batter", "opp_starter", "date")
@@ -129,7 +137,9 @@ def build_feature_table(
     groups["temporal_fatigue"] = [c for c in games.columns if c not in known]
 
     games, known = materialise(games), games.columns
-    games = interaction.feature_interactions(games)
+    if fitted is None and fit_before is not None:
+        fitted = interaction.global_statistics(games.where(F.col("date") < F.lit(fit_before).cast("date")))
+    games = interaction.feature_interactions(games, fitted)
     groups["interactions"] = [c for c in games.columns if c not in known]
     games = clean.clip_rate_columns(games, RATE_COLUMNS)
     if impute:
@@ -145,11 +155,18 @@ def checked_feature_table(table: FeatureTable) -> DataFrame:
 
 def build_prediction_table(
     history: DataFrame, targets: DataFrame, name: str, target: str, date: str, order: list, template: list[str], means: list[str], days: int = 45,
+    defaults: dict[str, float] | None = None, median_columns: tuple[str, ...] = (), zero_columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The last days of history matched to target names: newest row as template, means of the newest ten."""
+    """The last days of history matched to target names: newest row as template, means of the newest ten.
+
+    Missing values are then filled by ``defaults``, medians or zero as P13 does.
+    """
     recent = clean.filter_last_days(history, date, days)
     matches = join.match_names_contains(recent, name, targets, target)
-    return join.template_rows(recent, matches, name, order, template, means)
+    rows = join.template_rows(recent, matches, name, order, template, means)
+    if not (defaults or median_columns or zero_columns):
+        return rows
+    return clean.fill_prediction_defaults(rows, defaults or {}, list(median_columns), list(zero_columns))
 
 
 @dataclass
@@ -162,13 +179,13 @@ class DailyReport:
 def daily_opportunities(
     predictions: DataFrame, odds: DataFrame, day: str, name: str, p: str, yes: str, no: str, key: str, min_ev: float = 0.05, min_confidence: float = 0.0,
 ) -> DailyReport:
-    """Calibrate scores by percentile, attach quotes, price, rank and summarise."""
+    """Calibrate scores by percentile, attach quotes, price, rank (best expected value first) and summarise."""
     calibrated = market.calibrate_percentile(predictions, p).withColumn("model_probability", F.col("calibrated"))
     quoted = join.join_odds(calibrated, odds, day, name, [yes, no], "bookmaker")
     priced = market.price_market(quoted, "model_probability", yes, no)
     chosen = market.find_opportunities(priced, "model_probability", yes, min_ev=min_ev, min_confidence=min_confidence)
     return DailyReport(
-        chosen, market.near_misses(priced, "model_probability", yes, key, min_ev=min_ev),
+        chosen.orderBy(F.desc("expected_value"), key), market.near_misses(priced, "model_probability", yes, key, min_ev=min_ev),
         market.opportunity_summary(priced, chosen, "model_probability", yes))
 
 
