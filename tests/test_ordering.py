@@ -1,10 +1,12 @@
 """Range-sliced running totals, ranks and quantiles against plain Python, with one group holding most rows."""
 
+import os
 import random
 import statistics
 
 import numpy as np
 
+from fairline.functions import durable
 from fairline.functions import ordering as O
 
 
@@ -38,3 +40,11 @@ def test_exact_quantiles(spark):
     want_b = [i for i in range(150) if i % 5]
     for r in O.exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
         assert abs(r.value - np.quantile(want_a if r.feature == "a" else want_b, r.fraction)) < 1e-9
+
+
+def test_written_cuts_go_with_their_scope(spark):
+    with durable.cuts_removed(spark):
+        cut = durable.materialise(spark.range(5))
+        files = [path.removeprefix("file:") for path in cut.inputFiles()]
+        assert cut.count() == 5 and all(os.path.exists(path) for path in files)
+    assert files and not any(os.path.exists(path) for path in files)
