@@ -54,6 +54,17 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(kept[r[0]] for r in rows) and not any(kept[r[0]] for r in junk)
 
 
+def test_quality_of_labelled_tables(spark):
+    """Tables and symbol junk (labelled 0) that pass the base rules go, documents labelled 1 stay."""
+    sf = "/root/testdata/sf0.01"
+    judged = quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), carry=["doc_id"]).where("not base_failed")
+    rows = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "n_symbols", "word_chars", "kept").collect()
+    bad = [r["n_symbols"] / r["word_chars"] for r in rows if r["quality"] == 0]
+    assert min(bad) < 0.13 and max(bad) > 0.3 and not any(r["kept"] for r in rows if r["quality"] == 0)
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert len(good) > 300 and all(good)
+
+
 def test_quality_is_repeatable_and_takes_an_empty_table(some, empty):
     first = sorted((r["doc_id"], r["kept"], r["distance"] or 0) for r in quality_rules(some).collect())
     second = sorted((r["doc_id"], r["kept"], r["distance"] or 0) for r in quality_rules(some.repartition(7)).collect())
