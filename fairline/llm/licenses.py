@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words.
 
-Licence templates are indexed by word and position. Of the licence words a file holds, those with the highest inverse
-document frequency (counted over the whole table) are looked up; every occurrence votes for (template, file position
-minus template position). The best-voted places are compared with the template word by word, and a template counts if
-enough of its words stand there and its mandatory phrase does.
+Licence templates are indexed by word and position. Of each template's words that a file holds, those with the highest
+inverse document frequency (counted over the whole table) are looked up; every occurrence votes for (template, file
+position minus template position). So many are looked up that a place with enough of the template's words can't go
+without votes. Places with enough votes are compared with the template word by word, and a template counts if enough of
+its words stand there and its mandatory phrase does.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ TEMPLATES = {
     "cc-by-sa": [("licensed under cc by sa 4.0", "cc by sa")],
     "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee")],
 }
-#: Different licence words of a file that are looked up.
+#: Different words of a template that are looked up at least, if the file holds them.
 RARE = 12
 #: Share of a template's words that must stand at the place found.
 LEAST = 0.8
@@ -70,51 +71,56 @@ def phrase_places(words: list[str], phrases: dict[str, str] = PHRASES) -> list[t
 
 
 class Index:
-    """Word -> positions in the templates, with weights that say how rare a word is in the documents."""
+    """Word -> positions by template, with weights that say how rare a word is in the documents."""
 
     def __init__(self, templates: dict, weight: dict[str, float]):
-        self.weight = weight
         self.templates = []
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.vocabulary: set[str] = set()
         for label, notices in templates.items():
             for notice, key in notices:
                 words = words_of(notice)
+                positions: dict[str, list[int]] = defaultdict(list)
                 for position, word in enumerate(words):
-                    self.postings[word].append((len(self.templates), position))
-                self.templates.append((label, words, words_of(key)))
+                    positions[word].append(position)
+                rarest = sorted(positions, key=lambda w: (-weight.get(w, 0.0), w))
+                # words that may differ where a template counts
+                spare = max((m for m in range(len(words)) if (len(words) - m) / len(words) >= LEAST), default=-1)
+                self.templates.append((label, words, words_of(key), [(w, positions[w]) for w in rarest], spare))
+                self.vocabulary.update(words)
 
     def matches(self, words: list[str]) -> dict[str, float]:
         """Label -> share of the template's words found at its best place, for templates that count."""
         held: dict[str, list[int]] = defaultdict(list)
-        postings = self.postings
+        vocabulary = self.vocabulary
         for i, w in enumerate(words):
-            if w in postings:
+            if w in vocabulary:
                 held[w].append(i)
-        # a template whose mandatory phrase can't be there needs no look-up
-        live = {t for t, (_, _, key) in enumerate(self.templates) if held.keys() >= set(key)}
-        if not live:
-            return {}
-        rare = sorted(held, key=lambda w: (-self.weight.get(w, 0.0), w))[:RARE]
-        votes: Counter = Counter()
-        asked: Counter = Counter()
-        for w in rare:
-            asked.update({t for t, _ in postings[w]} & live)
-            for template, position in postings[w]:
-                if template in live:
-                    for i in held[w]:
-                        votes[template, i - position] += 1
         out: dict[str, float] = {}
-        for (template, start), n in votes.items():
-            label, notice, key = self.templates[template]
-            if 2 * n < asked[template]:  # at least half of the words looked up must agree on the place
+        for label, notice, key, rarest, spare in self.templates:
+            # a template whose mandatory phrase can't be there needs no look-up
+            if not held.keys() >= set(key):
                 continue
-            low = max(0, start - 3)
-            around = words[low : max(0, start) + len(notice) + 3]
-            if not phrase_places(around, {" ".join(key): label}):
+            left = spare - sum(len(positions) for w, positions in rarest if w not in held)
+            if left < 0:
                 continue
-            share = sum(a == b for a, b in zip(notice, words[start:] if start >= 0 else [""] * -start + words)) / len(notice)
-            if share >= LEAST and share > out.get(label, 0.0):
-                out[label] = share
+            votes: Counter = Counter()
+            asked = 0
+            for k, (w, positions) in enumerate((w, p) for w, p in rarest if w in held):
+                if k >= RARE and asked > left:
+                    break
+                asked += len(positions)
+                votes.update(i - position for position in positions for i in held[w])
+            for start, n in votes.items():
+                if n < asked - left:  # more words differ than may
+                    continue
+                low = max(0, start - 3)
+                around = words[low : max(0, start) + len(notice) + 3]
+                if not phrase_places(around, {" ".join(key): label}):
+                    continue
+                there = words[max(0, start) : max(0, start + len(notice))]
+                share = sum(a == b for a, b in zip(notice, [""] * -start + there)) / len(notice)
+                if share >= LEAST and share > out.get(label, 0.0):
+                    out[label] = share
         return out
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairline.llm.language import language_id
-from fairline.llm.licenses import license_scan, phrase_places, words_of
+from fairline.llm.licenses import TEMPLATES, Index, license_scan, phrase_places, words_of
 from fairline.llm.mixing import mix
 from fairline.llm.personal import KINDS, personal_data, redacted, written_spans
 from fairline.llm.quality import quality_rules
@@ -194,6 +194,53 @@ def test_licence_templates(spark):
     assert phrase_places(words_of("CC BY cc by")) == [(0, "cc-by"), (2, "cc-by")]
 
 
+def test_several_licences_of_a_file(spark):
+    """Notices whose words are common are found beside the rare words of others."""
+    apache, permission = (notice for label, k in (("apache-2.0", 1), ("mit", 2)) for notice, _ in [TEMPLATES[label][k]])
+    bsd, isc = TEMPLATES["bsd"][0][0], TEMPLATES["isc"][0][0]
+    prose = "the redistribution of a binary for a fee or charge by obtaining source forms with modification and restriction met "
+    files = {
+        0: (f"{bsd}. Released under the MIT License", "bsd,mit"),
+        1: (f"{bsd}. {isc}. Licensed under CC BY-NC 4.0. This work is licensed under the GNU General Public License version 3. {apache}",
+            "apache-2.0,bsd,cc-by,cc-by-nc,gpl,gpl-3.0,isc"),
+        2: (prose * 20 + "Released under the MIT License", "mit"),
+    }
+    differing = apache.split()
+    for k in (9, 11, 12, 13, 15):  # rare ones, within the fifth that may differ
+        differing[k] = "other"
+    files[4] = (" ".join(differing) + " " + apache.split(" ", 9)[9], "apache-2.0")
+    common = [(100 + i, f"Released under the MIT License. {permission}. {apache}") for i in range(30)]
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in files.items()), *common], "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in license_scan(docs).collect()}
+    for i in (0, 1, 2, 4):
+        assert labels[i] == files[i][1]
+
+
+def test_licence_index_misses_no_place():
+    """Against every place of every template."""
+    rng = random.Random(17)
+    notices = [(label, words_of(n), k) for label, ns in TEMPLATES.items() for n, k in ns]
+    pool = sorted({w for _, n, _ in notices for w in n})
+    weight = {w: rng.random() for w in pool}
+    index = Index(TEMPLATES, weight)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = list(rng.choice(notices)[1])
+            for _ in range(rng.randint(0, len(part) // 4)):
+                part[rng.randrange(len(part))] = rng.choice(pool)
+            words += part[rng.randint(0, 3) :] + rng.choices(pool, k=rng.randint(0, 30))
+        want = {}
+        for label, notice, key in notices:
+            for start in range(-len(notice) + 1, len(words)):
+                there = [""] * -start + words[max(0, start) : max(0, start + len(notice))]
+                share = sum(a == b for a, b in zip(notice, there)) / len(notice)
+                around = " " + " ".join(words[max(0, start - 3) : max(0, start) + len(notice) + 3]) + " "
+                if share >= 0.8 and f" {' '.join(words_of(key))} " in around:
+                    want[label] = max(share, want.get(label, 0.0))
+        assert index.matches(words) == want
+
+
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
