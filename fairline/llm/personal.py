@@ -2,8 +2,8 @@
 
 Addresses, card and phone numbers of fixed forms are found by pattern. They seed a graph of lexical patterns (the word
 before an identifier) and instances (identifier-like tokens). Pattern and instance scores feed each other over a few
-rounds: a pattern is worth the share of the documents using its word in which a scored instance follows, an instance
-is as likely as its patterns make it. Patterns of high worth then label tokens that no fixed form covers. Only
+rounds: a pattern is worth the share of the documents using its word in which a scored instance follows (copies of a
+text are one document), an instance is as likely as its patterns make it. Patterns of high worth then label tokens that no fixed form covers. Only
 DataFrame expressions are used.
 """
 
@@ -125,8 +125,8 @@ def _plausible(kind: Column, found: Column) -> Column:
 
 def _scored(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Patterns that may label tokens: ``before``, ``kind`` and ``worth``."""
-    pairs = candidates.groupBy("before", "found", "seed").agg(F.count(F.lit(1)).alias("n"))
     kind = F.explode(F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.array(*[F.lit(k) for k in KINDS])))
+    pairs = candidates.groupBy("before", "found", "seed").agg(F.count(F.lit(1)).alias("n"))
     edges = materialise(
         pairs.withColumn("kind", kind)
         .where(F.col("seed").isNotNull() | _plausible(F.col("kind"), F.col("found")))
@@ -134,15 +134,36 @@ def _scored(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         .groupBy("before", "found", "kind").agg(F.max("seeded").alias("seeded"))
     )
     heads = materialise(edges.groupBy("before").agg(F.countDistinct("found").alias("n")).where(F.col("n") >= SUPPORT).select("before"))
-    used = texts.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(w)))).alias("before"))
-    uses = materialise(used.join(heads, "before").groupBy("before").agg(F.count(F.lit(1)).alias("uses")))
+    hashed = texts.select(F.md5("text").alias("doc"), "text")
+    copied = materialise(hashed.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    used = hashed.select(
+        "doc", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(w)))).alias("before")
+    ).join(heads, "before").join(copied, "doc", "left")
+    # every copy of a text has its words, so a count of rows is a multiple of the copies
+    by_copies = used.groupBy("before", F.coalesce("copies", F.lit(1)).alias("copies")).agg(F.count(F.lit(1)).alias("rows"))
+    uses = materialise(by_copies.groupBy("before").agg(F.sum(F.expr("rows div copies")).alias("uses")))
     linked = materialise(edges.join(uses, "before"))
+    # documents with the same instances after a word are counted together
+    follows = (
+        candidates.select("doc", "before", "found").join(uses.select("before"), "before", "left_semi")
+        .groupBy("doc", "before").agg(F.sort_array(F.collect_set("found")).alias("founds"))
+    )
+    groups = materialise(
+        follows.groupBy("before", "founds").agg(F.count(F.lit(1)).alias("docs"))
+        .select("before", F.monotonically_increasing_id().alias("group"), "docs", F.explode("founds").alias("found"))
+    )
+    members = materialise(groups.join(edges.select("before", "found", "kind"), ["before", "found"]))
     score = linked.groupBy("found", "kind").agg(F.max("seeded").alias("score"))
     worth = None
     for _ in range(ROUNDS):
-        mass = linked.join(score, ["found", "kind"]).groupBy("before", "kind").agg(
-            F.sum("score").alias("mass"), F.sum((F.col("score") >= CONFIDENT).cast("int")).alias("support"), F.max("uses").alias("uses")
+        support = linked.join(score.where(F.col("score") >= CONFIDENT), ["found", "kind"]).groupBy("before", "kind").agg(
+            F.count(F.lit(1)).alias("support"), F.max("uses").alias("uses")
+        )
+        # a document is as sure as its likeliest instance
+        each = members.join(score, ["found", "kind"]).groupBy("before", "kind", "group").agg(
+            F.max("score").alias("score"), F.max("docs").alias("docs")
         )
+        mass = each.groupBy("before", "kind").agg(F.sum(F.col("score") * F.col("docs")).alias("mass")).join(support, ["before", "kind"])
         worth = materialise(
             mass.where(F.col("support") >= SUPPORT)
             .select("before", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("uses")).alias("worth"))
@@ -163,12 +184,13 @@ def personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None =
     texts have none. Repeated rows get the same spans; an empty table gives an empty result; columns named like added
     ones are left out. A text's own spans are one row's work; seeds, patterns and instances are joined as tables.
     """
-    added = ("base", "spans", "_row", "_more", "_tokens", "_text")
+    added = ("base", "spans", "_row", "_doc", "_more", "_tokens", "_text")
     rest = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
     whole = F.coalesce(F.col(text), F.lit(""))
     forms = [_form(whole, k) for k in range(len(KINDS))]
     written = materialise(
-        docs.select(*rest, F.concat(*forms).alias("base"), _context(whole).alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+        docs.select(*rest, F.concat(*forms).alias("base"), _context(whole).alias("_tokens"), F.md5(whole).alias("_doc"),
+                    F.monotonically_increasing_id().alias("_row"))
     )
 
     def kind_of(t: Column) -> Column:
@@ -176,11 +198,11 @@ def personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None =
         return F.get(F.array(*[F.lit(k) for k in KINDS]), F.get(over, F.lit(0))["kind"])
 
     tokens = written.where(F.size("_tokens") > 0).select(
-        "_row",
+        "_row", F.col("_doc").alias("doc"),
         F.explode(F.transform("_tokens", lambda t: F.struct(
             t["start"].alias("start"), t["end"].alias("end"), t["found"].alias("found"), t["before"].alias("before"), kind_of(t).alias("seed")
         ))).alias("t"),
-    ).select("_row", "t.*")
+    ).select("_row", "doc", "t.*")
     tokens = materialise(tokens)
     patterns = _scored(tokens, docs.select(whole.alias("text")))
     fresh = tokens.where(F.col("seed").isNull()).join(patterns, "before").where(_plausible(F.col("kind"), F.col("found")))
@@ -188,7 +210,7 @@ def personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None =
     # one kind for a token: the worthiest, then the first listed
     best = fresh.groupBy("_row", "start", "end").agg(F.min(F.struct((-F.col("worth")).alias("w"), place.alias("kind")))["kind"].alias("kind"))
     more = best.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more"))
-    joined = written.drop("_tokens").join(more, "_row", "left")
+    joined = written.drop("_tokens", "_doc").join(more, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     return joined.select(*rest, "base", every.alias("spans"))
 

@@ -281,3 +281,15 @@ def test_personal_data_learns_contexts(spark):
     shown = personal_data(docs).select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).where("doc_id = 100").first()["t"]
     assert shown == "hello Tel: <phone>, thanks"
 
+
+
+def test_personal_data_of_copies(spark):
+    """A pattern's worth changes neither by copies, with or without an identifier, nor by one that many documents share."""
+    rows = [(i, f"hello there Tel: +1 555 123 45{i:02d} thanks") for i in range(20)]
+    rows += [(1000 + i, rows[7][1]) for i in range(300)] + [(2000 + i, "call the Tel: of the office") for i in range(300)]
+    rows += [(3000 + i, f"page {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]} support: help@firm.example end") for i in range(60)]
+    rows += [(4000 + i, f"support: user{i}@firm.example") for i in range(3)]
+    new = [(100, "hello Tel: 555 987 6543, thanks"), (101, "there were 555 987 6543 thanks"), (102, "ask support: ann@intranet now")]
+    docs = spark.createDataFrame(rows + new, "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in personal_data(docs).withColumn("s", written_spans(F.col("spans"))).collect()}
+    assert (found[100], found[101], found[102]) == ("phone:11:23", "", "email:13:25")
