@@ -5,8 +5,8 @@ itself chooses: of the grams in a 200-byte string the one with the smallest hash
 have equal anchors at equal offsets, so nothing is missed, and strings that share an anchor at consecutive starts form
 one block. Blocks whose anchor rank is unique leave. A block found whole elsewhere is settled (each distinct block is
 then carried once, as evidence for others). The rest is ranked at the full offset: each 200-byte string of a block by
-its own hash among the blocks of its anchor rank. Anchor ranks with very many distinct blocks are first ranked at an
-offset in between, which deals them out finer.
+its own hash among the blocks of its anchor rank. Strings of anchor ranks with very many distinct blocks become rows of
+their own and are counted by (rank, hash), so no task holds such a rank.
 """
 
 from __future__ import annotations
@@ -29,10 +29,8 @@ LENGTH, GRAM = 200, 24
 SPAN = LENGTH - GRAM + 1
 #: Window starts looked at together.
 SEGMENT = 1 << 20
-#: Distinct blocks of an anchor rank above which it is dealt out by a longer rank.
+#: Distinct blocks of an anchor rank above which its strings are counted as rows.
 HOT = 20_000
-#: Offsets between a string's start and its anchor that such a longer rank takes together.
-STEP = 22
 #: Blocks that a task ranks together.
 TOGETHER = 10_000
 
@@ -141,25 +139,49 @@ def _pass_rows(found: list[tuple]) -> pd.DataFrame:
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes of the blocks wanted of each text; blocks of hot ranks in pieces under a rank of their own."""
+    """Bytes of the blocks wanted of each text."""
     unpack = zstandard.ZstdDecompressor()
-    hasher = Hasher()
     for batch in batches:
         rows = []
+        for data, wanted in zip(batch["data"], batch["wanted"]):
+            data = unpack.decompress(data)
+            rows += [(w["rank"], w["k1"], w["k2"], data[w["first"] : w["last"] + LENGTH]) for w in wanted]
+        yield pd.DataFrame(rows, columns=["rank", "k1", "k2", "data"])
+
+
+def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of all strings of the blocks wanted of each text."""
+    unpack, hasher = zstandard.ZstdDecompressor(), Hasher()
+
+    def joined(parts: list[tuple]) -> pd.DataFrame:
+        sizes = [len(h) for *_, h in parts]
+        keys = {c: np.repeat(np.array([p[k] for p in parts], dtype=np.int64), sizes) for k, c in enumerate(("rank", "k1", "k2"))}
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        return pd.DataFrame({**keys, "at": at, "hash": np.concatenate([p[3] for p in parts])})
+
+    for batch in batches:
+        parts: list[tuple] = []
         for data, wanted in zip(batch["data"], batch["wanted"]):
             data = unpack.decompress(data)
             for w in wanted:
-                if not w["hot"]:
-                    rows.append((w["rank"], w["k1"], w["k2"], 0, data[w["first"] : w["last"] + LENGTH]))
-                    continue
-                for j in range(0, SPAN, STEP):  # starts whose anchor lies j .. j + STEP - 1 bytes on
-                    low, high = max(w["first"], w["anchor"] - j - STEP + 1), min(w["last"], w["anchor"] - j)
-                    if low > high:
-                        continue
-                    core = data[w["anchor"] - j : w["anchor"] - j - STEP + 1 + LENGTH]
-                    rank = xxhash.xxh3_64_intdigest(core, seed=j) - (1 << 63)
-                    rows.append((rank, w["k1"], w["k2"], low - w["first"], data[low : high + LENGTH]))
-        yield pd.DataFrame(rows, columns=["rank", "k1", "k2", "base", "data"])
+                b = np.frombuffer(data, dtype=np.uint8, count=w["last"] - w["first"] + LENGTH, offset=w["first"])
+                parts.append((w["rank"], w["k1"], w["k2"], hasher.at(hasher.sums(b), slice(None), LENGTH).astype(np.int64)))
+                if len(parts) >= 1000:
+                    yield joined(parts)
+                    parts = []
+        if parts:
+            yield joined(parts)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of consecutive places of each block."""
+    for batch in batches:
+        rows = []
+        for k1, k2, places in zip(batch["k1"], batch["k2"], batch["places"]):
+            places = np.sort(np.asarray(places))
+            gap = np.diff(places) > 1
+            rows += [(k1, k2, low, high) for low, high in zip(places[np.r_[True, gap]], places[np.r_[gap, True]])]
+        yield pd.DataFrame(rows, columns=["k1", "k2", "low", "high"])
 
 
 def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,10 +206,9 @@ def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = np.flatnonzero(twice & (edge | ~np.r_[False, twice[:-1]]))
         last = np.flatnonzero(twice & (np.r_[edge[1:], True] | ~np.r_[twice[1:], False]))
         at = row[first]
-        base = part["base"].to_numpy()[at]
         return pd.DataFrame({
             "k1": part["k1"].to_numpy()[at], "k2": part["k2"].to_numpy()[at],
-            "low": (base + offset[first]).astype(np.int32), "high": (base + offset[last]).astype(np.int32),
+            "low": offset[first].astype(np.int32), "high": offset[last].astype(np.int32),
         })
 
     for batch in batches:
@@ -218,13 +239,23 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ranks = distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
     # two strings of one block never equal each other: their anchors would be one place at different offsets
     wanted = distinct.join(ranks, "rank").select("place.*", "rank", "k1", "k2", (F.col("blocks") > HOT).alias("hot"))
-    asked = wanted.groupBy("number").agg(F.collect_list(F.struct("rank", "k1", "k2", "anchor", "first", "last", "hot")).alias("wanted"))
     texts = whole.where(F.col("data").isNotNull()).select("number", "id", "data")
-    pieces = texts.select("number", "data").join(asked, "number").select("data", "wanted")
-    cut = pieces.mapInPandas(_cut, "rank long, k1 long, k2 long, base int, data binary")
-    runs = materialise(
-        cut.repartition("rank").sortWithinPartitions("rank").mapInPandas(_ranked, "k1 long, k2 long, low int, high int")
+    block = F.struct("rank", "k1", "k2", "first", "last")
+
+    def pieces(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("number").agg(F.collect_list(block).alias("wanted"))
+        return texts.select("number", "data").join(asked, "number").select("data", "wanted")
+
+    cut = pieces(wanted.where(~F.col("hot"))).mapInPandas(_cut, "rank long, k1 long, k2 long, data binary")
+    run = "k1 long, k2 long, low int, high int"
+    runs = materialise(cut.repartition("rank").sortWithinPartitions("rank").mapInPandas(_ranked, run))
+    # written, so that without hot ranks the texts aren't shuffled again
+    strings = materialise(
+        pieces(materialise(wanted.where("hot"))).mapInPandas(_strings, "rank long, k1 long, k2 long, at int, hash long")
     )
+    twice = strings.groupBy("rank", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "hash")
+    held = strings.join(twice, ["rank", "hash"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    runs = runs.unionByName(materialise(held.mapInPandas(_runs, run)))
     settled = distinct.where("n > 1").select("k1", "k2").distinct()
     whole_spans = live.join(settled, ["k1", "k2"], "left_semi").select(
         "number", F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high")

@@ -121,6 +121,24 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == removed_by_table([t.encode() for t in texts])
 
 
+def test_hot_ranks_are_counted_as_rows(spark, monkeypatch):
+    """One passage with different surroundings: no task gets the bytes of a hot rank's blocks."""
+
+    def nothing(batches):
+        for batch in batches:
+            assert not len(batch)
+            yield batch[["k1", "k2"]].assign(low=0, high=0)
+
+    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "_ranked", nothing)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(230)
+    texts = [letters(250) + passage + letters(250) for _ in range(50)] + [letters(600)] * 2
+    got = without_repeats(spark.createDataFrame(list(enumerate(texts)), PLAIN).repartition(4)).collect()
+    assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == removed_by_table([t.encode() for t in texts])
+
+
 def test_repeated_substrings_of_tables(some, odd, empty, monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 1000)
     for docs in (some, odd):
