@@ -116,22 +116,30 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample: int) -> tuple[DataFrame, list[str]]:
-    """About ``sample`` rows per language in the order of a hash, written with their feature vectors; and the languages."""
+    """About ``sample`` distinct texts per language, the first by a hash, written with their vectors; and the languages.
+
+    Every language has at least its first text.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.md5(F.col(text)).alias("h")
     )
-    # sizes by language: a handful of rows
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # sizes in distinct texts, and the first hash, by language: a handful of rows
+    hashes = rows.select("lang", "h").distinct()
+    counts = {
+        r["lang"]: (r["n"], r["first"]) for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")).collect()
+    }
     if not counts:
         return rows.select("lang"), []
-    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(v) for name, (n, _) in counts.items() for v in (name, min(1.0, sample / n))])
+    first = F.create_map(*[F.lit(v) for name, (_, h) in counts.items() for v in (name, h)])
     place = F.conv(F.substring("h", 1, 12), 16, 10).cast("double") / float(16**12)
 
     @F.pandas_udf("array<double>")
     def vector(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    chosen = rows.where(place <= share[F.col("lang")])
+    drawn = (place <= share[F.col("lang")]) | (F.col("h") == first[F.col("lang")])
+    chosen = rows.where(drawn).dropDuplicates(["lang", "h"])
     return materialise(chosen.select("lang", vector("text").alias("v"))), sorted(counts)
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fairline.llm.language import language_id
+from fairline.llm.language import labelled_sample, language_id
 from fairline.llm.licenses import TEMPLATES, Index, license_scan, phrase_places, words_of
 from fairline.llm.mixing import mix
 from fairline.llm.personal import KINDS, personal_data, redacted, written_spans
@@ -163,6 +163,18 @@ def test_language_held_out(some, odd, empty):
     assert language_id(empty).count() == 0
 
 
+def test_language_sample_takes_distinct_texts(spark):
+    """Copies don't fill the sample, and a language of few texts in many rows is learned."""
+    texts = [("en", f"english words number {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    rows = texts + [("en", texts[i][1]) for i in range(20) for _ in range(50)] + [("de", "zwei kurze Worte")] * 400
+    docs = spark.createDataFrame([(None, lang, t) for lang, t in rows], "doc_id long, lang string, text string")
+    sample, languages = labelled_sample(docs, "text", "lang", "doc_id", 40)
+    n = Counter(r["lang"] for r in sample.select("lang").collect())
+    assert languages == ["de", "en"] and n["de"] == 1 and 15 <= n["en"] <= 70
+    few, _ = labelled_sample(docs, "text", "lang", "doc_id", 1)
+    assert {r["lang"] for r in few.collect()} == {"de", "en"}
+
+
 def test_language_without_labels(some):
     assert {r["lang_pred"] for r in language_id(some.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
