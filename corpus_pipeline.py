@@ -25,7 +25,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null texts and texts without words are in no class and stay.
     """
-    own = F.concat(F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.md5(F.coalesce("text", F.lit(""))))
+    # null differs from every value; ids come first, so that the smallest key has the smallest id
+    rest = [F.coalesce(F.concat(F.lit("="), F.md5(F.col(c).cast("string"))), F.lit("-")) for c in COLUMNS[1:]]
+    own = F.concat(F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), 20, "0"), *rest)
     keyed = docs.select(*COLUMNS, own.alias("_key"))
     classes = near_duplicates(keyed, "text", "_key").select(F.col("class_id").alias("_key")).distinct()
     return keyed.join(classes, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)

@@ -260,6 +260,15 @@ def test_tree_is_a_distribution_and_prefers_its_language(spark):
     assert tree.score(["The  cat"])[0] == pytest.approx(value, rel=1e-6)
 
 
+def test_rows_without_text_stay(spark):
+    """Only rows repeated in full go, also among those without text or id."""
+    rows = [(None, None, "en", "a", 0), (None, None, "de", "a", 0), (None, None, "en", "b", 0), (None, "", "en", "a", 0),
+            (7, None, "en", "a", 0), (7, None, "en", None, 0), (7, "", "en", "a", 0), (0, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert Counter(tuple(r) for r in left.collect()) == Counter(rows)
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on its predecessor's rows, against what the operators' own tests define."""
     sf = "/root/testdata/sf0.001"
