@@ -16,7 +16,8 @@ from fairline.llm.registry import documents, query
 from fairline.llm.substrings import without_repeats
 from fairline.llm.suffix_tree import score_texts
 from fairline.llm.token_counts import token_counts
-from fairline.llm.twins import MIXING, quality_sql
+from fairline.llm.twins import MIXING, WINDOWS, quality_sql
+from fairline.llm.windows import without_repeated_windows
 
 
 @query("op10_quality_rules", quality_sql())
@@ -78,3 +79,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans")
     )
+
+
+@query("op13_window_dedup", WINDOWS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_windows(documents(spark, sf_dir)).drop("removed")

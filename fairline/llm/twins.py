@@ -99,3 +99,17 @@ u AS (SELECT v.*, {chosen} FROM v LEFT JOIN e a ON a.level = k2 LEFT JOIN e b ON
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     coalesce(NOT base_failed AND {_distance()} <= {Q.LIMIT}, false) AS kept FROM u
 """
+
+
+WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+s AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS at FROM d WHERE len(w) >= 50),
+k AS (SELECT r, doc_id, at, array_to_string(w[at:at + 49], ' ') AS k FROM s),
+f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+x AS (SELECT DISTINCT r, at + j AS at FROM k JOIN f USING (k), range(50) AS t(j) WHERE least < doc_id),
+c AS (SELECT p.r, count(x.at) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.at) FILTER (WHERE x.at IS NULL), '') AS kept
+    FROM p LEFT JOIN x ON x.r = p.r AND x.at = p.at GROUP BY p.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
