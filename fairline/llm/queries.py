@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.llm.alignment import align
+from fairline.llm.conversations import damaged, repair_conversations
 from fairline.llm.decontamination import contaminations
 from fairline.llm.language import language_id
 from fairline.llm.licenses import license_scan
@@ -12,11 +14,11 @@ from fairline.llm.mixing import mix
 from fairline.llm.near_duplicates import near_duplicates
 from fairline.llm.personal import KINDS, count_of, personal_data, written_spans
 from fairline.llm.quality import quality_rules
-from fairline.llm.registry import documents, query
+from fairline.llm.registry import QUERIES, documents, query  # noqa: F401  (QUERIES is what this module fills)
 from fairline.llm.substrings import without_repeats
 from fairline.llm.suffix_tree import score_texts
 from fairline.llm.token_counts import token_counts
-from fairline.llm.twins import MIXING, WINDOWS, quality_sql
+from fairline.llm.twins import CONVERSATIONS, MIXING, WINDOWS, quality_sql
 from fairline.llm.windows import without_repeated_windows
 
 
@@ -84,3 +86,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_window_dedup", WINDOWS)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_windows(documents(spark, sf_dir)).drop("removed")
+
+
+@query("op12_conversation_repair", CONVERSATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(turns), "conv", of=turns.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -103,13 +103,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 WINDOWS = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
-s AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS at FROM d WHERE len(w) >= 50),
-k AS (SELECT r, doc_id, at, array_to_string(w[at:at + 49], ' ') AS k FROM s),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+s AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM d WHERE len(w) >= 50),
+k AS (SELECT r, doc_id, pos, array_to_string(w[pos:pos + 49], ' ') AS k FROM s),
 f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
-x AS (SELECT DISTINCT r, at + j AS at FROM k JOIN f USING (k), range(50) AS t(j) WHERE least < doc_id),
-c AS (SELECT p.r, count(x.at) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.at) FILTER (WHERE x.at IS NULL), '') AS kept
-    FROM p LEFT JOIN x ON x.r = p.r AND x.at = p.at GROUP BY p.r)
+x AS (SELECT DISTINCT r, pos + j AS pos FROM k JOIN f USING (k), range(50) AS t(j) WHERE least < doc_id),
+c AS (SELECT p.r, count(x.pos) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (WHERE x.pos IS NULL), '') AS kept
+    FROM p LEFT JOIN x ON x.r = p.r AND x.pos = p.pos GROUP BY p.r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN c USING (r)
 """
+
+_EDITS = """(VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS st(q, c, q2)"""
+_SAYS = """(VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)) AS sp(q, said, q2)"""
+_INSERTS = r"""(VALUES (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''), (0, 1, 2, E'\nuser:'), (1, 1, 2, E'\nuser:'), (2, 1, 3, E'\nassistant:'), (3, 1, 2, E'\nuser:'),
+    (0, 2, 3, E'\nuser:\nassistant:'), (1, 2, 3, E'\nuser:\nassistant:'), (2, 2, 2, E'\nassistant:\nuser:'), (3, 2, 3, E'\nuser:\nassistant:')) AS i(q, k, q2, said)"""
+
+
+def _with_inserts() -> str:
+    """Ways of ``w`` followed by up to two inserted turns (a third only goes in circles)."""
+    return f"""SELECT w.g, w.n, i.q2 AS q, lpad(CAST(CAST(left(w.way, 9) AS BIGINT) + 5 * i.k AS VARCHAR), 9, '0') || substr(w.way, 10) || repeat('I', i.k) AS way,
+    w.said || i.said AS said FROM w JOIN {_INSERTS} ON i.q = w.q"""
+
+
+#: Row by row over all states; a way is its cost in nine digits and then its audit, so the least string is the best way.
+CONVERSATIONS = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT k.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM c, range(2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM d),
+f AS (SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY n) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY n) || left(role, 1) AS pair FROM o),
+s AS (SELECT g, any_value(conv_id) AS conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g),
+w AS (SELECT g, CAST(0 AS BIGINT) AS n, 0 AS q, '000000000' AS way, '' AS said FROM s
+  UNION ALL SELECT g, n, q, min(way), arg_min(said, way) FROM (
+    SELECT e.g, e.n + 1 AS n, z.q2 AS q, lpad(CAST(CAST(left(e.way, 9) AS BIGINT) + z.cost AS VARCHAR), 9, '0') || substr(e.way, 10) || z.letter AS way, e.said || z.said AS said
+    FROM ({_with_inserts()}) AS e JOIN (
+      SELECT g, n, 2 AS cost, 'D' AS letter, q, q AS q2, '' AS said FROM f, range(4) AS t(q)
+      UNION ALL SELECT g, n, CASE WHEN cut THEN 5 ELSE 0 END, 'K', q, q2, E'
+' || role || ':' || text FROM f JOIN {_EDITS} ON st.c = f.c WHERE NOT blank AND NOT again
+      UNION ALL SELECT g, n, CASE WHEN cut THEN 6 ELSE 1 END, 'R', q, q2, E'
+' || said || ':' || text FROM f, {_SAYS} WHERE NOT blank AND NOT again
+    ) AS z ON z.g = e.g AND z.n = e.n + 1 AND z.q = e.q) GROUP BY g, n, q),
+b AS (SELECT e.g, min(way) AS way, arg_min(said, way) AS said FROM ({_with_inserts()}) AS e JOIN s ON s.g = e.g AND s.n = e.n WHERE q IN (0, 3) GROUP BY e.g),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+    CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(way, 9), '0') AS BIGINT) AS cost,
+    coalesce(substr(way, 10), '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.g = s.g
+"""
