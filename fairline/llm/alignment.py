@@ -10,6 +10,7 @@ once, with the number of its texts that hold it, and gets back one table of coun
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from fairline.functions.durable import materialise
 
 #: UTF-8 bytes of texts taken together; a longer text is a chunk of its own.
-CHUNK = 1 << 20
-#: Units that a worker remembers before it forgets all.
-REMEMBERED = 300_000
+CHUNK = 1 << 19
+#: Units that a worker remembers before it forgets all, and units encoded at once.
+REMEMBERED, TOGETHER = 150_000, 2048
 #: Every so manieth end of the shorter list starts the gallop of those after it.
 STRIDE = 64
 #: Links of a group above which its ids are counted first.
@@ -50,6 +51,7 @@ class ByteTokens:
     """A byte-level tokenizer file, its strings of special tokens taken as plain text; a space is put before each text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -94,13 +96,18 @@ class Encoder:
         self.same = np.zeros(0, dtype=bool)
 
     def _learn(self, units: list[str]) -> None:
-        encoded = [t.encode(units) for t in self.tokens]
-        spelled = [[b"".join(map(t.bytes.__getitem__, ids)) for ids in e] for t, e in zip(self.tokens, encoded)]
-        same = [a == b == (" " + u).encode() for u, a, b in zip(units, *spelled)]
-        for k, e in enumerate(encoded):
-            sizes = np.fromiter(map(len, e), dtype=np.int64, count=len(e))
-            self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum(sizes)])
-            self.flat[k] = np.concatenate([self.flat[k], np.fromiter(chain.from_iterable(e), dtype=np.int32, count=int(sizes.sum()))])
+        flat, sizes, same = ([], []), ([], []), []
+        for i in range(0, len(units), TOGETHER):
+            part = units[i : i + TOGETHER]
+            encoded = [t.encode(part) for t in self.tokens]
+            spelled = [[b"".join(map(t.bytes.__getitem__, ids)) for ids in e] for t, e in zip(self.tokens, encoded)]
+            same += [a == b == (" " + u).encode() for u, a, b in zip(part, *spelled)]
+            for k, e in enumerate(encoded):
+                sizes[k].append(np.fromiter(map(len, e), dtype=np.int64, count=len(e)))
+                flat[k].append(np.fromiter(chain.from_iterable(e), dtype=np.int32, count=int(sizes[k][-1].sum())))
+        for k in (0, 1):
+            self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum(np.concatenate(sizes[k]))])
+            self.flat[k] = np.concatenate([self.flat[k], *flat[k]])
         self.same = np.concatenate([self.same, np.array(same, dtype=bool)])
         self.place.update(zip(units, range(len(self.place), len(self.same))))
 
