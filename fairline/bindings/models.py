@@ -139,6 +139,17 @@ def _(spark, sf):
     return M.apply_isotonic(isotonic, M.predict(model, test, FEATURES), "probability_1")
 
 
+@query("e8_isotonic_regression", "p:f n:l calibrated:f", f"""
+WITH {SRC}, g AS (SELECT p, count(*) AS n, sum(label) AS pos FROM m GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY p) AS cn, sum(pos) OVER (ORDER BY p) AS cp FROM g),
+a AS (SELECT x.p, l.p AS l, min((r.cp - l.cp + l.pos) / (r.cn - l.cn + l.n)) AS v FROM c x JOIN c l ON l.p <= x.p JOIN c r ON r.p >= x.p GROUP BY 1, 2)
+SELECT g.p, any_value(n) AS n, least(greatest(max(v), 0.000001), 0.999999) AS calibrated FROM a JOIN g ON g.p = a.p GROUP BY 1""")
+def _(spark, sf):
+    """Greatest of the least means over all ranges of scores around a score (min-max formula)."""
+    scored = rows(spark, sf)
+    points = scored.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return M.apply_isotonic(M.fit_isotonic(scored, "p", "label"), points, "p")
+
+
 @query("e11_expanding_cv", "metric:s mean:f std:f")
 def _(spark, sf):
     return M.cv_summary(M.expanding_cv(rows(spark, sf), "date", FEATURES[:5], "label", folds=3, settings=SMALL))

@@ -27,8 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _SCRATCH[application]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back.
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet (a folder for each value of ``by``) and read it back.
 
     Used where two branches must see the very same rows (range-partition
     numbers depend on sampling) and where iteration would grow the lineage.
@@ -37,7 +37,7 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -181,22 +181,37 @@ def entity_rates(
     rows collapse to day totals first, then one expanding window adds them up.
     Otherwise one row per entity over the whole history.
     """
-    columns = []
-    for r in rates:
-        columns += [F.sum(r.top.cast("double")).alias(f"_t_{r.name}"), F.sum(r.bottom.cast("double")).alias(f"_b_{r.name}")]
-    parts = [f"_{side}_{r.name}" for r in rates for side in "tb"]
-    if as_of:
-        daily = df.groupBy(entity, day).agg(*columns)
-        before = all_before([entity], [day])
-        totals = daily.select(entity, day, *[F.sum(c).over(before).alias(c) for c in parts])
-        keys = [entity, day]
-    else:
-        totals, keys = df.groupBy(entity).agg(*columns), [entity]
-    for r in rates:
-        value = ratio(F.col(f"_t_{r.name}"), F.col(f"_b_{r.name}"))
-        other = F.lit(r.fallback) if isinstance(r.fallback, float) else F.col(r.fallback)
-        totals = totals.withColumn(r.name, F.coalesce(value, other))
-    out = totals.select(*keys, *[r.name for r in rates])
+    parts = rate_parts(rates)
+    if not as_of:
+        return _rated(df.groupBy(entity).agg(*[F.sum(c).alias(n) for n, c in parts.items()]), [entity], rates, derived)
+    daily = df.groupBy(entity, day).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
+    return rates_before(daily, entity, day, rates, derived)
+
+
+def rate_parts(rates: list[Rate]) -> dict[str, Column]:
+    """The event-grain columns whose sums give the rates."""
+    return {f"_{side}_{r.name}": c.cast("double") for r in rates for side, c in (("t", r.top), ("b", r.bottom))}
+
+
+def rates_before(
+    daily: DataFrame, entity: str, day: str, rates: list[Rate], derived: dict[str, Column] | None = None, parts: dict[str, str] | None = None,
+) -> DataFrame:
+    """Rates over strictly earlier days from day sums; ``parts`` tells the column of a part where parts share one."""
+    before = all_before([entity], [day])
+    names = {n: n for n in rate_parts(rates)} if parts is None else parts
+    sums = daily.select(entity, day, *[F.sum(c).over(before).alias(c) for c in dict.fromkeys(names.values())])
+    return _rated(sums, [entity, day], rates, derived, names)
+
+
+def _rated(totals: DataFrame, keys: list[str], rates: list[Rate], derived: dict[str, Column] | None, names: dict[str, str] | None = None) -> DataFrame:
+    def part(side: str, r: Rate) -> Column:
+        name = f"_{side}_{r.name}"
+        return F.col(names[name] if names else name)
+
+    plain = {r.name: F.coalesce(ratio(part("t", r), part("b", r)), F.lit(r.fallback)) for r in rates if isinstance(r.fallback, float)}
+    others = {r.name: F.coalesce(ratio(part("t", r), part("b", r)), F.col(r.fallback)) for r in rates if not isinstance(r.fallback, float)}
+    out = totals.withColumns(plain)
+    out = (out.withColumns(others) if others else out).select(*keys, *[r.name for r in rates])
     return out.withColumns(derived) if derived else out
 
 

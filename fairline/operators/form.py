@@ -172,28 +172,29 @@ def discipline_form(days: DataFrame, entity: str, decay: Decay = RECENT) -> Data
     )
 
 
-def _newest_per_day(events: DataFrame, entity: str, day: str, order: list[str], value: str, k: int, out: str) -> DataFrame:
-    """The last ``k`` values of each (entity, day) in event order; limited before the shuffle."""
-    window = Window.partitionBy(entity, day).orderBy(*[F.desc(c) for c in order])
-    kept = events.where(F.col(value).isNotNull()).select(
-        entity, day, *order, F.col(value).cast("double").alias("_x"), F.row_number().over(window).alias("_k")
-    ).where(F.col("_k") <= k)
-    pairs = F.sort_array(F.collect_list(F.struct((-F.col("_k")).alias("k"), F.col("_x").alias("x"))))
-    return kept.groupBy(entity, day).agg(F.transform(pairs, lambda p: p["x"]).alias(out))
-
-
 def recent_n_indicators(
     events: DataFrame, entity: str, day: str, order: list[str], hit: str, speed: str, days: int = 60,
 ) -> DataFrame:
     """Hot, cold, slump, surge and momentum from the last 10 or 20 events before each day.
 
-    Each day keeps its newest 20 events at most; a game needs no more than the
-    days of its look-back, so arrays stay short however many events a day has.
+    One sort ranks a day's events from its end; each day keeps its newest 20 outcomes and 10 speeds, and counts no more
+    than 20 events, which is all that the thresholds ask. A game needs no more than the days of its look-back, so arrays
+    stay short however many events a day has.
     """
-    base = events.groupBy(entity, day).agg(F.count(F.lit(1)).alias("n"))
-    hits = _newest_per_day(events, entity, day, order, hit, 20, "_hits")
-    speeds = _newest_per_day(events, entity, day, order, speed, 10, "_speeds")
-    daily = base.join(hits, [entity, day], "left").join(speeds, [entity, day], "left").withColumn("dn", day_number(day))
+    keep = {"hits": 20, "speeds": 10}
+    back = Window.partitionBy(entity, day).orderBy(*[F.desc(c) for c in order])
+    through = back.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = events.select(
+        entity, day, F.col(hit).cast("double").alias("_hits"), F.col(speed).cast("double").alias("_speeds"), F.row_number().over(back).alias("_k"),
+        F.count(hit).over(through).alias("_k_hits"), F.count(speed).over(through).alias("_k_speeds"),
+    ).where((F.col("_k_hits") <= keep["hits"]) | (F.col("_k_speeds") <= keep["speeds"]) | (F.col("_k") <= 20))
+
+    def newest(name: str) -> Column:
+        inside = F.col(f"_{name}").isNotNull() & (F.col(f"_k_{name}") <= keep[name])
+        pairs = F.sort_array(F.collect_list(F.when(inside, F.struct((-F.col("_k")).alias("k"), F.col(f"_{name}").alias("x")))))
+        return F.transform(pairs, lambda p: p["x"]).alias(f"_{name}")
+
+    daily = ranked.groupBy(entity, day).agg(F.count(F.when(F.col("_k") <= 20, 1)).alias("n"), newest("hits"), newest("speeds")).withColumn("dn", day_number(day))
     frame = days_before([entity], "dn", days)
     staged = daily.select(
         entity, day, F.coalesce(F.sum("n").over(frame), F.lit(0)).alias("seen"),

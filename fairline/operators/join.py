@@ -95,23 +95,32 @@ def lookback_range_join(
 def similar_group_history(
     games: DataFrame, pairs: DataFrame, profiles: DataFrame, entity: str, opponent: str, day: str,
 ) -> DataFrame:
-    """Earlier attempts and hits against *other* opponents of the same hand and of the same speed tier."""
+    """Earlier attempts and hits against *other* opponents of the same hand and of the same speed tier.
+
+    A pair counts for three groups: its own, the hand and the tier. Both sides are exploded once and met by one look-up.
+    """
     shape = profiles.select(opponent, "handedness", "velocity_tier")
-    # Both sides feed three look-ups: write them once (day grain) instead of aggregating the events three times.
-    known = materialise(pairs.select(entity, opponent, day, "pa", "hr").join(shape, opponent))
+    values = {"own": F.col(opponent).cast("string"), "hand": F.col("handedness"), "velocity": F.col("velocity_tier")}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()]))
+
+    def spread(df: DataFrame, *keep: str) -> DataFrame:
+        return df.select(entity, day, *keep, kinds.alias("_g")).select(entity, day, *keep, "_g.*").where("value is not null")
+
+    known = spread(pairs.join(shape, opponent), "pa", "hr")
     rows = materialise(games.join(shape, opponent, "left"))
-    own = totals_before(rows, known, [entity, opponent], day, {"own_pa": "pa", "own_hr": "hr"})
-    out = rows.join(own, [entity, opponent, day], "left")
-    for label, group in (("hand", "handedness"), ("velocity", "velocity_tier")):
-        total = totals_before(rows.where(F.col(group).isNotNull()), known, [entity, group], day, {"g_pa": "pa", "g_hr": "hr"})
-        out = out.join(total, [entity, group, day], "left")
-        pa = F.coalesce(F.col("g_pa") - F.col("own_pa"), F.lit(0))
-        hr = F.coalesce(F.col("g_hr") - F.col("own_hr"), F.lit(0))
-        out = out.withColumns({
-            f"vs_similar_{label}_pa": pa, f"vs_similar_{label}_hr": hr,
-            f"vs_similar_{label}_hr_rate": hr / F.greatest(pa, F.lit(1)),
-        }).drop("g_pa", "g_hr")
-    return out.drop("own_pa", "own_hr", "handedness", "velocity_tier")
+    asked = spread(rows.select(entity, opponent, day, "handedness", "velocity_tier").distinct(), opponent)
+    totals = totals_before(asked, known, [entity, "kind", "value"], day, {"g_pa": "pa", "g_hr": "hr"})
+
+    def of(kind: str, column: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    found = asked.join(totals, [entity, "kind", "value", day]).groupBy(entity, opponent, day).agg(
+        *[of(k, f"g_{m}").alias(f"_{k}_{m}") for k in values for m in ("pa", "hr")])
+    terms = {}
+    for label in ("hand", "velocity"):
+        pa, hr = (F.coalesce(F.col(f"_{label}_{m}") - F.col(f"_own_{m}"), F.lit(0)) for m in ("pa", "hr"))
+        terms |= {f"vs_similar_{label}_pa": pa, f"vs_similar_{label}_hr": hr, f"vs_similar_{label}_hr_rate": hr / F.greatest(pa, F.lit(1))}
+    return rows.join(found, [entity, opponent, day], "left").select(*games.columns, *[c.alias(n) for n, c in terms.items()])
 
 
 def similar_group_cutoff(

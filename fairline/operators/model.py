@@ -1,4 +1,4 @@
-"""Model training, calibration and scoring with Spark ML."""
+"""Model training, calibration and scoring with Spark ML (E5-E7, E11-E13, E16, E17); calibration (E8) is in ``calibrate``."""
 
 from __future__ import annotations
 
@@ -10,15 +10,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.operators.calibrate import apply_isotonic, fit_isotonic  # noqa: F401  (part of the model family)
 from fairline.operators.clean import finite_columns
 from fairline.operators.evaluate import aggregate_cv, binary_metrics, expanding_folds
 
-SURE = 1e-6
-
 
 @dataclass(frozen=True)
 class ModelSettings:
@@ -101,21 +99,6 @@ def train_boosted_logloss(
     return best
 
 
-def fit_isotonic(validation: DataFrame, p: str, label: str, minimum_distinct: int = 10):
-    """Isotonic calibration on validation scores, or None with too few distinct scores (three decimals)."""
-    distinct = validation.select(F.round(p, 3)).distinct().limit(minimum_distinct + 1).count()
-    if distinct <= minimum_distinct:
-        return None
-    return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="calibrated").fit(
-        validation.select(F.col(p).cast("double").alias(p), F.col(label).cast("double").alias(label)))
-
-
-def apply_isotonic(model, df: DataFrame, p: str) -> DataFrame:
-    """Calibrated scores within (0, 1); without a model the scores pass through."""
-    scored = df.withColumn("calibrated", F.col(p)) if model is None else model.transform(df)
-    return scored.withColumn("calibrated", F.least(F.greatest(F.col("calibrated"), F.lit(SURE)), F.lit(1 - SURE)))
-
-
 METRICS = ["accuracy", "roc_auc", "precision", "recall", "f1", "pr_auc", "log_loss", "brier_score"]
 
 

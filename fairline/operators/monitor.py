@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import first_matching
+from fairline.functions.durable import materialise
 from fairline.functions.ordering import nearest_positions
 
 
@@ -163,13 +164,20 @@ def trailing_alerts(minutes: DataFrame, rules: list[AlertRule]) -> DataFrame:
 def suppress_repeats(alerts: DataFrame, key: str, order: str, gap: int) -> DataFrame:
     """T1, batch: keep an alert only if the last kept one of its key is at least ``gap`` order units back.
 
-    Alerts are few (threshold crossings per minute), so each key's ordered
-    positions fold into the kept ones.
+    Every moment points to the first one at least ``gap`` later. The kept ones are what is reached from a key's first
+    moment; pointers are doubled until none is left, then the longest ones are followed first, each doubling the kept
+    moments. Work is linear in a round, rounds grow with the logarithm of the kept moments, and no task holds a key.
     """
-    def step(kept, x):
-        last = F.element_at(kept, -1)
-        return F.when(F.size(kept) == 0, F.array(x)).when(x - last >= gap, F.concat(kept, F.array(x))).otherwise(kept)
-
-    listed = alerts.groupBy(key).agg(F.sort_array(F.collect_set(order)).alias("_all"))
-    kept = listed.select(key, F.explode(F.aggregate("_all", F.array().cast("array<bigint>"), step)).alias(order))
-    return alerts.join(kept, [key, order])
+    moments = materialise(alerts.select(key, F.col(order).alias("m")).distinct())
+    later = Window.partitionBy(key).orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, -gap)
+    jumps = [materialise(moments.select(key, "m", F.min("m").over(later).alias("to")).where("to is not null"))]
+    while True:
+        once = jumps[-1]
+        twice = materialise(once.join(once.select(key, F.col("m").alias("to"), F.col("to").alias("_to")), [key, "to"]).select(key, "m", F.col("_to").alias("to")))
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    kept = materialise(moments.groupBy(key).agg(F.min("m").alias("m")))
+    for jump in reversed(jumps):
+        kept = materialise(kept.unionByName(kept.join(jump, [key, "m"]).select(key, F.col("to").alias("m"))))
+    return alerts.join(kept.withColumnRenamed("m", order), [key, order])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import clip, day_number, flag
@@ -122,17 +122,21 @@ def rolling_slg_long(long: DataFrame, entity: str, kind: str, day: str, n: int =
     )
 
 
+def mix_value(kinds: list[str], default: float = 0.400) -> Column:
+    """W8 from ``mix_<kind>`` and ``slg_<kind>``: mix-weighted value over kinds with both known, default else, within [0, 1]."""
+    both = {k: F.col(f"mix_{k}").isNotNull() & F.col(f"slg_{k}").isNotNull() for k in kinds}
+    top = sum((F.when(both[k], F.col(f"mix_{k}") * F.col(f"slg_{k}")).otherwise(0.0) for k in kinds), F.lit(0.0))
+    bottom = sum((F.when(both[k], F.col(f"mix_{k}")).otherwise(0.0) for k in kinds), F.lit(0.0))
+    return clip(F.coalesce(F.when(bottom > 0, top / bottom), F.lit(default)), 0.0, 1.0)
+
+
 def expected_value_vs_mix(
     games: DataFrame, mix: DataFrame, slg: DataFrame, entity: str, opponent: str, day: str, kinds: list[str],
     default: float = 0.400,
 ) -> DataFrame:
-    """Mix-weighted value over categories where both sides are known, default else, clipped to [0, 1]."""
+    """W8 for game rows, from the mix of the opponent's day and the values of the entity's day."""
     joined = games.join(mix, [opponent, day], "left").join(slg, [entity, day], "left")
-    both = {k: F.col(f"mix_{k}").isNotNull() & F.col(f"slg_{k}").isNotNull() for k in kinds}
-    top = sum((F.when(both[k], F.col(f"mix_{k}") * F.col(f"slg_{k}")).otherwise(0.0) for k in kinds), F.lit(0.0))
-    bottom = sum((F.when(both[k], F.col(f"mix_{k}")).otherwise(0.0) for k in kinds), F.lit(0.0))
-    value = F.coalesce(F.when(bottom > 0, top / bottom), F.lit(default))
-    return joined.select(*games.columns, clip(value, 0.0, 1.0).alias("exp_slg_vs_mix"))
+    return joined.select(*games.columns, mix_value(kinds, default).alias("exp_slg_vs_mix"))
 
 
 def pair_expanding_lagged(pairs: DataFrame, keys: list[str], day: str, recent: int = 5) -> DataFrame:

@@ -1,15 +1,16 @@
 """Streak, momentum, velocity, pattern and confidence features.
 
-Input are game rows: a few per (entity, day) at most. They collapse to one row
-per day; one range window over the days before collects a short array (at most
-``days`` elements) and every feature is a fold over that array.
+Input are game rows. They collapse to one state per (entity, day) of fixed size, whatever the number of games: counts,
+hits, the first two and the last five outcomes, and what happened after two misses inside the day. States of following
+days add up, so one range window over the days before collects a short array (at most ``days`` states) and every feature
+is a fold over that array.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions import arrays as a
@@ -33,26 +34,65 @@ class StreakParameters:
 DEFAULTS = StreakParameters()
 
 
-def recent_days(
+#: Newest outcomes that a day's state keeps.
+NEWEST = 5
+
+
+def day_states(
     games: DataFrame, entity: str, day: str, tie: str, hit: str, leverage: str | None = None, clutch: str | None = None,
-    params: StreakParameters = DEFAULTS,
 ) -> DataFrame:
-    """Per (entity, day): ``history`` = earlier days within the look-back, oldest first.
+    """One state per (entity, day): ``rate``, ``n``, ``hits``, ``ones``, ``first``, ``last``, ``chances``, ``taken``, leverage sums, ``clutch``.
 
-    Elements carry the day number, the share of games with a hit, the number of
-    games and the games themselves in tie order.
+    ``chances`` are games right after two misses of the same day, ``taken`` those with a hit; ``first`` and ``last``
+    carry what chances across days need. One sort by (entity, day, tie) serves all; the rows of a day are streamed, and
+    what is collected are ``NEWEST`` outcomes at most.
     """
     none = F.lit(None).cast("int")
-    game = F.struct(
-        F.col(tie).alias("tie"), day_number(day).alias("dn"), F.col(hit).cast("double").alias("hit"),
-        (F.col(leverage).cast("int") if leverage else none).alias("lev"),
-        (F.col(clutch).cast("int") if clutch else none).alias("clu"),
+    rows = games.select(
+        entity, day, F.col(tie).alias("_tie"), F.col(hit).cast("double").alias("_hit"),
+        (F.col(leverage).cast("int") if leverage else none).alias("_lev"), (F.col(clutch).cast("int") if clutch else none).alias("_clu"),
     )
-    daily = games.groupBy(entity, day).agg(
-        F.avg(hit).alias("rate"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(game)).alias("games")
+    keys = [entity, day]
+    order = ["_tie", "_hit", "_lev", "_clu"]
+    up = Window.partitionBy(*keys).orderBy(*order)
+    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    through = down.rowsBetween(Window.unboundedPreceding, 0)
+    hit_, lev, clu = F.col("_hit"), F.col("_lev"), F.col("_clu")
+    placed = rows.select(
+        "*", F.row_number().over(up).alias("_up"), F.row_number().over(down).alias("_down"), F.lag("_hit").over(up).alias("_one"),
+        F.lag("_hit", 2).over(up).alias("_two"), F.sum(F.when(clu == 1, 1).otherwise(0)).over(through).alias("_clutch"),
+    )
+
+    def newest(rank: str, condition: Column) -> Column:
+        kept = F.collect_list(F.when(condition & (F.col(rank) <= NEWEST), F.struct((-F.col(rank)).alias("k"), hit_.alias("hit"))))
+        return F.transform(F.sort_array(kept), lambda x: x["hit"])
+
+    def count(condition: Column) -> Column:
+        return F.sum(F.when(condition, 1).otherwise(0)).cast("int")
+
+    chance = (F.col("_one") == 0) & (F.col("_two") == 0)
+    return placed.groupBy(*keys).agg(
+        F.avg("_hit").alias("rate"), F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("hits"), F.count("_hit").alias("known"),
+        F.sum(F.when(hit_ == 1, 1).otherwise(0)).alias("ones"),
+        F.struct(*[F.max(F.when(F.col("_up") == k, hit_)).alias(f"h{k}") for k in (1, 2)]).alias("first"),
+        newest("_down", F.lit(True)).alias("last"), F.max(F.when(F.col("_down") == 1, hit_)).alias("h_1"), F.max(F.when(F.col("_down") == 2, hit_)).alias("h_2"),
+        count(chance).alias("chances"), count(chance & (hit_ == 1)).alias("taken"),
+        *[e.alias(f"{n}_{k}") for k in (0, 1) for n, e in (("lev_n", F.count(F.when(lev == k, hit_))), ("lev_hits", F.sum(F.when(lev == k, hit_).otherwise(0.0))))],
+        newest("_clutch", clu == 1).alias("clutch"),
     ).withColumn("dn", day_number(day))
+
+
+_STATE = ["dn", "rate", "n", "hits", "known", "ones", "first", "last", "h_1", "h_2", "chances", "taken", "lev_n_0", "lev_hits_0", "lev_n_1", "lev_hits_1", "clutch"]
+
+
+def recent_days(
+    games: DataFrame, entity: str, day: str, tie: str, hit: str, leverage: str | None = None, clutch: str | None = None,
+    params: StreakParameters = DEFAULTS,
+) -> DataFrame:
+    """Per (entity, day): ``history`` = states of the earlier days within the look-back, oldest first."""
+    daily = day_states(games, entity, day, tie, hit, leverage, clutch)
     frame = days_before([entity], "dn", params.lookback)
-    return daily.select(entity, day, "dn", F.collect_list(F.struct("dn", "rate", "n", "games")).over(frame).alias("history"))
+    return daily.select(entity, day, "dn", F.collect_list(F.struct(*_STATE)).over(frame).alias("history"))
 
 
 def rates(history: Column) -> Column:
@@ -63,12 +103,13 @@ def game_count(history: Column) -> Column:
     return F.aggregate(history, F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
 
 
-def games_of(history: Column) -> Column:
-    return F.flatten(F.transform(history, lambda x: x["games"]))
+def _total(history: Column, field: str) -> Column:
+    return a.total(F.transform(history, lambda x: x[field].cast("double")))
 
 
-def hits_of(history: Column) -> Column:
-    return F.transform(games_of(history), lambda g: g["hit"])
+def newest_hits(history: Column) -> Column:
+    """The last five outcomes of the look-back."""
+    return a.last_n(F.flatten(F.transform(history, lambda x: x["last"])), NEWEST)
 
 
 def within(history: Column, dn: Column, days: int) -> Column:
@@ -257,43 +298,66 @@ def pattern_stability(rate: Column) -> Column:
         (F.size(rate) >= 5) & (mu != 0), 1 / (1 + F.sqrt(a.variance(rate)) / mu)).otherwise(0.0))
 
 
+@a.bound
 def rhythm_indicator(history: Column) -> Column:
-    """Inverse variance of the gaps between games with a hit, at least three of them."""
-    days = F.transform(F.filter(games_of(history), lambda g: g["hit"] == 1), lambda g: g["dn"].cast("double"))
-    return a.let(days, lambda d: F.when(F.size(d) >= 3, 1 / (1 + a.variance(a.differences(d)) / 5)).otherwise(0.0))
+    """Inverse variance of the gaps between games with a hit, at least three of them.
+
+    Hits of one day are no days apart, so their number and the days of hits say it all.
+    """
+    def step(s, x):
+        gap = F.when(s["day"].isNotNull(), (x["dn"] - s["day"]).cast("double")).otherwise(0.0)
+        some = x["ones"] > 0
+        return F.struct(
+            F.when(some, x["dn"]).otherwise(s["day"]).alias("day"), (s["n"] + x["ones"]).alias("n"),
+            F.when(some, s["sum"] + gap).otherwise(s["sum"]).alias("sum"), F.when(some, s["squares"] + gap * gap).otherwise(s["squares"]).alias("squares"),
+        )
+
+    start = F.struct(F.lit(None).cast("int").alias("day"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"))
+
+    def score(s: Column) -> Column:
+        gaps = s["n"] - 1
+        variance = F.greatest((s["squares"] - s["sum"] * s["sum"] / gaps) / (gaps - 1), F.lit(0.0))
+        return F.when(s["n"] >= 3, 1 / (1 + variance / 5)).otherwise(0.0)
+
+    return a.let(F.aggregate(history, start, step), score)
 
 
 @a.bound
-def confidence_indicator(hits: Column) -> Column:
+def confidence_indicator(history: Column) -> Column:
     """Last five games against all, damped by their variance, at most 2."""
-    level = F.greatest(a.mean(hits), F.lit(0.01))
-    return a.let(a.last_n(hits, 5), lambda recent: F.least(a.mean(recent) / level / (1 + 5 * a.variance(recent)), F.lit(2.0)))
+    mean = _total(history, "hits") / F.nullif(_total(history, "known"), F.lit(0.0))
+    level = F.greatest(mean, F.lit(0.01))
+    return a.let(newest_hits(history), lambda recent: F.least(a.mean(recent) / level / (1 + 5 * a.variance(recent)), F.lit(2.0)))
 
 
 @a.bound
-def mental_toughness(hits: Column) -> Column:
-    """Share of games with a hit right after two without."""
+def mental_toughness(history: Column) -> Column:
+    """Share of games with a hit right after two without; a day's first two games look back to the days before."""
+    def after(two, one, now):
+        chance = (two == 0) & (one == 0)
+        return F.when(chance, 1).otherwise(0), F.when(chance & (now == 1), 1).otherwise(0)
+
     def step(s, x):
-        chance = (s["b"] == 0) & (s["a"] == 0)
+        n1, k1 = after(s["b"], s["a"], x["first"]["h1"])
+        n2, k2 = after(s["a"], x["first"]["h1"], x["first"]["h2"])
+        more = x["n"] > 1
         return F.struct(
-            s["a"].alias("b"), x.alias("a"), (s["n"] + F.when(chance, 1).otherwise(0)).alias("n"),
-            (s["k"] + F.when(chance & (x == 1), 1).otherwise(0)).alias("k"),
+            F.when(more, x["h_2"]).otherwise(s["a"]).alias("b"), x["h_1"].alias("a"),
+            (s["n"] + n1 + F.when(more, n2).otherwise(0) + x["chances"]).alias("n"), (s["k"] + k1 + F.when(more, k2).otherwise(0) + x["taken"]).alias("k"),
         )
 
     start = F.struct(F.lit(-1.0).alias("b"), F.lit(-1.0).alias("a"), F.lit(0).alias("n"), F.lit(0).alias("k"))
-    return a.let(F.aggregate(hits, start, step), lambda s: F.when(
-        (F.size(hits) >= 5) & (s["n"] > 0), s["k"] / s["n"]).otherwise(0.0))
+    return a.let(F.aggregate(history, start, step), lambda s: F.when(
+        (game_count(history) >= 5) & (s["n"] > 0), s["k"] / s["n"]).otherwise(0.0))
 
 
+@a.bound
 def pressure_response(history: Column) -> Column:
     """Rate in high-leverage games over the rate in the others."""
-    def score(games: Column) -> Column:
-        def rate(flag: int) -> Column:
-            return a.mean(F.transform(F.filter(games, lambda g: g["lev"] == flag), lambda g: g["hit"]))
-
-        return a.let(rate(0), lambda regular: F.when(regular.isNotNull(), rate(1) / F.greatest(regular, F.lit(0.01))))
+    def rate(flag: int) -> Column:
+        return _total(history, f"lev_hits_{flag}") / F.nullif(_total(history, f"lev_n_{flag}"), F.lit(0.0))
 
-    return F.coalesce(a.let(games_of(history), score), F.lit(0.0))
+    return F.coalesce(a.let(rate(0), lambda regular: F.when(regular.isNotNull(), rate(1) / F.greatest(regular, F.lit(0.01)))), F.lit(0.0))
 
 
 def clutch_momentum(history: Column) -> Column:
@@ -303,8 +367,8 @@ def clutch_momentum(history: Column) -> Column:
         return a.slope(F.transform(days, lambda d: a.mean(
             F.transform(F.filter(last5, lambda g: g["dn"] == d), lambda g: g["hit"]))))
 
-    last5 = a.last_n(F.filter(games_of(history), lambda g: g["clu"] == 1), 5)
-    return F.coalesce(a.let(last5, score), F.lit(0.0))
+    games = F.flatten(F.transform(history, lambda x: F.transform(x["clutch"], lambda h: F.struct(x["dn"].alias("dn"), h.alias("hit")))))
+    return F.coalesce(a.let(a.last_n(games, NEWEST), score), F.lit(0.0))
 
 
 def streak_feature_set(
@@ -319,11 +383,11 @@ def streak_feature_set(
         within(h, dn, params.velocity_days).alias("h5"),
     ).select(
         "*", game_count(h).alias("g21"), game_count(F.col("h7")).alias("g7"), game_count(F.col("h5")).alias("g5"),
-        rates(h).alias("r21"), rates(F.col("h7")).alias("r7"), rates(F.col("h5")).alias("r5"), hits_of(h).alias("hits"),
+        rates(h).alias("r21"), rates(F.col("h7")).alias("r7"), rates(F.col("h5")).alias("r5"),
         runs(h, lambda x: is_hot(x, params), params.min_length).alias("hot"),
         runs(h, lambda x: is_cold(x, params), params.min_length).alias("cold"),
     )
-    hot, cold, r21, r7, r5, hits = (F.col(c) for c in ("hot", "cold", "r21", "r7", "r5", "hits"))
+    hot, cold, r21, r7, r5 = (F.col(c) for c in ("hot", "cold", "r21", "r7", "r5"))
 
     def enough(count: str, minimum: int, value: Column, default=0.0) -> Column:
         return F.when(F.col(count) >= minimum, value).otherwise(default)
@@ -355,8 +419,8 @@ def streak_feature_set(
         "pattern_stability": enough("g21", 5, pattern_stability(r21)),
         "rhythm_indicator": enough("g21", 5, rhythm_indicator(h)),
         "cycle_prediction": enough("g21", 7, cycle_prediction(r21)),
-        "confidence_indicator": enough("g21", 3, confidence_indicator(hits)),
-        "mental_toughness": enough("g21", 5, mental_toughness(hits)),
+        "confidence_indicator": enough("g21", 3, confidence_indicator(h)),
+        "mental_toughness": enough("g21", 5, mental_toughness(h)),
     }
     if leverage:
         features["pressure_response"] = enough("g21", 3, pressure_response(h))

@@ -7,151 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.functions.durable import materialise
-from fairline.operators import aggregate as A
-from fairline.operators import clean, evaluate, form, interaction, join, market, model, physics, rolling, schedule, streak
-from fairline.operators.quality import validate_dataset
-from fairline.schema import STADIUM_OFFSET
-
-GAME_KEYS = ["date", "game_pk", "batter", "home_team", "away_team", "bat_team"]
-BAT_TRACKING = ["bat_speed", "attack_angle", "attack_direction", "swing_path_tilt"]
-RATE_COLUMNS = ["roll10_hr_rate", "roll30d_hr_rate", "p_roll10_hr_rate", "p_roll30d_hr_rate", "power_form_hr_rate"]
-
-
-@dataclass
-class FeatureTable:
-    """The table and, per feature group, the columns the group added."""
-
-    df: DataFrame
-    groups: dict[str, list[str]]
-
-
-def _block(groups: dict[str, list[str]], name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    groups[name] = groups.get(name, []) + [c for c in df.columns if c not in keys]
-    return df
-
-
-def build_feature_table(
-    events: DataFrame, pitch_types: list[str], weather: DataFrame | None = None, impute: str | None = None,
-    fit_before: str | None = None, fitted: DataFrame | None = None,
-) -> FeatureTable:
-    """One row per (batter, game) with all point-in-time features.
-
-    Pitcher profiles and the table-wide statistics of the interaction features come from rows before the date
-    ``fit_before`` (or from ``fitted``, the statistics row of a training table); without either they describe the whole
-    table, which is right for a closed history only. Bat-tracking columns are averaged and rolled where events have them.
-
-    ``events`` are cleaned event rows (see ``read_pitch_events``). Features live
-    at (batter, day) or (pitcher, day) grain, are computed by one window
-    partitioning per key and meet the game rows in equi joins; the only rows at
-    event grain are read by the first aggregations.
-    """
-    spark, groups = events.sparkSession, {}
-    key = ["batter", "date"]
-    rows = events.withColumns({
-        "p_throws": F.coalesce("p_throws", F.lit("R")), "def_team": F.when(F.col("bat_team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team")),
-        "score_diff": F.when(F.col("bat_team") == F.col("home_team"), F.col("post_home_score") - F.col("post_away_score")).otherwise(
-            F.col("post_away_score") - F.col("post_home_score"))})
-    means = ["launch_speed", "launch_angle", *[c for c in BAT_TRACKING if c in events.columns]]
-    measures = {c: c for c in means}
-    games = A.entity_game_agg(rows, GAME_KEYS, {"pa": "is_pa", "hr": "is_hr"}, measures, ("hr", "hit_hr"))
-    games = clean.derive_opponent(clean.attach_park(games), "home_team", "away_team", "bat_team")
-
-    daily = A.entity_game_agg(rows, key, {"pa": "is_pa", "hr": "is_hr"}, measures).withColumn("dn", F.unix_date("date"))
-    sums = ["pa", "hr"]
-    rolled = rolling.rolling_days_lagged(rolling.rolling_rows_lagged(daily, ["batter"], ["dn"], sums, means), ["batter"], "dn", sums, means)
-    rolled = rolling.rate_and_flags(
-        rolled, {"roll10_hr_rate": ("roll10_hr", "roll10_pa"), "roll30d_hr_rate": ("roll30d_hr", "roll30d_pa")}, "roll10_launch_speed", "roll10_launch_angle")
-    blocks = [_block(groups, "core", rolled.drop("pa", "hr", "dn", *means), key)]
-
-    hands = A.split_day_agg(rows, "batter", "p_throws", "date", {"pa": "is_pa", "hr": "is_hr"}, {"ev": "launch_speed", "la": "launch_angle"})
-    blocks.append(_block(groups, "core", rolling.split_rolling_pivot(hands, "batter", "p_throws", ["R", "L"], "date", sums, ["ev", "la"]), key))
-
-    starters = A.first_per_group(rows, ["game_pk", "def_team"], "pitcher", ["inning", "at_bat_number", "pitch_number", "pitcher"], "opp_starter")
-    games = join.join_starters(games, starters, "game_pk", "opp_team", "def_team")
-    faced = A.opponent_day_agg(rows, "pitcher", "date", "is_hr", "is_pa", "launch_speed", "release_speed", "pitch_type")
-    pitching = rolling.opponent_rolling(faced, "pitcher", "date").drop("hr_allowed", "pa_faced", "ev_allowed", "vel", "pitches")
-    games = join.join_pitcher_profiles(games, _block(groups, "core", pitching, ["pitcher", "date"]), "opp_starter", "pitcher", "date")
-
-    mix = rolling.rolling_mix_fractions(
-        A.category_mix_day(rows, ["pitcher", "date"], "pitch_type", pitch_types), "pitcher", "date", {k: f"n_{k}" for k in pitch_types})
-    bases = A.bases_by_category_day(rows, key, "pitch_type", "events", A.BASES, A.AT_BAT_WIDE)
-    slg = rolling.rolling_slg_wide(rolling.bases_wide(bases, "batter", "date", "pitch_type", pitch_types), "batter", "date", pitch_types)
-    games = rolling.expected_value_vs_mix(games, mix.withColumnRenamed("pitcher", "opp_starter"), slg, "batter", "opp_starter", "date", pitch_types)
-    groups["core"].append("exp_slg_vs_mix")
-
-    pairs = A.pair_day_agg(rows, "batter", "pitcher", "date", "is_pa", "is_hr", "launch_speed", "launch_angle").withColumnRenamed("pitcher", "opp_starter")
-    past = rows if fit_before is None else rows.where(F.col("date") < F.lit(fit_before).cast("date"))
-    profiles = A.opponent_profile(past, "pitcher", "release_speed", "p_throws", "pitch_type").withColumnRenamed("pitcher", "opp_starter")
-    known = games.columns
-    games = rolling.matchup_features(games, pairs, ["batter", "opp_starter"], "date")
-    games = join.similar_group_history(games, pairs, profiles, "batter", "opp_starter", "date")
-    groups["matchup"] = [c for c in games.columns if c not in known]
-
-    on = ["on_1b", "on_2b", "on_3b"]
-    scored = rows.withColumn("_leverage", A.leverage_score("inning", "score_diff", on))
-    rates = [*A.situation_rates(on, "score_diff"), *A.pressure_rates("inning", "score_diff", on), *A.inning_rates("inning", "at_bat_number"),
-             *[r for r in A.leverage_rates("_leverage") if r.name != "overall_hr_rate"], *A.count_rates("balls", "strikes")]
-    derived = {n: f() for n, f in {**A.PRESSURE_INDEX, **A.LEVERAGE_RATIO}.items()}
-    blocks.append(_block(groups, "situational", A.entity_rates(scored, "batter", "date", rates, derived=derived), key))
-
-    sums_by_day = form.form_days(rows, "batter", "date", "is_pa", "is_hr", "launch_speed", "launch_angle")
-    shaped = form.decayed_contact_form(form.decayed_power_form(sums_by_day, "batter"), "batter")
-    shaped = form.trend_slopes(form.discipline_form(shaped, "batter"), "batter")
-    blocks.append(_block(groups, "recent_form", shaped.drop(*[c for c in sums_by_day.columns if c not in key]), key))
-    order = ["inning", "at_bat_number", "pitch_number", "game_pk"]
-    blocks.append(_block(groups, "recent_form", form.recent_n_indicators(rows.where("is_pa = 1"), "batter", "date", order, "is_hr", "launch_speed"), key))
-    played = A.entity_game_agg(rows, GAME_KEYS, {"hr": "is_hr"}, {}, ("hr", "hit_hr"))
-    blocks.append(_block(groups, "streak_momentum", streak.streak_feature_set(played, "batter", "date", "game_pk", "hit_hr"), key))
-
-    # The table so far is read by several branches below: write it once instead of planning it into each.
-    for block in blocks:
-        games = games.join(block, key, "left")
-    games = materialise(games)
-
-    if weather is not None:
-        known = games.columns
-        games = physics.weather_indices(physics.wind_features(physics.air_density_features(physics.weather_factors(join.join_weather(games, weather)))))
-        groups["weather"] = [c for c in games.columns if c not in known]
-
-    known = games.columns
-    dims = physics.park_table(spark)
-    parked = physics.attach_dimensions(games, dims)
-    for step in (physics.park_dimension_features, physics.park_carry_features, physics.park_direction_features, physics.park_calendar_effects, physics.park_context):
-        parked = step(parked)
-    if weather is not None:
-        parked = physics.park_weather_interaction(parked)
-    lift = A.entity_group_lift(games, "batter", "stadium", "date", "hit_hr").withColumnsRenamed(
-        {"rate_boost": "batter_park_hr_rate_boost", "comfort_factor": "batter_park_comfort_factor"})
-    games = parked.drop(*[c for c in dims.columns if c != "stadium"]).join(lift, ["batter", "stadium", "date"], "left")
-    groups["ballpark"] = [c for c in games.columns if c not in known]
-
-    known = games.columns
-    offsets = F.broadcast(spark.createDataFrame(list(STADIUM_OFFSET.items()), "stadium string, utc_offset int"))
-    timed = schedule.numbered(games.withColumns({"game_hour": clean.infer_game_hour(F.col("date")), "_home": F.col("bat_team") == F.col("home_team")}), "date")
-    timed = schedule.rest_deficit(schedule.fatigue_state(timed, "batter", "game_pk"), "batter", "game_pk")
-    timed = schedule.travel_features(timed, "batter", "game_pk", "stadium", offsets, home="_home")
-    timed = schedule.schedule_density(schedule.rest_patterns(timed, "batter", "game_pk"), "batter")
-    timed = physics.performance_timing(physics.season_energy(physics.circadian_features(timed)))
-    games = timed.drop("dn", "_home", "utc_offset")
-    groups["temporal_fatigue"] = [c for c in games.columns if c not in known]
-
-    games, known = materialise(games), games.columns
-    if fitted is None and fit_before is not None:
-        fitted = interaction.global_statistics(games.where(F.col("date") < F.lit(fit_before).cast("date")))
-    games = interaction.feature_interactions(games, fitted)
-    groups["interactions"] = [c for c in games.columns if c not in known]
-    games = clean.clip_rate_columns(games, RATE_COLUMNS)
-    if impute:
-        numeric = [c for cols in groups.values() for c in cols if dict(games.dtypes)[c] in ("double", "bigint", "int")]
-        games = clean.impute_median(games, numeric, approximate=impute == "approximate")
-    return FeatureTable(games, groups)
-
-
-def checked_feature_table(table: FeatureTable) -> DataFrame:
-    """D1 rows for a finished table."""
-    return validate_dataset(table.df, GAME_KEYS, "hit_hr", "date")
-
+from fairline.operators import clean, evaluate, join, market, model
+from fairline.plans.features import FeatureTable, build_feature_table, checked_feature_table, final_table  # noqa: F401  (X1)
 
 def build_prediction_table(
     history: DataFrame, targets: DataFrame, name: str, target: str, date: str, order: list, template: list[str], means: list[str], days: int = 45,

@@ -61,30 +61,40 @@ def alert_rules_stream(errors: DataFrame, ts: str, component: str, severity: str
     return rated.where(F.col("rate") >= rule.threshold)
 
 
-def suppress_repeats_stream(alerts: DataFrame, key: str, ts: str, gap_seconds: int = 3600) -> DataFrame:
-    """Drop an alert less than ``gap_seconds`` after the last one let through for its key (state: one time per key).
+def suppress_repeats_stream(alerts: DataFrame, key: str, ts: str, gap_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Drop an alert less than ``gap_seconds`` after the last one let through for its key (``key``, ``moment``).
 
-    The distinct moments of a key in a micro-batch are put in order over all its Arrow batches. A moment that comes in
-    a later micro-batch than younger ones already let through is dropped: its time has been decided.
+    Moments wait in the state until the watermark has passed them, so rows that come out of order by up to ``late`` are
+    judged as the batch operator judges them; later ones are dropped. What waits spans no more time than that. The
+    state of a key goes when nothing waits and its last kept moment can't suppress anything any more.
     """
+    gap = gap_seconds * 1_000_000
+
     def keep(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        moments: set[int] = set()
-        for frame in frames:
-            moments.update(int(x) for x in frame["seconds"])
+        last, waiting = state.get if state.exists else (None, [])
+        moments = set(waiting)
+        if not state.hasTimedOut:
+            for frame in frames:
+                moments.update(int(x) for x in frame["moment"])
+        passed = state.getCurrentWatermarkMs() * 1000
         sent = []
-        for moment in sorted(moments):
-            if last is None or moment - last >= gap_seconds:
+        for moment in sorted(m for m in moments if m < passed):
+            if last is None or moment - last >= gap:
                 last = moment
                 sent.append(moment)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [keys[0]] * len(sent), "seconds": sent})
+        waiting = sorted(m for m in moments if m >= passed)
+        if waiting or (last is not None and last + gap > passed):
+            state.update((last, waiting))
+            state.setTimeoutTimestamp((waiting[0] if waiting else last + gap) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: pd.Series([keys[0]] * len(sent), dtype=object), "moment": pd.Series(sent, dtype="int64")})
 
     kind = alerts.schema[key].dataType.simpleString()
-    moments = alerts.select(key, F.unix_timestamp(ts).alias("seconds"))
-    return moments.groupBy(key).applyInPandasWithState(
-        keep, f"{key} {kind}, seconds bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    moments = alerts.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("moment"))
+    kept = moments.groupBy(key).applyInPandasWithState(
+        keep, f"{key} {kind}, moment bigint", "last bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.withColumn("moment", F.timestamp_micros("moment"))
 
 
 def throughput_stream(events: DataFrame, ts: str, operation: str, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -93,27 +103,63 @@ def throughput_stream(events: DataFrame, ts: str, operation: str, seconds: int,
     return counts.select(operation, F.col("w.start").alias("window_start"), "n", (F.col("n") / seconds).alias("rate_per_second"))
 
 
-def accept_within_limit_stream(bets: DataFrame, path: str, checkpoint: str, day: str, ts: str, key: str, stake: str, limit: float) -> None:
+def _seconds(delay: str) -> int:
+    """Length of a delay such as ``10 minutes``."""
+    number, unit = delay.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def _stored(spark: SparkSession, path: str, name: str, version: int) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/{name}/v{version}") if version else None
+
+
+def accept_within_limit_stream(
+    bets: DataFrame, path: str, checkpoint: str, day: str, ts: str, key: str, stake: str, limit: float, late: str | None = None,
+) -> None:
     """First-fit acceptance with a running total per day, one micro-batch after the other.
 
     Each batch is the batch operator on its rows in time order, starting from the days' totals so far, so neither the
-    size of a day nor how its rows are cut into Arrow batches or files matters. Rows of an earlier time that arrive in
-    a later batch are judged after those already decided. Decisions go to ``decided/_batch=i``; batch ``i`` turns the
-    totals ``used/v{i}`` into ``used/v{i + 1}``, so a repeated batch writes the same again.
+    size of a day nor how its rows are cut into Arrow batches or files matters. With ``late`` rows wait until the newest
+    row is that much younger, so rows out of order by up to ``late`` are judged as the batch operator judges them, and
+    totals of days that are over are dropped; ``close_limit_stream`` decides what waits at the end. Rows that come later
+    still, and without ``late`` all rows of an earlier time in a later batch, are judged after those already decided.
+
+    Decisions go to ``decided/_batch=i``; batch ``i`` turns version ``i`` of ``used`` (totals), ``waiting`` (rows) and
+    ``clock`` (newest time) into version ``i + 1``, so a repeated batch writes the same again.
     """
     def decide(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = materialise(batch.select(day, F.unix_micros(ts).alias("moment"), key, stake))
-        used = spark.read.parquet(f"{path}/used/v{batch_id}") if batch_id else None
-        decided = materialise(accept_within_limit(rows, day, ["moment"], key, stake, limit, used=used))
-        decided.select(day, key, F.col("accepted").cast("int").alias("accepted")).write.mode("overwrite").parquet(f"{path}/decided/{_BATCH}={batch_id}")
-        taken = decided.where("accepted = 1").groupBy(day).agg(F.sum(F.col(stake).cast(EXACT)).cast(EXACT).alias("used"))
-        total = taken if used is None else taken.unionByName(used).groupBy(day).agg(F.sum("used").cast(EXACT).alias("used"))
-        total.write.mode("overwrite").parquet(f"{path}/used/v{batch_id + 1}")
+        _decide(batch.select(day, F.unix_micros(ts).alias("moment"), key, stake), path, batch_id, day, key, stake, limit, None if late is None else _seconds(late))
 
     run_available(bets, checkpoint, "append", decide)
 
 
+def _decide(rows: DataFrame, path: str, batch_id: int, day: str, key: str, stake: str, limit: float, delay: int | None) -> None:
+    spark = rows.sparkSession
+    used, waiting, clock = (_stored(spark, path, n, batch_id) for n in ("used", "waiting", "clock"))
+    rows = materialise(rows if waiting is None else rows.unionByName(waiting))
+    newest = rows.agg(F.max("moment").alias("newest"))
+    newest = materialise(newest if clock is None else newest.unionByName(clock).agg(F.max("newest").alias("newest")))
+    passed = F.lit(None).cast("bigint") if delay is None else newest.select(F.col("newest") - delay * 1_000_000).scalar()
+    waits = F.coalesce(F.col("moment") >= passed, F.lit(False))
+    decided = materialise(accept_within_limit(rows.where(~waits), day, ["moment"], key, stake, limit, used=used))
+    decided.select(day, key, F.col("accepted").cast("int").alias("accepted")).write.mode("overwrite").parquet(f"{path}/decided/{_BATCH}={batch_id}")
+    taken = decided.where("accepted = 1").groupBy(day).agg(F.sum(F.col(stake).cast(EXACT)).cast(EXACT).alias("used"))
+    total = taken if used is None else taken.unionByName(used).groupBy(day).agg(F.sum("used").cast(EXACT).alias("used"))
+    over = F.coalesce(F.col(day) < F.to_date(F.timestamp_micros(passed)), F.lit(False))
+    versions = {"used": total.where(~over), "waiting": rows.where(waits), "clock": newest}
+    for name, table in versions.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}/v{batch_id + 1}")
+
+
+def close_limit_stream(spark: SparkSession, path: str, day: str, key: str, stake: str, limit: float) -> None:
+    """Decide the rows that wait, as one more batch; to be called when no more rows come."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/waiting")
+    folders = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    last = max(int(f.getPath().getName()[1:]) for f in folders)
+    rows = spark.read.parquet(f"{path}/waiting/v{last}")
+    _decide(rows.limit(0), path, last, day, key, stake, limit, None)
+
+
 def incremental_matchup_update(
     events: DataFrame, path: str, checkpoint: str, entity: str, opponent: str, day: str, attempt: str, hit: str, impact: str, angle: str,
 ) -> None:

@@ -50,7 +50,8 @@ def test_separable_fit_and_monotone_calibration(spark):
     calibrated = model.apply_isotonic(model.fit_isotonic(scored, "probability_1", "label"), scored, "probability_1")
     values = [r.calibrated for r in calibrated.orderBy("probability_1").collect()]
     assert all(x <= y + 1e-12 for x, y in zip(values, values[1:])) and 0 < values[0] and values[-1] < 1
-    assert model.fit_isotonic(scored.withColumn("probability_1", F.lit(0.5)), "probability_1", "label") is None
+    flat = model.fit_isotonic(scored.withColumn("probability_1", F.lit(0.5)), "probability_1", "label").collect()
+    assert [(r.low, r.high, r.n, r.value) for r in flat] == [(0.5, 0.5, 400, 0.5)]
 
 
 def test_missing_columns_fail_while_planning(spark):
