@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from fairline.functions.durable import materialise
 
 
-def written_side_by_side(plans: dict[str, Callable[[], DataFrame]], threads: int = 8) -> dict[str, DataFrame]:
-    """Build and write each plan in a thread of its own; the caller's job group and pool hold in all of them."""
-    def write(build: Callable[[], DataFrame]) -> DataFrame:
-        return materialise(build())
+def written_side_by_side(plans: dict[str, Callable[[], DataFrame]], threads: int = 8, by: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Build and write each plan in a thread of its own, in folders of a column of ``by``; the caller's job group and pool hold."""
+    def write(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return materialise(build(), (by or {}).get(name))
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        running = {name: pool.submit(inheritable_thread_target(write), build) for name, build in plans.items()}
+        running = {name: pool.submit(inheritable_thread_target(write), name, build) for name, build in plans.items()}
         return {name: job.result() for name, job in running.items()}

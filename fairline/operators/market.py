@@ -160,15 +160,18 @@ def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, lim
 
 
 def accept_within_limit(
-    bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: float, fold_rows: int = 10000,
+    bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: float, fold_rows: int = 1000,
     used: DataFrame | None = None,
 ) -> DataFrame:
     """A bet is accepted iff the day's accepted total plus its stake stays within the limit.
 
-    Totals are exact decimals (six places), so how they are grouped doesn't matter: while a day has more than
-    ``fold_rows`` open bets, the longest fitting prefix is accepted in one distributed pass, bets larger than what is
-    left can never fit and go out, and the rest follows in the next pass. Short days finish with a fold, which gives
-    the very same choice. ``used`` (``day``, ``used``) tells what earlier bets of a day have taken.
+    Totals are exact decimals (six places), so how they are grouped doesn't matter. Let ``r`` be what a day has left. Bets
+    of at most ``r / 2`` all fit as long as those before them sum to no more than ``r / 2``; of the larger ones the first
+    that fits beside them is found by its running total. A distributed pass accepts up to whichever comes first, the
+    crossing or the larger bet: then less than half of ``r`` is left. So passes grow with the logarithm of the limit over
+    the smallest stake, whatever the order of tiny and large bets; bets larger than what is left go out in each. Days of
+    at most ``fold_rows`` open bets finish with a fold, which gives the very same choice. ``used`` (``day``, ``used``)
+    tells what earlier bets of a day have taken.
     """
     keys = [day, *[c for c in order if c != day], key, stake]
     most = F.lit(limit).cast(EXACT)
@@ -185,14 +188,21 @@ def accept_within_limit(
         if largest <= fold_rows:
             taken.append(_fold(pending, day, order, key, stake, most))
             break
-        summed = materialise(running_totals(pending, [day], [*order, key], [stake]).withColumn(
-            "_total", (F.col("_used") + F.col(f"{stake}_before") + F.col(stake)).cast(EXACT)))
-        fits = F.col("_total") <= most
-        taken.append(summed.where(fits).select(day, key))
-        now = summed.groupBy(day).agg(F.max(F.when(fits, F.col("_total")).otherwise(F.col("_used"))).alias("_now"))
-        pending = materialise(
-            summed.where(~fits).join(now, day).where(F.col(stake) <= most - F.col("_now"))
-            .select(*dict.fromkeys(keys), F.col("_now").alias("_used")))
+        left, spot = most - F.col("_used"), F.struct(*dict.fromkeys([*[c for c in order if c != day], key]))
+        small = F.col(stake) * 2 <= left
+        summed = materialise(running_totals(
+            pending.withColumn("_small", F.when(small, F.col(stake)).otherwise(F.lit(0)).cast(EXACT)), [day], [*order, key], ["_small"]))
+        before = F.col("_small_before")
+        crossed = small & (before * 2 > left)
+        large = ~small & (F.col(stake) + before <= left) & (before * 2 <= left)
+        stops = summed.groupBy(day).agg(F.min(F.when(crossed | large, spot)).alias("_stop"))
+        placed = materialise(summed.join(stops, day).withColumns({
+            "_ahead": F.coalesce(spot < F.col("_stop"), F.lit(True)), "_here": F.coalesce(spot == F.col("_stop"), F.lit(False))}))
+        wins = (small & F.col("_ahead")) | (large & F.col("_here"))
+        taken.append(placed.where(wins).select(day, key))
+        now = placed.groupBy(day).agg((F.first("_used") + F.sum(F.when(wins, F.col(stake)).otherwise(F.lit(0).cast(EXACT)))).cast(EXACT).alias("_now"))
+        rest = placed.where(~F.col("_ahead") & ~(large & F.col("_here"))).join(now, day).where(F.col(stake) <= most - F.col("_now"))
+        pending = materialise(rest.select(*dict.fromkeys(keys), F.col("_now").alias("_used")))
     accepted = taken[0]
     for more in taken[1:]:
         accepted = accepted.unionByName(more)

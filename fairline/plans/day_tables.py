@@ -1,9 +1,10 @@
-"""One scan of the events, many grains.
+"""Two scans of the events, many grains.
 
-Events collapse once to cells, the finest grain any reader needs (game, batter, pitcher, hand), with every measure as a
-sum. Cells are tagged with the grains they count for, keys and measures a grain doesn't use are left null, and one more
-aggregation gives all grains; they are written as one table, a folder for each grain. Windows read these day tables, never
-the events. Everything is additive, so partial aggregation shrinks hot players and days before both shuffles.
+Batters' days are wide, so they are one plain aggregation. All other grains need a dozen sums each: every event row is
+tagged with the grains it counts for, each with its own keys and its own measures in common slots, and one aggregation
+gives them all, written as one table with a folder for each grain. Windows read these day tables, never the events.
+Everything is additive (the starter's place a minimum), so partial aggregation shrinks hot players and days before the
+shuffle.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import first_matching
-from fairline.functions.durable import materialise
+from fairline.functions.parallel import written_side_by_side
 from fairline.operators import aggregate as A
 
-KEYS = ["date", "game_pk", "home_team", "away_team", "bat_team", "batter", "pitcher", "hand"]
+KEYS = ["date", "game_pk", "home_team", "away_team", "bat_team", "def_team", "batter", "pitcher", "hand"]
+#: Bits of inning, turn and pitch in an event's place within its game.
+PLACE = {"inning": 12, "at_bat_number": 20, "pitch_number": 31}
 
 
 @dataclass(frozen=True)
@@ -52,40 +55,67 @@ def event_measures(means: list[str], pitch_types: list[str]) -> dict[str, Column
     }
 
 
-def grains_of(means: list[str], pitch_types: list[str], parts: list[str]) -> dict[str, Grain]:
+def place_in_game() -> Column:
+    """Inning, turn and pitch as one ordered number; a value that doesn't fit fails the query."""
+    fits, packed = F.lit(True), F.lit(0).cast("bigint")
+    for column, bits in PLACE.items():
+        value = F.col(column).cast("bigint")
+        fits = fits & value.between(0, (1 << bits) - 1)
+        packed = packed * (1 << bits) + value
+    known = F.col("inning").isNotNull() & F.col("at_bat_number").isNotNull() & F.col("pitch_number").isNotNull()
+    return F.when(known, F.when(fits, packed).otherwise(F.raise_error(F.lit("inning, at_bat_number or pitch_number is out of range"))))
+
+
+def grains_of(means: list[str], pitch_types: list[str]) -> dict[str, Grain]:
     def moments(columns: list[str]) -> list[str]:
         return [f"{m}_{s}" for m in columns for s in ("sum", "n")]
 
     launch = ["launch_speed", "launch_angle"]
     return {
         "game": Grain(["date", "game_pk", "home_team", "away_team", "bat_team", "batter"], ["pa", "hr", *moments(means)]),
-        "batter": Grain(["date", "batter"], [
-            "n", "pa", "hr", "pitches", *moments(means), "hard", "barrel", "la2", "sweet", "line", *parts, *[f"{s}_{k}" for k in pitch_types for s in ("tb", "ab")]]),
         "hand": Grain(["date", "batter", "hand"], ["pa", "hr", *moments(launch)]),
         "pitcher": Grain(["date", "pitcher"], ["pa", "hr", "pitches", *moments(["launch_speed", "release_speed"]), *[f"n_{k}" for k in pitch_types]]),
         "pair": Grain(["date", "batter", "pitcher"], ["n", "pa", "hr", *moments(launch)]),
         "profile": Grain(["pitcher", "hand"], ["past_n", "past_speed_sum", "past_speed_n"]),
+        "starter": Grain(["game_pk", "def_team", "pitcher"], ["n"]),
     }
 
 
 def day_tables(rows: DataFrame, means: list[str], pitch_types: list[str], parts: dict[str, Column], fit_before: str | None = None) -> dict[str, DataFrame]:
-    """The tables ``game``, ``batter``, ``hand``, ``pitcher``, ``pair`` and ``profile`` of prepared event rows.
+    """The tables ``batter``, ``game``, ``hand``, ``pitcher``, ``pair``, ``profile`` and ``starter`` of prepared event rows.
 
     ``parts`` are further event-grain columns to be summed by (batter, day). Profiles count rows before ``fit_before``.
     """
-    grains = grains_of(means, pitch_types, list(parts))
-    measures = {**event_measures(means, pitch_types), **parts}
-    cells = rows.withColumnRenamed("p_throws", "hand").groupBy(*KEYS).agg(*[F.sum(e).alias(m) for m, e in measures.items()])
-    past = F.lit(True) if fit_before is None else F.col("date") < F.lit(fit_before).cast("date")
-    cells = cells.select("*", *[F.when(past, F.col(m)).alias(f"past_{n}") for n, m in (("n", "n"), ("speed_sum", "release_speed_sum"), ("speed_n", "release_speed_n"))])
+    grains = grains_of(means, pitch_types)
+    measures = event_measures(means, pitch_types)
+    past = F.lit(True) if fit_before is None else F.coalesce(F.col("date") < F.lit(fit_before).cast("date"), F.lit(False))
+    for name, m in (("n", "n"), ("speed_sum", "release_speed_sum"), ("speed_n", "release_speed_n")):
+        measures[f"past_{name}"] = F.when(past, measures[m])
+    wide = {m: e for m, e in {**measures, **parts}.items() if not m.startswith(("n_", "past_", "release_speed"))}
+
+    slots = max(len(g.measures) for g in grains.values())
     number = {name: k for k, name in enumerate(grains)}
 
-    def only(column: str, users: list[int]) -> Column:
-        return F.col(column) if len(users) == len(grains) else F.when(F.col("grain").isin(users), F.col(column)).alias(column)
-
-    used = list(dict.fromkeys(m for g in grains.values() for m in g.measures))
-    tagged = cells.withColumn("grain", F.explode(F.array(*[F.lit(k) for k in number.values()]))).select(
-        "grain", *[only(k, [number[n] for n, g in grains.items() if k in g.keys]) for k in KEYS],
-        *[only(m, [number[n] for n, g in grains.items() if m in g.measures]) for m in used])
-    written = materialise(tagged.groupBy("grain", *KEYS).agg(*[F.sum(m).alias(m) for m in used]), by="grain")
-    return {name: written.where(F.col("grain") == number[name]).select(*g.keys, *g.measures) for name, g in grains.items()}
+    def by_grain(values: dict[int, Column], every: Column | None = None) -> Column:
+        return every if every is not None and len(values) == len(grains) else first_matching([(F.col("grain") == k, v) for k, v in values.items()])
+
+    tagged = rows.withColumns({"hand": F.col("p_throws"), "grain": F.explode(F.array(*[F.lit(k) for k in number.values()]))}).select(
+        "grain", *[by_grain({number[n]: F.col(k) for n, g in grains.items() if k in g.keys}).alias(k) for k in KEYS],
+        *[by_grain({number[n]: measures[g.measures[j]].cast("double") for n, g in grains.items() if j < len(g.measures)}).alias(f"s{j}") for j in range(slots)],
+        by_grain({number["starter"]: place_in_game()}).alias("place"))
+    sums = tagged.groupBy("grain", *KEYS).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(slots)], F.min("place").alias("place"))
+    written = written_side_by_side({
+        "batter": lambda: rows.groupBy("date", "batter").agg(*[F.sum(e).alias(m) for m, e in wide.items()]),
+        "others": lambda: sums,
+    }, by={"others": "grain"})
+    out = {"batter": written["batter"]}
+    for name, g in grains.items():
+        own = written["others"].where(F.col("grain") == number[name])
+        counts = [F.col(f"s{j}").cast("double" if m.endswith("_sum") else "bigint").alias(m) for j, m in enumerate(g.measures)]
+        out[name] = own.select(*g.keys, *counts, *(["place"] if name == "starter" else []))
+    return out
+
+
+def starters_of(starters: DataFrame) -> DataFrame:
+    """The pitcher who stands first in a game for each defending team."""
+    return starters.groupBy("game_pk", "def_team").agg(F.min_by("pitcher", F.struct("place", "pitcher")).alias("opp_starter"))

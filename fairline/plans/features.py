@@ -1,4 +1,4 @@
-"""The feature table from one scan of the events."""
+"""The feature table from day tables."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from fairline.functions.parallel import written_side_by_side
 from fairline.operators import aggregate as A
 from fairline.operators import clean, form, interaction, join, physics, rolling, schedule, streak
 from fairline.operators.quality import validate_dataset
-from fairline.plans.day_tables import day_tables, mean_of
+from fairline.plans.day_tables import day_tables, mean_of, starters_of
 from fairline.schema import STADIUM_OFFSET
 
 GAME_KEYS = ["date", "game_pk", "batter", "home_team", "away_team", "bat_team"]
@@ -146,8 +146,8 @@ def build_feature_table(
 ) -> FeatureTable:
     """One row per (batter, game) with all point-in-time features.
 
-    ``events`` are cleaned event rows (see ``read_pitch_events``). They are read three times: for the day tables, for
-    the starters and for the newest attempts of each day. Every block is a small plan over day tables, written beside
+    ``events`` are cleaned event rows (see ``read_pitch_events``). They are read three times: twice for the day tables
+    and once for the newest attempts of each day. Every block is a small plan over day tables, written beside
     the others; the wide table is one chain of equi joins of written blocks.
 
     Pitcher profiles and the table-wide statistics of the interaction features come from rows before the date
@@ -160,10 +160,9 @@ def build_feature_table(
     rates = _rates()
     parts, place = _shared_parts(rates)
     days = day_tables(rows, means, pitch_types, parts, fit_before)
-    starters = A.first_per_group(rows, ["game_pk", "def_team"], "pitcher", [*ORDER, "pitcher"], "opp_starter")
     games = days["game"].select(*GAME_KEYS, "pa", "hr", *[mean_of(m).alias(m) for m in means], (F.col("hr") > 0).cast("int").alias("hit_hr"))
     games = clean.derive_opponent(clean.attach_park(games), "home_team", "away_team", "bat_team")
-    spine = materialise(join.join_starters(games, starters, "game_pk", "opp_team", "def_team"))
+    spine = materialise(join.join_starters(games, starters_of(days["starter"]), "game_pk", "opp_team", "def_team"))
 
     derived = {n: f() for n, f in {**A.PRESSURE_INDEX, **A.LEVERAGE_RATIO}.items()}
     starter = {"pitcher": "opp_starter"}

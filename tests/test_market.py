@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairline.operators import market as B
 
 
+# Four recorded quotes (score, price, expected value, Kelly share, fair price).
 def test_recorded_prices(spark):
     rows = [("a", 0.097, 2730.0, 1.739, 0.064, 933.0), ("b", 0.195, 1250.0, 1.627, 0.130, 414.0), ("c", 0.087, 2800.0, 1.514, 0.054, 1054.0),
             ("d", 0.237, 750.0, 1.016, 0.136, 322.0)]
@@ -68,3 +69,32 @@ def test_calibration_of_listed_scores(spark):
     out = {r.p: r.calibrated for r in B.calibrate_percentile(df, "p").collect()}
     assert out[0.949] == pytest.approx(0.35) and out[0.300] == pytest.approx(0.05 + 100 / 9 * 0.07 / 50)
     assert sorted(out, key=out.get) == sorted(out)
+
+
+def first_fit(bets, limit):
+    """Accepted keys of (key, stake) in order, in hundredths."""
+    total, taken = 0, set()
+    for key, stake in bets:
+        if total + round(stake * 100) <= round(limit * 100):
+            total += round(stake * 100)
+            taken.add(key)
+    return taken
+
+
+@pytest.mark.parametrize("kind", ["alternating", "falling", "random"])
+def test_passes_grow_with_the_logarithm(spark, monkeypatch, kind):
+    """100,000 bets on a day: tiny and large ones in turn, stakes that just miss, or any."""
+    rng = random.Random(6)
+    n, limit = 100_000, 10_000.0
+    if kind == "alternating":
+        bets = [(i, 0.05 if i % 2 else 9_000.0) for i in range(n)]
+    elif kind == "falling":
+        bets = [(i, 0.01 if i % 2 else round(limit - 0.01 * (i // 2) + 0.01, 2)) for i in range(n)]
+    else:
+        bets = [(i, rng.choice([0.01, 0.5, 3.0, 700.0, 2500.0]) * rng.randint(1, 3)) for i in range(n)]
+    passes = []
+    plain = B.running_totals
+    monkeypatch.setattr(B, "running_totals", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    df = spark.createDataFrame(bets, "key bigint, stake double").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {r.key for r in B.accept_within_limit(df, "day", ["key"], "key", "stake", limit, fold_rows=100).where("accepted = 1").collect()}
+    assert got == first_fit(bets, limit) and 0 < len(passes) <= 22
