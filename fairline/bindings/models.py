@@ -33,7 +33,9 @@ def _(spark, sf):
     return V.time_split(rows(spark, sf), "date", gap_days=7).groupBy("date", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e2_stratified_split", "split:s label:i n:l")
+@query("e2_stratified_split", "split:s label:i n:l", f"""
+WITH {SRC}, b AS (SELECT label, CAST(CAST('0x' || substr(md5('42|' || label || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656 AS u FROM m)
+SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'validation' ELSE 'test' END AS split, label, count(*) AS n FROM b GROUP BY 1, 2""")
 def _(spark, sf):
     return V.stratified_split(rows(spark, sf), "label", ["l_orderkey", "l_linenumber", "l_partkey"]).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -185,6 +185,19 @@ def _(spark, sf):
     return K.read_version(spark, f"{path}/similarity")
 
 
+@query("s10_similarity_retraction", "ent:l group_type:s group_value:s pa:l hr:l", f"WITH {LI}, {PROFILE}, {SIMILAR} SELECT * FROM sim")
+def _(spark, sf):
+    """Profiles are known better with each batch; totals follow the opponents that change their group."""
+    rows, path = li(spark, sf), folder(spark)
+    ends = ["day < DATE '1993-06-01'", "day >= DATE '1993-06-01' AND day < DATE '1997-02-01'", "day >= DATE '1997-02-01'"]
+    for i, part in enumerate(ends):
+        batch, seen = rows.where(part), rows.where(" OR ".join(f"({p})" for p in ends[: i + 1]))
+        shapes = profile(seen)
+        K.upsert_matchup_tables(spark, path, K.matchup_increment(batch, "ent", "opp", "day", "att", "hit", "x", "price"), shapes,
+                                A.similarity_stats(batch, shapes, "ent", "opp", "att", "hit"), "ent", "opp")
+    return K.read_version(spark, f"{path}/similarity").where("pa > 0")
+
+
 @query("s11_append_insert_or_ignore", "game_id:s player_name:s hits:l", """
 WITH p AS (SELECT strftime(l_shipdate, '%Y-%m-%d') || '_H' || l_suppkey || '_A' || l_orderkey AS game_id, CASE WHEN l_linenumber = 4 THEN '' ELSE 'part ' || l_partkey END AS player_name,
   CAST(l_quantity AS BIGINT) AS hits, CAST(l_shipdate AS DATE) AS day FROM lineitem)

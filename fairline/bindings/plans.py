@@ -171,6 +171,21 @@ def _(spark, sf):
     return X.build_prediction_table(history, targets, "name", "target", "date", [F.desc("date"), F.desc("last_offer")], ["last_offer"], ["total"], days=400)
 
 
+@query("x2_prediction_defaults", "target:s last_offer:l recent_total:f era:f streak:f", """
+WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders),
+r AS (SELECT 'PLAYER ' || c_custkey || '#' AS target, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY d DESC, o_orderkey DESC) AS k
+  FROM o JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND d >= (SELECT max(d) FROM o) - 400),
+t AS (SELECT target, max(CASE WHEN k = 1 THEN o_orderkey END) AS last_offer, avg(o_totalprice) AS recent_total FROM r WHERE k <= 10 GROUP BY 1)
+SELECT target, last_offer, coalesce(recent_total, (SELECT quantile_cont(recent_total, 0.5) FROM t)) AS recent_total, 4.5 AS era, 0 AS streak FROM t""")
+def _(spark, sf):
+    """Missing prices become the median, absent columns their default or zero."""
+    board = odds_board(spark, sf)
+    history = board.select(F.col("offer").alias("last_offer"), F.concat(F.lit("Jr Player "), "player", F.lit("#")).alias("name"), "date", F.when(F.col("offer") % 4 != 0, F.col("total")).alias("total"))
+    targets = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("PLAYER "), "c_custkey", F.lit("#")).alias("target"))
+    return X.build_prediction_table(history, targets, "name", "target", "date", [F.desc("date"), F.desc("last_offer")], ["last_offer"], ["total"], days=400,
+                                    defaults={"era": clean.LEAGUE_DEFAULTS["era"]}, median_columns=("recent_total",), zero_columns=("streak",))
+
+
 def report(spark, sf):
     board = odds_board(spark, sf)
     name = F.concat(F.lit("Player "), "offer").alias("batter_name")

@@ -109,4 +109,4 @@ def _(spark, sf):
         F.col("l_suppkey").alias("ent"), "opp", F.to_date("l_shipdate").alias("day"), (F.col("l_linestatus") == "F").cast("int").alias("att"),
         (F.col("l_discount") >= 0.08).cast("int").alias("hit"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("price"))
     J.incremental_matchup_update(events, out, checkpoint, "ent", "opp", "day", "att", "hit", "x", "price")
-    return K.read_version(spark, out).withColumn("ev", F.col("ev_sum") / F.col("ev_n"))
+    return K.read_totals(spark, out).withColumn("ev", F.col("ev_sum") / F.col("ev_n"))

@@ -32,7 +32,8 @@ def time_split(df: DataFrame, date: str, train: float = 0.7, validation: float =
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """Random split that any re-run reproduces: a hash of the row key; every class is split by the same shares."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(label), *[F.col(k) for k in keys]), F.lit(100000)) / 100000.0
+    text = F.concat_ws("|", F.lit(seed), F.col(label), *[F.col(k) for k in keys])
+    bucket = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / 2.0**48
     return df.withColumn("split", F.when(bucket < train, "train").when(bucket < train + validation, "validation").otherwise("test"))
 
 

@@ -7,8 +7,10 @@ are needed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,27 +127,53 @@ def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_stats(df, columns, {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev}).join(medians, "feature", "left")
 
 
-#: Column pairs of one aggregation.
-PAIRS_PER_PASS = 100
+def _gram(columns: list[str], means: list[float]):
+    """Joint counts, sums, squares and products of all column pairs of a task's rows, kept as matrices."""
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(columns)
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64) - np.array(means)
+            known = ~np.isnan(x)
+            x, f = np.where(known, x, 0.0), known.astype(np.float64)
+            n += f.T @ f
+            s += x.T @ f
+            q += (x * x).T @ f
+            p += x.T @ x
+        i, j = np.triu_indices(k, 1)
+        there = n[i, j] > 0
+        i, j = i[there], j[there]
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "si": s[i, j], "sj": s[j, i], "qi": q[i, j], "qj": q[j, i], "p": p[i, j]})
+
+    return add_up
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], threshold: float = 0.7) -> DataFrame:
-    """Pearson correlation of column pairs above a threshold.
+    """Pearson correlation of column pairs above a threshold, from one pass whatever the number of columns.
 
-    Each pair uses the rows that have both values, whatever the other columns hold. Pairs are aggregated in chunks, each
-    one pass with a single partial row per task.
+    Each pair uses the rows that have both values (null and NaN are missing), whatever the other columns hold. A task
+    keeps four matrices of columns x columns and sends one row for each pair; values are taken from their column's mean
+    first, so sums of squares don't cancel. A column that doesn't vary among a pair's rows correlates with nothing.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    long = None
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[at : at + PAIRS_PER_PASS]
-        wide = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
-        rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(chunk)])
-        part = wide.select(F.explode(rows).alias("_r")).select("_r.*")
-        long = part if long is None else long.unionByName(part)
-    if long is None:
+    if len(columns) < 2:
         raise ValueError("correlation needs two columns")
-    return long.where(F.abs("r") > threshold)
+    wide = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    # one value for each column
+    averages = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    means = [averages[c] or 0.0 for c in columns]
+    sums = ["n", "si", "sj", "qi", "qj", "p"]
+    parts = wide.mapInPandas(_gram(columns, means), "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    names, sizes = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(abs(m)) for m in means])
+    c = F.col
+
+    def spread(side: str, index: str) -> Column:
+        value = (c(f"q{side}") - c(f"s{side}") * c(f"s{side}") / c("n")) / c("n")
+        return F.when(value > F.pow(F.get(sizes, c(index)) * 1e-12, F.lit(2)), value)
+
+    r = (c("p") - c("si") * c("sj") / c("n")) / c("n") / F.sqrt(spread("i", "i") * spread("j", "j"))
+    pairs = total.select(F.get(names, c("i")).alias("feature_a"), F.get(names, c("j")).alias("feature_b"), F.when(c("n") > 1, r).alias("r"))
+    return pairs.where(F.abs("r") > threshold)
 
 
 def calendar_counts(df: DataFrame, date: str) -> DataFrame:

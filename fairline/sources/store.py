@@ -41,6 +41,78 @@ def merge_partials(old: DataFrame | None, new: DataFrame, keys: list[str], sums:
     return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
 
 
+#: Buckets of a totals store.
+BUCKETS = 64
+_BUCKET = "_bucket"
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(version, last batch) that a totals store names; (0, -1) before the first write."""
+    try:
+        row = spark.read.parquet(f"{path}/pointer").agg(F.max(F.struct("version", "batch")).alias("p")).first()["p"]
+    except Exception as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            return 0, -1
+        raise
+    return (row["version"], row["batch"]) if row else (0, -1)
+
+
+def _places(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    """The version that wrote each bucket last: one row for each bucket."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/places/v{version}").collect()} if version else {}
+
+
+def _read_places(spark: SparkSession, path: str, places: dict[int, int]) -> DataFrame | None:
+    folders = [f"{path}/data/v{version}/{_BUCKET}={bucket}" for bucket, version in sorted(places.items())]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame | None:
+    """All totals of a store, each bucket from the version that wrote it last."""
+    return _read_places(spark, path, _places(spark, path, _pointer(spark, path)[0]))
+
+
+def add_to_totals(
+    spark: SparkSession, path: str, increment: DataFrame, keys: list[str], sums: list[str], latest: list[str], batch: int, buckets: int = BUCKETS,
+) -> list[int]:
+    """Add an increment to stored totals; only buckets of its keys are read and written again (returned).
+
+    A version is a folder with the buckets it changed and a list that says where each bucket lies; moving the pointer
+    ends a write. A batch whose number is not above the last one changes nothing, and one that failed halfway writes
+    the same folder again.
+    """
+    version, last = _pointer(spark, path)
+    if batch <= last:
+        return []
+    columns = [*keys, *sums, *latest]
+    rows = increment.select(*columns, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(_BUCKET))
+    places = _places(spark, path, version)
+    # at most as many values as there are buckets
+    touched = sorted(r[0] for r in rows.select(_BUCKET).distinct().collect())
+    old = _read_places(spark, path, {b: places[b] for b in touched if b in places})
+    merged = merge_partials(old, rows, keys, sums, latest)
+    merged = merged.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    merged.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/data/v{version + 1}")
+    now = {**places, **dict.fromkeys(touched, version + 1)}
+    spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/places/v{version + 1}")
+    spark.createDataFrame([(version + 1, batch)], "version int, batch int").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    return touched
+
+
+def moved_similarity(pairs: DataFrame, before: DataFrame, after: DataFrame, entity: str, opponent: str) -> DataFrame:
+    """What changed profiles move between groups: pair totals leave the old value and enter the new one."""
+    groups = {"handedness": "handedness", "velocity": "velocity_tier"}
+    old = before.select(opponent, *[F.col(c).alias(f"_old_{c}") for c in groups.values()])
+    differs = [~F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in groups.values()]
+    changed = after.select(opponent, *groups.values()).join(old, opponent).where(differs[0] | differs[1])
+    sides = F.array(*[
+        F.when(~F.col(c).eqNullSafe(F.col(f"_old_{c}")), F.struct(F.lit(kind).alias("group_type"), F.col(name).alias("group_value"), F.lit(sign).alias("sign")))
+        for kind, c in groups.items() for name, sign in ((f"_old_{c}", -1), (c, 1))])
+    moves = pairs.join(changed, opponent).select(entity, "pa", "hr", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("g"))
+    return moves.groupBy(entity, F.col("g.group_type").alias("group_type"), F.col("g.group_value").alias("group_value")).agg(
+        F.sum(F.col("pa") * F.col("g.sign")).alias("pa"), F.sum(F.col("hr") * F.col("g.sign")).alias("hr"))
+
+
 def replace_rows(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or replace by key, for tables that are recomputed per key (profiles)."""
     return new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -56,15 +128,22 @@ def matchup_increment(events: DataFrame, entity: str, opponent: str, day: str, a
 def upsert_matchup_tables(
     spark: SparkSession, path: str, increment: DataFrame, profiles: DataFrame, similarity: DataFrame, entity: str, opponent: str,
 ) -> None:
-    """The pair, profile and similarity tables and a metadata row."""
-    pairs = merge_partials(read_version(spark, f"{path}/matchups"), increment, [entity, opponent], PAIR_SUMS, ["last_date"])
-    write_version(pairs, f"{path}/matchups")
-    write_version(replace_rows(read_version(spark, f"{path}/profiles"), profiles, [opponent]), f"{path}/profiles")
+    """The pair, profile and similarity tables and a metadata row.
+
+    ``similarity`` are the batch's totals under the new profiles; what earlier batches added under profiles that have
+    changed since moves to the new groups.
+    """
+    stored, known = read_version(spark, f"{path}/matchups"), read_version(spark, f"{path}/profiles")
     keys = [entity, "group_type", "group_value"]
-    merged = merge_partials(read_version(spark, f"{path}/similarity"), similarity, keys, ["pa", "hr"], [])
+    if stored is not None and known is not None:
+        similarity = similarity.select(*keys, "pa", "hr").unionByName(moved_similarity(stored, known, profiles, entity, opponent))
+    merged = merge_partials(read_version(spark, f"{path}/similarity"), similarity, keys, ["pa", "hr"], []).where("pa <> 0 or hr <> 0")
     write_version(merged.withColumn("hr_rate", F.col("hr") / F.greatest(F.col("pa"), F.lit(1))), f"{path}/similarity")
-    stored = read_version(spark, f"{path}/matchups")
-    write_version(stored.agg(F.count(F.lit(1)).alias("pairs"), F.max("last_date").alias("last_date")), f"{path}/metadata")
+    pairs = merge_partials(stored, increment, [entity, opponent], PAIR_SUMS, ["last_date"])
+    write_version(pairs, f"{path}/matchups")
+    write_version(replace_rows(known, profiles, [opponent]), f"{path}/profiles")
+    written = read_version(spark, f"{path}/matchups")
+    write_version(written.agg(F.count(F.lit(1)).alias("pairs"), F.max("last_date").alias("last_date")), f"{path}/metadata")
 
 
 def game_id(date: str, home: str, away: str) -> Column:

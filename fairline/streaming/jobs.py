@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fairline.functions.durable import materialise
 from fairline.operators.market import EXACT, accept_within_limit
 from fairline.operators.monitor import AlertRule, matched_rules
-from fairline.sources.store import PAIR_SUMS, matchup_increment, merge_partials
+from fairline.sources.store import PAIR_SUMS, add_to_totals, matchup_increment
 
 _BATCH = "_batch"
 
@@ -165,14 +165,11 @@ def incremental_matchup_update(
 ) -> None:
     """T4: fold new events into the stored pair totals.
 
-    Batch ``i`` always turns version ``i`` into version ``i + 1``, so a batch
-    repeated after a failure writes the same version again.
+    A batch rewrites the buckets of its pairs only and leaves its number; a batch repeated after a failure changes
+    nothing or writes the same folder again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{batch_id}") if batch_id else None
-        increment = matchup_increment(batch, entity, opponent, day, attempt, hit, impact, angle)
-        merge_partials(old, increment, [entity, opponent], PAIR_SUMS, ["last_date"]).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
-        spark.range(1).select(F.lit(batch_id + 1).alias("version")).write.mode("append").parquet(f"{path}/current")
+        increment = materialise(matchup_increment(batch, entity, opponent, day, attempt, hit, impact, angle))
+        add_to_totals(batch.sparkSession, path, increment, [entity, opponent], PAIR_SUMS, ["last_date"], batch_id)
 
     run_available(events, checkpoint, "append", write)

@@ -30,10 +30,10 @@ def test_pair_totals_over_batches(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = J.read_file_stream(spark, str(tmp_path / "in"), df.schema, 1)
     J.incremental_matchup_update(stream, str(tmp_path / "store"), str(tmp_path / "cp"), "b", "p", "day", "att", "hit", "x", "y")
-    stored = {(r.b, r.p): (r.pa, r.hr, r.ev_sum) for r in K.read_version(spark, str(tmp_path / "store")).collect()}
+    stored = {(r.b, r.p): (r.pa, r.hr, r.ev_sum) for r in K.read_totals(spark, str(tmp_path / "store")).collect()}
     whole = K.matchup_increment(df, "b", "p", "day", "att", "hit", "x", "y").collect()
     assert stored == {(r.b, r.p): (r.pa, r.hr, r.ev_sum) for r in whole}
-    assert K.current_version(spark, str(tmp_path / "store")) == 3
+    assert K._pointer(spark, str(tmp_path / "store")) == (3, 2)
 
 
 def test_running_limit_over_many_arrow_batches(spark, tmp_path):
@@ -117,3 +117,23 @@ def test_totals_of_past_days_are_dropped(spark, tmp_path):
     kept = [r.day for r in spark.read.parquet(f"{out}/used/v4").collect()]
     assert kept == [] or min(kept) >= dt.date(2024, 1, 4)
     assert {r.key for r in spark.read.parquet(f"{out}/decided").collect()} == {0, 1, 2}
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    schema = "b int, p int, day date, att int, hit int, x double, y double"
+
+    def increment(rows):
+        return K.matchup_increment(spark.createDataFrame(rows, schema), "b", "p", "day", "att", "hit", "x", "y")
+
+    path, day = str(tmp_path / "store"), dt.date(2024, 1, 1)
+
+    def add(rows, batch):
+        return K.add_to_totals(spark, path, increment(rows), ["b", "p"], K.PAIR_SUMS, ["last_date"], batch)
+
+    many = add([(b, p, day, 1, 0, 1.0, 2.0) for b in range(20) for p in range(20)], 0)
+    assert len(many) == K.BUCKETS
+    one = add([(3, 4, dt.date(2024, 2, 1), 1, 1, 5.0, 6.0)], 1)
+    assert len(one) == 1 and len(list((tmp_path / "store" / "data" / "v2").glob("_bucket=*"))) == 1
+    assert add([(3, 4, day, 1, 1, 5.0, 6.0)], 1) == [] and add([(9, 9, day, 1, 1, 5.0, 6.0)], 0) == []
+    stored = {(r.b, r.p): (r.pa, r.hr, r.ev_sum, r.last_date) for r in K.read_totals(spark, path).collect()}
+    assert len(stored) == 400 and stored[3, 4] == (2, 1, 6.0, dt.date(2024, 2, 1)) and stored[9, 9] == (1, 0, 1.0, day)
