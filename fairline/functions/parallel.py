@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fairline.functions.durable import materialise
 
@@ -16,6 +16,7 @@ def written_side_by_side(plans: dict[str, Callable[[], DataFrame]], threads: int
     def write(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return materialise(build(), (by or {}).get(name))
 
+    inherits = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        running = {name: pool.submit(inheritable_thread_target(write), name, build) for name, build in plans.items()}
+        running = {name: pool.submit(inherits(write), name, build) for name, build in plans.items()}
         return {name: job.result() for name, job in running.items()}
