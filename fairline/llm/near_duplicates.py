@@ -162,6 +162,24 @@ def _links(work: pd.DataFrame) -> pd.DataFrame:
     return out[(out["linked"] > 0) | (out["other"] >= 0)]
 
 
+def _groups(edges: DataFrame) -> DataFrame:
+    """``node``, ``component`` for the ends of star edges (``a`` a node, ``b`` a centre; at most one edge for each band).
+
+    Nodes shrink to their smallest centres before anything is joined: a node's centres are a short list, and what they
+    say is which centres belong together. A group of many near copies has few such pairs, each of them once.
+    """
+    listed = materialise(edges.groupBy("a").agg(F.min("b").alias("label"), F.collect_set("b").alias("centres")))
+    pairs = listed.select("label", F.explode("centres").alias("centre"))
+    centres = materialise(pairs.select("centre").distinct())
+    # a centre that is a node of other stars too belongs with its own label
+    own = listed.join(centres, F.col("a") == F.col("centre")).select(F.col("a").alias("label"), F.col("label").alias("centre"))
+    between = connected_components(pairs.unionByName(own).distinct().select(F.col("label").alias("a"), F.col("centre").alias("b")))
+    labelled = listed.select(F.col("a").alias("node"), "label").unionByName(centres.select(F.col("centre").alias("node"), F.col("centre").alias("label")))
+    labelled = labelled.groupBy("node").agg(F.min("label").alias("label"))
+    found = labelled.join(between.withColumnRenamed("node", "label"), "label", "left")
+    return materialise(found.select("node", F.coalesce("component", "label").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``class_id`` (smallest id of its class) and ``n_links`` for every row.
 
@@ -180,7 +198,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # buckets with one set fall away; the others are stars, so a bucket gives as many edges as it has sets
     stars = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far")).where("centre <> far")
     edges = banded.join(stars.hint("merge"), "bucket").select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b")
-    groups = connected_components(edges)
+    groups = _groups(edges)
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # blocks by hash; a pair of blocks is a unit of work
     members = (
