@@ -43,7 +43,10 @@ EV_DAY = EV + """, d AS (SELECT user_id, day, CAST(sum(att) AS BIGINT) AS att, C
 
 
 def li(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem with part, order, customer and supplier: entity supplier, opponent = customer nation."""
+    """lineitem with part, order, customer and supplier: entity supplier, opponent = customer nation.
+
+    Customers meet the orders first, so the lines, the largest table, are not shuffled for them.
+    """
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", F.col("l_suppkey").alias("ent"), F.to_date("l_shipdate").alias("day"),
         F.col("l_linenumber").alias("inning"), F.col("l_returnflag").alias("hand"), F.col("l_quantity").alias("x"),
@@ -53,11 +56,11 @@ def li(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), F.col("p_size").alias("speed"))
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
     customers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("opp"))
+    owners = orders.join(customers, F.col("cust") == F.col("c_custkey"))
     suppliers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("park"))
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customers, F.col("cust") == F.col("c_custkey"))
+        .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("ent") == F.col("s_suppkey"))
         .drop("p_partkey", "o_orderkey", "c_custkey", "s_suppkey")
     )

@@ -77,9 +77,9 @@ def _(spark, sf):
     return X.final_table(X.build_feature_table(events, PITCHES, park_weather(events)))
 
 
-def days_of(spark, sf):
+def days_of(spark, sf, *wanted):
     parts, _ = features._shared_parts(features._rates())
-    return day_tables(features.prepared_events(pitch_events(spark, sf)), features.LAUNCH, PITCHES, parts)
+    return day_tables(features.prepared_events(pitch_events(spark, sf)), features.LAUNCH, PITCHES, parts, wanted=wanted)
 
 
 HAND = "CASE WHEN hand = 'A' THEN 'L' ELSE 'R' END"
@@ -103,7 +103,7 @@ _GRAINS = {
 def _grain(name: str, spec: str, sql: str) -> None:
     @query(f"x1_days_{name}", spec, f"WITH {PE} {sql}")
     def _(spark, sf):
-        return days_of(spark, sf)[name]
+        return days_of(spark, sf, name)[name]
 
 
 for _name, (_spec, _sql) in _GRAINS.items():
@@ -117,7 +117,7 @@ r AS (SELECT ent, h, day, sum(pa) OVER w AS pa10, sum(hr) OVER w AS hr10, avg(ev
 SELECT ent AS batter, day AS date, max(pa10) FILTER (h = 'R') AS R_pa10, max(hr10) FILTER (h = 'R') AS R_hr10, max(hr10 / (pa10 + 0.000001)) FILTER (h = 'R') AS R_hr_rate10, max(ev10) FILTER (h = 'R') AS R_ev10,
   max(pa10) FILTER (h = 'L') AS L_pa10, max(hr10 / (pa10 + 0.000001)) FILTER (h = 'L') AS L_hr_rate10, max(pa30d) FILTER (h = 'L') AS L_pa30d FROM q GROUP BY 1, 2""")
 def _(spark, sf):
-    return features.hand_block(days_of(spark, sf)["hand"])
+    return features.hand_block(days_of(spark, sf, "hand")["hand"])
 
 
 @query("x1_block_pitcher", "pitcher:l date:d p_roll10_hr_allowed:l p_roll10_pa_faced:l p_roll10_hr_rate:f p_roll10_vel:f mix_EC:f mix_ST:f", f"""
@@ -128,7 +128,7 @@ l AS (SELECT *, lag(n) OVER w AS ln, lag(ec) OVER w AS lec, lag(st) OVER w AS ls
 SELECT opp AS pitcher, day AS date, hr AS p_roll10_hr_allowed, pa AS p_roll10_pa_faced, CASE WHEN pa IS NOT NULL THEN least(hr / (pa + 0.000001), 0.15) END AS p_roll10_hr_rate, vel AS p_roll10_vel,
   coalesce(lec / ln, 0) AS mix_EC, coalesce(lst / ln, 0) AS mix_ST FROM l""")
 def _(spark, sf):
-    days = days_of(spark, sf)["pitcher"]
+    days = days_of(spark, sf, "pitcher")["pitcher"]
     return features.pitcher_block(days).join(features.mix_block(days, PITCHES), ["pitcher", "date"])
 
 
@@ -141,7 +141,7 @@ SELECT a.ent AS batter, a.opp AS opp_starter, a.day AS date, coalesce(sum(b.pa)
   coalesce(sum(b.hr) FILTER (b.opp <> a.opp AND b.h = a.h), 0) AS vs_similar_hand_hr, coalesce(sum(b.pa) FILTER (b.opp <> a.opp AND b.v = a.v), 0) AS vs_similar_velocity_pa
 FROM k a LEFT JOIN k b ON a.ent = b.ent AND b.day < a.day GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    days = days_of(spark, sf)
+    days = days_of(spark, sf, "pair", "profile")
     spine = days["pair"].select("batter", F.col("pitcher").alias("opp_starter"), "date")
     return features.matchup_block(spine, days["pair"], features.profiles_of(days["profile"]))
 
@@ -158,7 +158,7 @@ SELECT ent AS batter, day AS date, coalesce(r / nullif(pa, 0), 0) AS avg_runners
 def _(spark, sf):
     rates = features._rates()
     _, place = features._shared_parts(rates)
-    return A.rates_before(days_of(spark, sf)["batter"], "batter", "date", rates, parts=place)
+    return A.rates_before(days_of(spark, sf, "batter")["batter"], "batter", "date", rates, parts=place)
 
 
 @query("x2_build_prediction_table", "target:s last_offer:l recent_total:f recent_rows:l", """

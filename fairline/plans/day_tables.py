@@ -3,6 +3,7 @@
 Batters' days are wide, so they are one plain aggregation. All other grains need a dozen sums each: every event row is
 tagged with the grains it counts for, each with its own keys and its own measures in common slots, and one aggregation
 gives them all, written as one table with a folder for each grain. Windows read these day tables, never the events.
+Only the tables a caller names are built: rows are tagged for, and carry keys and slots of, those grains alone.
 Everything is additive (the starter's place a minimum), so partial aggregation shrinks hot players and days before the
 shuffle.
 """
@@ -81,34 +82,42 @@ def grains_of(means: list[str], pitch_types: list[str]) -> dict[str, Grain]:
     }
 
 
-def day_tables(rows: DataFrame, means: list[str], pitch_types: list[str], parts: dict[str, Column], fit_before: str | None = None) -> dict[str, DataFrame]:
+def day_tables(
+    rows: DataFrame, means: list[str], pitch_types: list[str], parts: dict[str, Column], fit_before: str | None = None,
+    wanted: tuple[str, ...] | None = None,
+) -> dict[str, DataFrame]:
     """The tables ``batter``, ``game``, ``hand``, ``pitcher``, ``pair``, ``profile`` and ``starter`` of prepared event rows.
 
     ``parts`` are further event-grain columns to be summed by (batter, day). Profiles count rows before ``fit_before``.
+    ``wanted`` names the tables to build, all of them by default.
     """
-    grains = grains_of(means, pitch_types)
+    grains = {name: g for name, g in grains_of(means, pitch_types).items() if wanted is None or name in wanted}
+    keys = [k for k in KEYS if any(k in g.keys for g in grains.values())]
     measures = event_measures(means, pitch_types)
     past = F.lit(True) if fit_before is None else F.coalesce(F.col("date") < F.lit(fit_before).cast("date"), F.lit(False))
     for name, m in (("n", "n"), ("speed_sum", "release_speed_sum"), ("speed_n", "release_speed_n")):
         measures[f"past_{name}"] = F.when(past, measures[m])
     wide = {m: e for m, e in {**measures, **parts}.items() if not m.startswith(("n_", "past_", "release_speed"))}
 
-    slots = max(len(g.measures) for g in grains.values())
+    slots = max((len(g.measures) for g in grains.values()), default=0)
     number = {name: k for k, name in enumerate(grains)}
 
-    def by_grain(values: dict[int, Column], every: Column | None = None) -> Column:
-        return every if every is not None and len(values) == len(grains) else first_matching([(F.col("grain") == k, v) for k, v in values.items()])
-
-    tagged = rows.withColumns({"hand": F.col("p_throws"), "grain": F.explode(F.array(*[F.lit(k) for k in number.values()]))}).select(
-        "grain", *[by_grain({number[n]: F.col(k) for n, g in grains.items() if k in g.keys}).alias(k) for k in KEYS],
-        *[by_grain({number[n]: measures[g.measures[j]].cast("double") for n, g in grains.items() if j < len(g.measures)}).alias(f"s{j}") for j in range(slots)],
-        by_grain({number["starter"]: place_in_game()}).alias("place"))
-    sums = tagged.groupBy("grain", *KEYS).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(slots)], F.min("place").alias("place"))
-    written = written_side_by_side({
-        "batter": lambda: rows.groupBy("date", "batter").agg(*[F.sum(e).alias(m) for m, e in wide.items()]),
-        "others": lambda: sums,
-    }, by={"others": "grain"})
-    out = {"batter": written["batter"]}
+    def by_grain(values: dict[int, Column]) -> Column:
+        return first_matching([(F.col("grain") == k, v) for k, v in values.items()])
+
+    def others() -> DataFrame:
+        place = {"place": place_in_game()} if "starter" in grains else {}
+        tagged = rows.withColumns({"hand": F.col("p_throws"), "grain": F.explode(F.array(*[F.lit(k) for k in number.values()]))}).select(
+            "grain", *[by_grain({number[n]: F.col(k) for n, g in grains.items() if k in g.keys}).alias(k) for k in keys],
+            *[by_grain({number[n]: measures[g.measures[j]].cast("double") for n, g in grains.items() if j < len(g.measures)}).alias(f"s{j}") for j in range(slots)],
+            *[by_grain({number["starter"]: v}).alias(k) for k, v in place.items()])
+        return tagged.groupBy("grain", *keys).agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(slots)], *[F.min(k).alias(k) for k in place])
+
+    plans = {"others": others} if grains else {}
+    if wanted is None or "batter" in wanted:
+        plans["batter"] = lambda: rows.groupBy("date", "batter").agg(*[F.sum(e).alias(m) for m, e in wide.items()])
+    written = written_side_by_side(plans, by={"others": "grain"})
+    out = {"batter": written["batter"]} if "batter" in written else {}
     for name, g in grains.items():
         own = written["others"].where(F.col("grain") == number[name])
         counts = [F.col(f"s{j}").cast("double" if m.endswith("_sum") else "bigint").alias(m) for j, m in enumerate(g.measures)]

@@ -53,3 +53,12 @@ def test_place_in_game_is_ordered_and_bounded(spark):
     big = spark.createDataFrame([(5000, 1, 1)], "inning int, at_bat_number int, pitch_number int").select(day_tables.place_in_game().alias("p"))
     with pytest.raises(Exception, match="out of range"):
         big.collect()
+
+
+def test_only_the_day_tables_asked_for_are_built(spark):
+    rows = spark.sql("""SELECT DATE '2024-04-01' AS date, 1L AS game_pk, 'BOS' AS home_team, 'NYY' AS away_team, 'BOS' AS bat_team, 'NYY' AS def_team, 7L AS batter, p AS pitcher,
+      'R' AS p_throws, 'FF' AS pitch_type, 95.0D AS release_speed, 'home_run' AS events, 100.0D AS launch_speed, 30.0D AS launch_angle, 1 AS is_pa, 1 AS is_hr FROM VALUES (8L), (8L), (9L) AS t(p)""")
+    days = day_tables.day_tables(rows, ["launch_speed", "launch_angle"], ["FF"], {}, wanted=("pair", "profile"))
+    assert set(days) == {"pair", "profile"}
+    assert sorted((r.batter, r.pitcher, r.n, r.hr, r.launch_angle_sum) for r in days["pair"].collect()) == [(7, 8, 2, 2, 60.0), (7, 9, 1, 1, 30.0)]
+    assert sorted((r.pitcher, r.hand, r.past_n) for r in days["profile"].collect()) == [(8, "R", 2), (9, "R", 1)]
