@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fairline.bindings.aggregates import PAIR_DAY, PROFILE, SIMILAR, pair_days, profile
 from fairline.bindings.frames import BOARD, EV_DAY, LI, ev_day, li, odds_board
 from fairline.bindings.registry import query, table
+from fairline.functions.durable import materialise
 from fairline.operators import aggregate as A
 from fairline.operators import join as J
 
@@ -103,9 +104,11 @@ SELECT h.ent, h.opp, h.day, h.pa AS vs_similar_hand_pa, h.hr AS vs_similar_hand_
   v.pa AS vs_similar_velocity_pa, v.hr AS vs_similar_velocity_hr, v.hr / greatest(v.pa, 1) AS vs_similar_velocity_hr_rate
 FROM s_hand h JOIN s_velocity v ON h.ent = v.ent AND h.opp = v.opp AND h.day = v.day""")
 def _(spark, sf):
-    rows = li(spark, sf)
+    # the joined lines are read three times, so they are written once
+    rows = materialise(li(spark, sf).select("ent", "cust", "opp", "day", "speed", "hand", "kind", "att", "hit", "x", "price"))
     month_end = rows.select("ent", (F.col("cust") % 25).alias("opp"), F.last_day("day").alias("day")).distinct()
-    return J.similar_group_history(month_end, pair_days(spark, sf), profile(rows), "ent", "opp", "day")
+    pairs = A.pair_day_agg(rows, "ent", "opp", "day", "att", "hit", "x", "price")
+    return J.similar_group_history(month_end, pairs, profile(rows), "ent", "opp", "day")
 
 
 def _cut_sql(label: str, group: str) -> str:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import day_number, one_row
-from fairline.functions.durable import materialise
 from fairline.functions.windows import all_before
 from fairline.operators.clean import standardise_name
 
@@ -97,30 +96,30 @@ def similar_group_history(
 ) -> DataFrame:
     """Earlier attempts and hits against *other* opponents of the same hand and of the same speed tier.
 
-    A pair counts for three groups: its own, the hand and the tier. Both sides are exploded once and met by one look-up.
+    Games and pair days are stacked and shuffled once, by the entity; three range frames that end one day back give the
+    totals of the opponent, the hand and the tier. Game columns ride along, so nothing is exploded or joined back. What
+    one task holds of an entity is bounded by its opponents and the calendar, and sorts and frames spill.
+    ``profiles`` has one row per opponent.
     """
     shape = profiles.select(opponent, "handedness", "velocity_tier")
-    values = {"own": F.col(opponent).cast("string"), "hand": F.col("handedness"), "velocity": F.col("velocity_tier")}
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()]))
-
-    def spread(df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(entity, day, *keep, kinds.alias("_g")).select(entity, day, *keep, "_g.*").where("value is not null")
-
-    known = spread(pairs.join(shape, opponent), "pa", "hr")
-    rows = materialise(games.join(shape, opponent, "left"))
-    asked = spread(rows.select(entity, opponent, day, "handedness", "velocity_tier").distinct(), opponent)
-    totals = totals_before(asked, known, [entity, "kind", "value"], day, {"g_pa": "pa", "g_hr": "hr"})
-
-    def of(kind: str, column: str):
-        return F.max(F.when(F.col("kind") == kind, F.col(column)))
-
-    found = asked.join(totals, [entity, "kind", "value", day]).groupBy(entity, opponent, day).agg(
-        *[of(k, f"g_{m}").alias(f"_{k}_{m}") for k in values for m in ("pa", "hr")])
+    groups = {"own": opponent, "hand": "handedness", "velocity": "velocity_tier"}
+    keys = [F.col(c).alias(f"_{k}") for k, c in groups.items()]
+    facts = pairs.join(shape, opponent).select(F.col(entity).alias("_entity"), *keys, day_number(day).alias("_dn"), "pa", "hr")
+    asked = games.join(shape, opponent, "left").select(
+        F.col(entity).alias("_entity"), *keys, day_number(day).alias("_dn"), F.struct(*games.columns).alias("_game"))
+    stacked = facts.unionByName(asked, allowMissingColumns=True).repartition("_entity")
+
+    def before(kind: str, measure: str):
+        frame = Window.partitionBy("_entity", f"_{kind}").orderBy("_dn").rangeBetween(Window.unboundedPreceding, -1)
+        known = F.col("_entity").isNotNull() & F.col(f"_{kind}").isNotNull() & F.col("_dn").isNotNull()
+        return F.when(known, F.coalesce(F.sum(measure).over(frame), F.lit(0)))
+
+    found = stacked.select("_game", *[before(k, m).alias(f"_{k}_{m}") for k in groups for m in ("pa", "hr")]).where("_game is not null")
     terms = {}
     for label in ("hand", "velocity"):
         pa, hr = (F.coalesce(F.col(f"_{label}_{m}") - F.col(f"_own_{m}"), F.lit(0)) for m in ("pa", "hr"))
         terms |= {f"vs_similar_{label}_pa": pa, f"vs_similar_{label}_hr": hr, f"vs_similar_{label}_hr_rate": hr / F.greatest(pa, F.lit(1))}
-    return rows.join(found, [entity, opponent, day], "left").select(*games.columns, *[c.alias(n) for n, c in terms.items()])
+    return found.select("_game.*", *[c.alias(n) for n, c in terms.items()])
 
 
 def similar_group_cutoff(

@@ -72,3 +72,46 @@ def test_imputation_rules(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, float("inf"), None), (3, float("nan"), None), (4, 3.0, None)], "id int, a double, b double")
     rows = clean.impute_median(df, exclude=("id",)).orderBy("id").collect()
     assert [r.a for r in rows] == [1.0, 2.0, 2.0, 3.0] and all(r.b == 0.0 for r in rows)
+
+
+def test_similar_history_shuffles_the_entity_once(spark):
+    """Against all earlier days one by one, with keys, days and profiles that are missing."""
+    random.seed(3)
+    days = [None, *[f"2024-04-{d:02d}" for d in range(1, 9)]]
+    pairs = [(random.choice(["a", "b", None]), random.choice([1, 2, 3, 9, None]), random.choice(days), random.randint(0, 4), random.randint(0, 2)) for _ in range(150)]
+    games = [(e, o, d) for e in ("a", "b", None) for o in (1, 2, 3, 9, None) for d in days]
+    shapes = {1: ("R", "high"), 2: ("R", None), 3: (None, "high")}
+    p = spark.createDataFrame(pairs, "ent string, opp long, day string, pa long, hr long").withColumn("day", F.to_date("day"))
+    g = spark.createDataFrame(games, "ent string, opp long, day string").withColumn("day", F.to_date("day"))
+    s = spark.createDataFrame([(o, *v) for o, v in shapes.items()], "opp long, handedness string, velocity_tier string")
+    out = join.similar_group_history(g, p, s, "ent", "opp", "day")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+    def before(e, o, d, i, m):
+        mine = shapes.get(o, (None, None))[i]
+        if e is None or d is None or mine is None:
+            return 0
+        return sum(r[m] for r in pairs if r[0] == e and r[1] in shapes and r[1] != o and shapes[r[1]][i] == mine and (r[2] is None or r[2] < d))
+
+    got = {(r.ent, r.opp, str(r.day) if r.day else None): (r.vs_similar_hand_pa, r.vs_similar_hand_hr, r.vs_similar_velocity_pa, r.vs_similar_velocity_hr) for r in out.collect()}
+    assert got == {(e, o, d): tuple(before(e, o, d, i, m) for i in (0, 1) for m in (3, 4)) for e, o, d in games}
+
+
+def test_training_prepares_rows_once_for_all_kinds(spark, monkeypatch):
+    calls, prepare = [], model.prepare_features
+    monkeypatch.setattr(model, "prepare_features", lambda features: calls.append(1) or prepare(features))
+    rows = spark.createDataFrame([(float(i % 7), None if i % 5 == 0 else float(i), int(i % 7 > 3)) for i in range(120)], "a double, b double, label int")
+    small = model.ModelSettings(forest_trees=3, forest_depth=2, boost_rounds=3, boost_depth=2)
+    models = model.train_models(rows, ["a", "b"], "label", settings=small)
+    assert len(calls) == 1 and set(models) == {"logistic", "forest", "boosted"}
+    for fitted in models.values():
+        assert model.predict(fitted, rows, ["a", "b"]).where("(probability_1 > 0.5) = (label = 1)").count() == 120
+
+
+def test_store_batches_read_written_lines(spark, monkeypatch):
+    from fairline.bindings import payloads
+    from fairline.bindings.registry import QUERIES
+    plans, upsert = [], payloads.K.upsert_matchup_tables
+    monkeypatch.setattr(payloads.K, "upsert_matchup_tables", lambda s, path, increment, *rest: plans.append(increment) or upsert(s, path, increment, *rest))
+    assert QUERIES["s10_upsert_matchup_tables"](spark, SF).count() > 0
+    assert plans and all("Join" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
