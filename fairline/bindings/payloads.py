@@ -10,7 +10,7 @@ from fairline.bindings.aggregates import PROFILE, SIMILAR, profile
 from fairline.bindings.frames import LI, li
 from fairline.bindings.joins import GAME_DAYS, WEATHER, WX_SPEC, game_days, weather
 from fairline.bindings.registry import query, table
-from fairline.functions.durable import shared_folder
+from fairline.functions.durable import materialise, shared_folder
 from fairline.operators import aggregate as A
 from fairline.sources import payload as P
 from fairline.sources import store as K
@@ -70,7 +70,7 @@ def _(spark, sf):
 @query("s3_read_weather_csv", "ent:l stadium:s date:d hr:l " + WX_SPEC, f"""
 WITH {LI}, {WEATHER}, {GAME_DAYS} SELECT ent, 'P' || stadium AS stadium, date, hr, temperature, wind_speed, wind_direction, humidity, pressure FROM gd LEFT JOIN wx USING (date, stadium)""")
 def _(spark, sf):
-    rows, path = li(spark, sf), folder(spark)
+    rows, path = store_lines(spark, sf), folder(spark)
     named = weather(rows).select("date", F.concat(F.lit("P"), "stadium").alias("stadium"), "temperature", "wind_speed", "wind_direction", "humidity", "pressure")
     named.write.option("header", True).csv(path)
     games = game_days(rows).withColumn("stadium", F.concat(F.lit("P"), "stadium"))
@@ -162,13 +162,18 @@ def _(spark, sf):
     return P.metric_feed_units(P.reduce_hourly_weather(payload, "j", ["user_id"]))
 
 
+def store_lines(spark, sf):
+    """The joined lines, written once: every batch reads them for its pairs, its profiles and its groups."""
+    return materialise(li(spark, sf).select("ent", "opp", "day", "speed", "hand", "kind", "att", "hit", "x", "price"))
+
+
 @query("s10_upsert_matchup_tables", "ent:l opp:l pa:l hr:l ev:f last_date:d", f"""
 WITH {LI} SELECT ent, opp, sum(att) AS pa, sum(hit) AS hr, avg(x) AS ev, max(day) AS last_date FROM li GROUP BY 1, 2""")
 def _(spark, sf):
-    rows, path = li(spark, sf), folder(spark)
+    rows, path = store_lines(spark, sf), folder(spark)
+    shapes = profile(rows)
     for part in ("day < DATE '1998-06-01'", "day >= DATE '1998-06-01'"):
         batch = rows.where(part)
-        shapes = profile(rows)
         K.upsert_matchup_tables(spark, path, K.matchup_increment(batch, "ent", "opp", "day", "att", "hit", "x", "price"), shapes,
                                 A.similarity_stats(batch, shapes, "ent", "opp", "att", "hit"), "ent", "opp")
     return K.read_version(spark, f"{path}/matchups").withColumn("ev", F.col("ev_sum") / F.col("ev_n"))
@@ -176,7 +181,7 @@ def _(spark, sf):
 
 @query("s10_similarity_store", "ent:l group_type:s group_value:s pa:l hr:l hr_rate:f", f"WITH {LI}, {PROFILE}, {SIMILAR} SELECT *, hr / pa AS hr_rate FROM sim")
 def _(spark, sf):
-    rows, path = li(spark, sf), folder(spark)
+    rows, path = store_lines(spark, sf), folder(spark)
     shapes = profile(rows)
     for part in ("day < DATE '1997-02-01'", "day >= DATE '1997-02-01'"):
         batch = rows.where(part)
@@ -188,7 +193,7 @@ def _(spark, sf):
 @query("s10_similarity_retraction", "ent:l group_type:s group_value:s pa:l hr:l", f"WITH {LI}, {PROFILE}, {SIMILAR} SELECT * FROM sim")
 def _(spark, sf):
     """Profiles are known better with each batch; totals follow the opponents that change their group."""
-    rows, path = li(spark, sf), folder(spark)
+    rows, path = store_lines(spark, sf), folder(spark)
     ends = ["day < DATE '1993-06-01'", "day >= DATE '1993-06-01' AND day < DATE '1997-02-01'", "day >= DATE '1997-02-01'"]
     for i, part in enumerate(ends):
         batch, seen = rows.where(part), rows.where(" OR ".join(f"({p})" for p in ends[: i + 1]))

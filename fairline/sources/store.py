@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.functions.durable import materialise
+
 # Measures of the pair table that merge by addition.
 PAIR_SUMS = ["pa", "hr", "ev_sum", "ev_n", "la_sum", "la_n", "rows"]
 
@@ -131,8 +133,9 @@ def upsert_matchup_tables(
     """The pair, profile and similarity tables and a metadata row.
 
     ``similarity`` are the batch's totals under the new profiles; what earlier batches added under profiles that have
-    changed since moves to the new groups.
+    changed since moves to the new groups. The profiles, which several of the writes read, are written once before.
     """
+    profiles = materialise(profiles)
     stored, known = read_version(spark, f"{path}/matchups"), read_version(spark, f"{path}/profiles")
     keys = [entity, "group_type", "group_value"]
     if stored is not None and known is not None:
