@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairline.functions.columns import clip, day_number, flag
 from fairline.functions.windows import START, all_before, days_through, ordered, rows_before
@@ -103,14 +104,26 @@ def bases_wide(long: DataFrame, entity: str, day: str, kind: str, kinds: list[st
 
 
 def rolling_slg_wide(wide: DataFrame, entity: str, day: str, kinds: list[str], n: int = 200) -> DataFrame:
-    """W7, wide: per category bases over at-bats of the last ``n`` entity rows, null without at-bats."""
-    frame = rows_before([entity], [day], n)
+    """W7, wide: per category bases over at-bats of the last ``n`` entity rows, null without at-bats.
 
-    def value(k: str):
-        ab = F.sum(f"ab_{k}").over(frame)
-        return F.when(ab > 0, F.sum(f"tb_{k}").over(frame) / ab).alias(f"slg_{k}")
+    Whole numbers are summed up once per entity, and the sum of ``n`` rows is a difference of two running sums, so a row
+    costs the same for any ``n``. Other types are summed row by row, as differences would round.
+    """
+    columns = [f"{m}_{k}" for k in kinds for m in ("ab", "tb")]
+    if not all(isinstance(wide.schema[c].dataType, T.IntegralType) for c in columns):
+        frame = rows_before([entity], [day], n)
+        sums = wide.select(entity, day, *[F.sum(c).over(frame).alias(c) for c in columns])
+    else:
+        upto, step = ordered([entity], [day]).rowsBetween(START, 0), ordered([entity], [day])
+        running = wide.select(entity, day, *columns, *[
+            e.over(upto).alias(f"{s}_{c}") for c in columns for s, e in (("_s", F.sum(F.coalesce(c, F.lit(0)))), ("_n", F.count(c)))])
+
+        def last_rows(name: str) -> Column:
+            return F.lag(name, 1, 0).over(step) - F.lag(name, n + 1, 0).over(step)
 
-    return wide.select(entity, day, *[value(k) for k in kinds])
+        sums = running.select(entity, day, *[last_rows(f"{s}_{c}").alias(f"{s}_{c}") for c in columns for s in ("_s", "_n")]).select(
+            entity, day, *[F.when(F.col(f"_n_{c}") > 0, F.col(f"_s_{c}")).alias(c) for c in columns])
+    return sums.select(entity, day, *[F.when(F.col(f"ab_{k}") > 0, F.col(f"tb_{k}") / F.col(f"ab_{k}")).alias(f"slg_{k}") for k in kinds])
 
 
 def rolling_slg_long(long: DataFrame, entity: str, kind: str, day: str, n: int = 200, min_rows: int = 10) -> DataFrame:

@@ -89,3 +89,18 @@ def test_names_and_bins(spark):
     assert [r.s for r in df.select(clean.standardise_name(F.col("n")).alias("s")).collect()] == ["Joe Smith", "Ann Lee", "", "b, c a"]
     edges = spark.createDataFrame([(0.0,), (60.0,), (60.5,), (120.0,), (121.0,)], "t double")
     assert [r.b for r in edges.select(clean.bin_column(F.col("t"), *clean.BINS["temperature"]).alias("b")).collect()] == [None, "cold", "cool", "hot", None]
+
+
+def test_slg_of_whole_numbers_is_two_running_sums(spark):
+    random.seed(11)
+    rows = [(e, START + dt.timedelta(days=d), *[random.choice([None, 0, 0, 1, 3]) for _ in range(2)]) for e in ("a", "b") for d in range(25)]
+    df = spark.createDataFrame(rows, "ent string, day date, tb_X bigint, ab_X bigint")
+    plain, want = rolling.rolling_slg_wide(df, "ent", "day", ["X"], 4), {}
+    for i, (e, day, *_) in enumerate(rows):
+        last = [r for r in rows[max(0, i - 4) : i] if r[0] == e]
+        tb, ab = ([r[c] for r in last if r[c] is not None] for c in (2, 3))
+        want[(e, day)] = sum(tb) / sum(ab) if tb and sum(ab) > 0 else None
+    assert {(r.ent, r.day): r.slg_X for r in plain.collect()} == want
+    doubles = rolling.rolling_slg_wide(df.selectExpr("ent", "day", "CAST(tb_X AS DOUBLE) AS tb_X", "CAST(ab_X AS DOUBLE) AS ab_X"), "ent", "day", ["X"], 4)
+    assert {(r.ent, r.day): r.slg_X for r in doubles.collect()} == want
+    assert "specifiedwindowframe(RowFrame, -4, -1)" not in plain._jdf.queryExecution().analyzed().toString()
