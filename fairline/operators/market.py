@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import clip, first_matching
@@ -142,8 +142,8 @@ def settle_bets(bets: DataFrame, results: DataFrame, key: str = "bet_id") -> Dat
 EXACT = "decimal(30,6)"
 
 
-def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: Column) -> DataFrame:
-    """First-fit over one short, ordered array per day."""
+def _folded(bets: DataFrame, day: str, order: list[str], key: str, stake: str, limit: Column) -> DataFrame:
+    """First-fit over one short, ordered array per day: ``total`` and the keys ``taken``."""
     listed = bets.groupBy(day).agg(
         F.first("_used").alias("_used"),
         F.sort_array(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col(stake).alias("_stake")))).alias("_bets"))
@@ -156,7 +156,19 @@ def _fold(bets: DataFrame, day: str, order: list[str], key: str, stake: str, lim
 
     kind = bets.schema[key].dataType.simpleString()
     start = F.struct(F.col("_used").alias("total"), F.array().cast(f"array<{kind}>").alias("taken"))
-    return listed.select(day, F.explode(F.aggregate("_bets", start, step)["taken"]).alias(key))
+    return listed.select(day, F.aggregate("_bets", start, step).alias("_end")).select(day, "_end.*")
+
+
+def _first_bets(
+    pending: DataFrame, day: str, order: list[str], key: str, stake: str, most: Column, spot: Column, fold_rows: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted ones of each day's first ``fold_rows`` bets (and ties), and the later bets that may still fit."""
+    first = Window.partitionBy(day).orderBy(*dict.fromkeys([*[c for c in order if c != day], key]))
+    head = materialise(pending.withColumn("_rank", F.rank().over(first)).where(F.col("_rank") <= fold_rows).drop("_rank"))
+    folded = materialise(_folded(head, day, order, key, stake, most))
+    ends = head.groupBy(day).agg(F.max(spot).alias("_last")).join(folded.select(day, F.col("total").cast(EXACT).alias("_now")), day)
+    later = pending.join(ends, day).where((spot > F.col("_last")) & (F.col(stake) <= most - F.col("_now")))
+    return folded.select(day, F.explode("taken").alias(key)), materialise(later.withColumn("_used", F.col("_now")).drop("_last", "_now"))
 
 
 def accept_within_limit(
@@ -172,6 +184,9 @@ def accept_within_limit(
     the smallest stake, whatever the order of tiny and large bets; bets larger than what is left go out in each. Days of
     at most ``fold_rows`` open bets finish with a fold, which gives the very same choice. ``used`` (``day``, ``used``)
     tells what earlier bets of a day have taken.
+
+    Every pass begins with a fold of each day's first ``fold_rows`` open bets. Where stakes aren't tiny that already
+    fills the day, and the distributed pass sees only the bets that fit in the little that is left.
     """
     keys = [day, *[c for c in order if c != day], key, stake]
     most = F.lit(limit).cast(EXACT)
@@ -183,12 +198,18 @@ def accept_within_limit(
         pending = pending.withColumn("_used", F.coalesce("_used", F.lit(0).cast(EXACT)))
     pending = pending.where(F.col(stake) <= most - F.col("_used"))
     taken = []
-    while True:
-        largest = pending.groupBy(day).count().agg(F.max("count")).first()[0] or 0
-        if largest <= fold_rows:
-            taken.append(_fold(pending, day, order, key, stake, most))
+    spot = F.struct(*dict.fromkeys([*[c for c in order if c != day], key]))
+    pending = materialise(pending)
+
+    def longest() -> int:
+        return pending.groupBy(day).count().agg(F.max("count")).first()[0] or 0
+
+    while longest() > fold_rows:
+        head, pending = _first_bets(pending, day, order, key, stake, most, spot, fold_rows)
+        taken.append(head)
+        if longest() <= fold_rows:
             break
-        left, spot = most - F.col("_used"), F.struct(*dict.fromkeys([*[c for c in order if c != day], key]))
+        left = most - F.col("_used")
         small = F.col(stake) * 2 <= left
         summed = materialise(running_totals(
             pending.withColumn("_small", F.when(small, F.col(stake)).otherwise(F.lit(0)).cast(EXACT)), [day], [*order, key], ["_small"]))
@@ -203,8 +224,8 @@ def accept_within_limit(
         now = placed.groupBy(day).agg((F.first("_used") + F.sum(F.when(wins, F.col(stake)).otherwise(F.lit(0).cast(EXACT)))).cast(EXACT).alias("_now"))
         rest = placed.where(~F.col("_ahead") & ~(large & F.col("_here"))).join(now, day).where(F.col(stake) <= most - F.col("_now"))
         pending = materialise(rest.select(*dict.fromkeys(keys), F.col("_now").alias("_used")))
-    accepted = taken[0]
-    for more in taken[1:]:
+    accepted = _folded(pending, day, order, key, stake, most).select(day, F.explode("taken").alias(key))
+    for more in taken:
         accepted = accepted.unionByName(more)
     return bets.join(accepted.withColumn("accepted", F.lit(1)), [day, key], "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(0)))

@@ -1,10 +1,12 @@
 """Pricing on literal quotes, first-fit acceptance and sizing against plain loops."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from fairline.functions.ordering import running_totals
 from fairline.operators import market as B
 
 
@@ -98,3 +100,18 @@ def test_passes_grow_with_the_logarithm(spark, monkeypatch, kind):
     df = spark.createDataFrame(bets, "key bigint, stake double").withColumn("day", F.lit("2024-01-01").cast("date"))
     got = {r.key for r in B.accept_within_limit(df, "day", ["key"], "key", "stake", limit, fold_rows=100).where("accepted = 1").collect()}
     assert got == first_fit(bets, limit) and 0 < len(passes) <= 22
+
+
+def test_a_full_day_needs_no_halving(spark, monkeypatch):
+    """Stakes that aren't tiny fill a day within its first bets; the rest is looked at once."""
+    calls = []
+    monkeypatch.setattr(B, "running_totals", lambda *a, **k: calls.append(1) or running_totals(*a, **k))
+    rows = [(k, dt.date(2024, 4, 1), float((k * 37) % 97 + 3)) for k in range(3000)]
+    left, want = 2000.0, set()
+    for k, _, stake in rows:
+        if stake <= left:
+            left, want = left - stake, want | {k}
+    df = spark.createDataFrame(rows, "key long, day date, stake double")
+    got = B.accept_within_limit(df, "day", ["key"], "key", "stake", 2000.0, fold_rows=100)
+    assert {r.key for r in got.where("accepted = 1").collect()} == want
+    assert not calls
