@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same bytes by galloping intersection of their token ends.
 
-Both token lists of a text are turned into lists of byte offsets where tokens end. Every end of the shorter list is
-looked up in the longer one by galloping: steps that double from the place of an end some way before it, then a binary
-search inside the last step. Offsets where both end cut the lists into groups; differences of their ranks say which
-tokens share a group. Corpus-wide pair counts are taken a chunk of texts at a time: a chunk sends each of its id pairs
+Texts are cut into units at spaces where both tokenizers start a token, and a unit is encoded and aligned once: both
+token lists are turned into lists of byte offsets where tokens end. Every end of the shorter list is looked up in the
+longer one by galloping: steps that double from the place of an end some way before it, then a binary search inside the
+last step. Offsets where both end cut the lists into groups; differences of their ranks say which tokens share a group. Corpus-wide pair counts are taken a chunk of texts at a time: a chunk sends each of its id pairs
 once, with the number of its texts that hold it, and gets back one table of counts for all its texts.
 """
 
@@ -29,6 +29,8 @@ from fairline.functions.durable import materialise
 CHUNK = 1 << 19
 #: Units that a worker remembers before it forgets all, and units encoded at once.
 REMEMBERED, TOGETHER = 150_000, 2048
+#: Units that are encoded as one run, split again at their ends; a unit of more characters is encoded alone.
+RUN, LONG = 32, 256
 #: Every so manieth end of the shorter list starts the gallop of those after it.
 STRIDE = 64
 #: Links of a group above which its ids are counted first.
@@ -38,6 +40,8 @@ LARGE = 1 << 12
 # tokenizers start a token there whatever surrounds it.
 _LOOSE = "\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯▁　﻿"
 _UNIT_EDGE = re.compile(f"(?<=[^{_LOOSE}]) (?=[^{_LOOSE}])")
+#: Units that keep their edges when they are joined by single spaces.
+_TIGHT = re.compile(f"[^{_LOOSE}](?:.*[^{_LOOSE}])?", re.DOTALL)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -83,10 +87,16 @@ class PieceTokens:
 
 
 class Encoder:
-    """Token ids of texts by both tokenizers; units between safe spaces are encoded once and remembered."""
+    """Units between safe spaces, encoded and aligned once by both tokenizers and remembered."""
 
     def __init__(self, first: str, second: str):
         self.tokens = ByteTokens(first), PieceTokens(second)
+        self.lengths = [np.array([len(t) for t in tokens.bytes], dtype=np.int64) for tokens in self.tokens]
+        sizes = [len(tokens.bytes) for tokens in self.tokens]
+        self.size, self.most = sizes[1], sizes[0] * sizes[1]
+        plain = [str(i) for i in range(max(sizes))]
+        self.spelled = [sign + t for sign in (";", ",", "|") for t in plain]
+        self.shift = len(plain)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,26 +104,98 @@ class Encoder:
         self.flat = [np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)]
         self.begin = [np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)]
         self.same = np.zeros(0, dtype=bool)
+        # of each unit: its groups and links, the groups written, its distinct linked id pairs and how often they are linked
+        self.n_groups, self.n_links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.written: list[str] = []
+        self.pair_begin, self.pair, self.times = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, units: list[str]) -> None:
-        flat, sizes, same = ([], []), ([], []), []
+    def _alone(self, units: list[str]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+        """(ids, their numbers, whether both spell the unit) of units that are encoded one by one."""
         for i in range(0, len(units), TOGETHER):
             part = units[i : i + TOGETHER]
             encoded = [t.encode(part) for t in self.tokens]
             spelled = [[b"".join(map(t.bytes.__getitem__, ids)) for ids in e] for t, e in zip(self.tokens, encoded)]
-            same += [a == b == (" " + u).encode() for u, a, b in zip(part, *spelled)]
-            for k, e in enumerate(encoded):
-                sizes[k].append(np.fromiter(map(len, e), dtype=np.int64, count=len(e)))
-                flat[k].append(np.fromiter(chain.from_iterable(e), dtype=np.int32, count=int(sizes[k][-1].sum())))
-        for k in (0, 1):
-            self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum(np.concatenate(sizes[k]))])
-            self.flat[k] = np.concatenate([self.flat[k], *flat[k]])
-        self.same = np.concatenate([self.same, np.array(same, dtype=bool)])
-        self.place.update(zip(units, range(len(self.place), len(self.same))))
+            same = [a == b == (" " + u).encode() for u, a, b in zip(part, *spelled)]
+            encoded = [[ids if s else [] for ids, s in zip(e, same)] for e in encoded]  # a text with other bytes has no tokens
+            sizes = [np.fromiter(map(len, e), dtype=np.int64, count=len(e)) for e in encoded]
+            yield [_flat(e, int(n.sum())) for e, n in zip(encoded, sizes)], sizes, np.array(same, dtype=bool)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For both tokenizers (ids of all texts in a row, number of each text); no ids if bytes differ from a space and the text."""
-        if len(self.place) > REMEMBERED or max(map(len, self.flat)) > 8 * REMEMBERED:
+    def _joined(self, units: list[str], apart: list[str]) -> Iterator[tuple[list[str], list[np.ndarray], list[np.ndarray]]]:
+        """(units, ids, their numbers) of units that are encoded as runs of ``RUN``; units of runs with other bytes go ``apart``."""
+        for i in range(0, len(units), TOGETHER):
+            runs = [units[j : j + RUN] for j in range(i, min(i + TOGETHER, len(units)), RUN)]
+            texts = [" ".join(run) for run in runs]
+            encoded = [t.encode(texts) for t in self.tokens]
+            spelled = [[b"".join(map(t.bytes.__getitem__, ids)) for ids in e] for t, e in zip(self.tokens, encoded)]
+            good = [a == b == (" " + text).encode() for text, a, b in zip(texts, *spelled)]
+            apart += chain.from_iterable(run for run, g in zip(runs, good) if not g)
+            part = [*chain.from_iterable(run for run, g in zip(runs, good) if g)]
+            if not part:
+                continue
+            until = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in part), dtype=np.int64, count=len(part)))
+            flat, sizes = [], []
+            for e, lengths in zip(encoded, self.lengths):
+                flat.append(_flat([ids for ids, g in zip(e, good) if g], sum(len(ids) for ids, g in zip(e, good) if g)))
+                ends = np.cumsum(lengths[flat[-1]])
+                at = np.searchsorted(ends, until)
+                if not (ends[at] == until).all():  # a token that reaches over the end of a unit
+                    break
+                sizes.append(np.diff(at + 1, prepend=0))
+            if len(sizes) == len(self.tokens):
+                yield part, flat, sizes
+            else:
+                apart += part
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode units, find the groups of each by one gallop for all, and remember what a text needs of them."""
+        joinable, apart = [], []
+        for u in units:
+            (joinable if len(u) <= LONG and _TIGHT.fullmatch(u) else apart).append(u)
+        learnt, flats, sizes, same = [], [], [], []
+        for part, flat, many in self._joined(joinable, apart):
+            learnt += part
+            flats.append(flat)
+            sizes.append(many)
+            same.append(np.ones(len(part), dtype=bool))
+        for flat, many, spelled in self._alone(apart):
+            flats.append(flat)
+            sizes.append(many)
+            same.append(spelled)
+        learnt += apart
+        a, b = (np.concatenate(x) for x in zip(*flats))
+        n_a, n_b = (np.concatenate(x) for x in zip(*sizes))
+        # the units' tokens lie one after the other: every unit's end is a common end
+        cut = a0, a1, b0, b1 = groups(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
+        owner = np.searchsorted(np.cumsum(n_a), a0, side="right")
+        unit, pair, times = _codes(a.astype(np.int64), b.astype(np.int64), cut, owner, self.size, self.most)
+        many = len(learnt)
+        for k, (ids, n) in enumerate(((a, n_a), (b, n_b))):
+            self.flat[k] = np.concatenate([self.flat[k], ids])
+            self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum(n)])
+        self.same = np.concatenate([self.same, *same])
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(owner, minlength=many)])
+        self.n_links = np.concatenate([self.n_links, _sums((a1 - a0) * (b1 - b0), owner, many)])
+        self.pair_begin = np.concatenate([self.pair_begin, self.pair_begin[-1] + np.cumsum(np.bincount(unit, minlength=many))])
+        self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
+        self.written += self._written(a, b, cut, n_a, n_b)
+        self.place.update(zip(learnt, range(len(self.place), len(self.same))))
+
+    def _written(self, a: np.ndarray, b: np.ndarray, cut: tuple[np.ndarray, ...], n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each unit."""
+        a0, a1, b0, b1 = cut
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        # an A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its group too
+        sign_a, sign_b = np.full(len(a), self.shift), np.full(len(b), self.shift)
+        sign_a[a0], sign_b[b0] = 0, 2 * self.shift
+        out[np.arange(len(a)) + np.repeat(b0, a1 - a0)] = a + sign_a
+        out[np.arange(len(b)) + np.repeat(a1, b1 - b0)] = b + sign_b
+        ends = np.cumsum(n_a + n_b)
+        spelled = [*map(self.spelled.__getitem__, out.tolist())]
+        return ["".join(spelled[i:j])[1:] for i, j in zip((ends - n_a - n_b).tolist(), ends.tolist())]
+
+    def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each unit, its text); texts that are not spelled by both lists of tokens have none."""
+        if len(self.place) > REMEMBERED or max(len(self.pair), *map(len, self.flat)) > 8 * REMEMBERED:
             self._forget()
         units = [_UNIT_EDGE.split(t) if t else [] for t in texts]
         if new := [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.place]:
@@ -122,15 +204,27 @@ class Encoder:
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)
         bad = np.bincount(owner[~self.same[at]], minlength=len(texts)) > 0
-        at, owner = at[~bad[owner]], owner[~bad[owner]]
+        return at[~bad[owner]], owner[~bad[owner]]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both tokenizers (ids of all texts in a row, number of each text); no ids if bytes differ from a space and the text."""
+        at, owner = self.units(texts)
         out = []
         for flat, begin in zip(self.flat, self.begin):
             many = begin[at + 1] - begin[at]
-            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out.append((flat[np.repeat(begin[at], many) + inside].astype(np.int64), _sums(many, owner, len(texts))))
+            out.append((flat[_inside(begin[at], many)].astype(np.int64), _sums(many, owner, len(texts))))
         return out
 
 
+def _flat(ids: list[list[int]], many: int) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=many)
+
+
+def _inside(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places ``begin``, ``begin`` + 1, ... of every run of ``many``, one run after the other."""
+    return np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
+
+
 @lru_cache(maxsize=1)
 def encoder(first: str, second: str) -> Encoder:
     """One of a worker's process, so that its memory serves one task after the other."""
@@ -198,14 +292,16 @@ def _codes(a: np.ndarray, b: np.ndarray, cut: tuple[np.ndarray, ...], owner: np.
         times.append((m[:, None] * n).ravel())
         texts.append(np.full(len(pairs[-1]), owner[g]))
     text, pair, times = np.concatenate(texts), np.concatenate(pairs), np.concatenate(times)
-    key = text * most + pair
+    return _added(text * most + pair, times, most)
+
+
+def _added(key: np.ndarray, times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair, times) of distinct keys, a key being a text's number times ``most`` plus a pair."""
     if (times == 1).all():
         key, times = np.unique(key, return_counts=True)
     else:
         key, at = np.unique(key, return_inverse=True)
-        summed = np.zeros(len(key), dtype=np.int64)
-        np.add.at(summed, at, times)
-        times = summed
+        times = _sums(times, at, len(key))
     return key // most, key % most, times
 
 
@@ -216,46 +312,32 @@ def _sums(values: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
 
 
 class Chunk:
-    """Texts that are aligned together: their ends lie one after the other, so one gallop serves all."""
+    """Texts whose links are counted together, from the units that their encoder has aligned."""
 
     def __init__(self, encoder: Encoder, keep_groups: bool):
         self.encoder, self.keep_groups = encoder, keep_groups
-        self.lengths = [np.array([len(t) for t in tokens.bytes], dtype=np.int64) for tokens in encoder.tokens]
-        sizes = [len(tokens.bytes) for tokens in encoder.tokens]
-        self.size, self.most = sizes[1], sizes[0] * sizes[1]
-        plain = [str(i) for i in range(max(sizes))]
-        self.spelled = [sign + t for sign in (";", ",", "|") for t in plain]
-        self.shift = len(plain)
 
     def row(self, ids: list, texts: list[str | None]) -> dict:
-        (a, n_a), (b, n_b) = self.encoder.encode(texts)
-        cut = a0, a1, b0, b1 = groups(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
-        owner = np.searchsorted(np.cumsum(n_a), a0, side="right")
-        links = (a1 - a0) * (b1 - b0)
+        known = self.encoder
+        at, owner = known.units(texts)
         many = len(ids)
-        text, pair, times = _codes(a, b, cut, owner, self.size, self.most)
-        pairs, at, in_texts = np.unique(pair, return_inverse=True, return_counts=True)
-        written = self._written(a, b, cut, n_a, n_b)
+        n_a, n_b = (_sums(begin[at + 1] - begin[at], owner, many) for begin in known.begin)
+        # a pair of a unit as often as the unit stands in the text
+        links = known.pair_begin[at + 1] - known.pair_begin[at]
+        found = _inside(known.pair_begin[at], links)
+        text, pair, times = _added(np.repeat(owner, links) * known.most + known.pair[found], known.times[found], known.most)
+        pairs, place, in_texts = np.unique(pair, return_inverse=True, return_counts=True)
+        spelled = [*map(known.written.__getitem__, at.tolist())]
+        ends = np.cumsum(np.bincount(owner, minlength=many)).tolist()
+        written = [";".join(spelled[i:j]).encode() for i, j in zip([0, *ends], ends)]
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        out = {
-            "ids": ids, "n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": np.bincount(owner, minlength=many).tolist(), "n_links": _sums(links, owner, many).tolist(),
+        return {
+            "ids": ids, "n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": _sums(known.n_groups[at], owner, many).tolist(),
+            "n_links": _sums(known.n_links[at], owner, many).tolist(),
             "sha": [hashlib.sha256(w).hexdigest() if w else "" for w in written], "groups": [w.decode() for w in written] if self.keep_groups else None,
             "pairs": pairs, "in_texts": in_texts, "sizes": np.bincount(text, minlength=many).tolist(),
-            "at": squeeze(at.astype(np.int32).tobytes()), "times": squeeze(times.tobytes()),
+            "at": squeeze(place.astype(np.int32).tobytes()), "times": squeeze(times.tobytes()),
         }
-        return out
-
-    def _written(self, a: np.ndarray, b: np.ndarray, cut: tuple[np.ndarray, ...], n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of each text."""
-        a0, a1, b0, b1 = cut
-        out = np.empty(len(a) + len(b), dtype=np.int64)
-        # an A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its group too
-        sign_a, sign_b = np.full(len(a), self.shift), np.full(len(b), self.shift)
-        sign_a[a0], sign_b[b0] = 0, 2 * self.shift
-        out[np.arange(len(a)) + np.repeat(b0, a1 - a0)] = a + sign_a
-        out[np.arange(len(b)) + np.repeat(a1, b1 - b0)] = b + sign_b
-        ends = np.cumsum(n_a + n_b)
-        return ["".join(map(self.spelled.__getitem__, out[i:j].tolist()))[1:].encode() for i, j in zip(ends - n_a - n_b, ends)]
 
 
 _COUNTED = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, groups array<string>"

@@ -154,3 +154,20 @@ def test_a_long_text(spark, whole):
     for r, (_, text) in zip(sorted(got), rows):
         a, b = whole.tokens(text)
         assert (r["n_a"], r["n_b"]) == (len(a), len(b))
+
+
+def test_units_are_encoded_in_runs_and_aligned_once(whole, monkeypatch):
+    encoder, given_texts, ends = Encoder(A_PATH, B_PATH), [], []
+    for tokens in encoder.tokens:
+        monkeypatch.setattr(tokens, "encode", lambda units, f=tokens.encode: given_texts.append(len(units)) or f(units))
+    monkeypatch.setattr(alignment, "gallop", lambda short, long, f=alignment.gallop: ends.append(len(short)) or f(short, long))
+    words = [f"word{k}x" for k in range(3200)]
+    texts = [" ".join(words), " ".join(reversed(words)), "ﬁne ½ " + words[0], "  " + words[1] + " ", None]
+    chunk = alignment.Chunk(encoder, True)
+    first = chunk.row(list(range(5)), texts)
+    assert sum(given_texts) <= 2 * (3200 // 32 + 20)  # before: 6400, a text for each unit
+    once = sum(ends)
+    assert chunk.row(list(range(5)), texts) | {"pairs": 0, "in_texts": 0} == first | {"pairs": 0, "in_texts": 0}
+    assert sum(ends) == once  # known units aren't searched again
+    want = [whole.tokens(t) for t in texts]
+    assert (first["n_a"], first["n_b"]) == ([len(a) for a, _ in want], [len(b) for _, b in want])
