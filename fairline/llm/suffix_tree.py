@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ PENALTY = 2.0
 END = 10
 #: Words of one chunk of texts, whose words are counted together before the shuffle.
 CHUNK_WORDS = 4_000_000
-SEGMENT = 1 << 20
+#: Symbols that are counted or scored at once; distinct windows held between merges; rows sent at once; texts taken at once.
+SEGMENT, HELD, SENT, TAKEN = 1 << 18, 1_000_000, 20_000, 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -53,6 +56,13 @@ def _segments(texts: Iterator[str | None]) -> Iterator[tuple[list[int], bytes]]:
         yield starts, b"".join(parts)
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Columns of ``TAKEN`` rows as Python values; a whole batch of texts is never turned into them at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, TAKEN):
+            yield [c.to_pylist() for c in batch.slice(i, TAKEN).columns]
+
+
 def _positions(starts: list[int], length: int) -> np.ndarray:
     """Which places are symbols to predict (not the end symbols before a text)."""
     inside = np.ones(length, dtype=bool)
@@ -64,29 +74,35 @@ def _positions(starts: list[int], length: int) -> np.ndarray:
 def window_counts(texts: DataFrame) -> DataFrame:
     """``window`` (DEPTH context bytes and the next, packed) and ``n``, added up in each task before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> pd.DataFrame:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             codes = np.concatenate([c for c, _ in held])
             order = np.argsort(codes, kind="stable")
             codes, n = codes[order], np.concatenate([x for _, x in held])[order]
             first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             held.clear()
-            return pd.DataFrame({"window": codes[first], "n": np.add.reduceat(n, first)})
+            return codes[first], np.add.reduceat(n, first)
+
+        def sent(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(codes), SENT):
+                yield pa.RecordBatch.from_pydict({"window": codes[i : i + SENT], "n": n[i : i + SENT].astype(np.int64)})
 
-        for starts, data in _segments(t for batch in batches for t in batch["text"]):
+        for starts, data in _segments(t for (part,) in _taken(batches) for t in part):
             b = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
             codes = b[DEPTH:].copy()
             for k in range(1, DEPTH + 1):
                 codes += b[DEPTH - k : len(b) - k] << (8 * k)
             held.append(np.unique(codes[_positions(starts, len(b))[DEPTH:]], return_counts=True))
-            if sum(len(c) for c, _ in held) > 4_000_000:
-                yield merged()
+            if sum(len(c) for c, _ in held) > HELD:
+                held.append(merged())
+                if len(held[0][0]) > HELD // 2:
+                    yield from sent(*held.pop())
         if held:
-            yield merged()
+            yield from sent(*merged())
 
-    return texts.mapInPandas(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
 
 
 def contexts(windows: DataFrame) -> DataFrame:
@@ -167,6 +183,7 @@ _PASS = {
     "chunk": "long", "place": "int", "id": "string", "held_out": "boolean", "n_tokens": "long", "score": "double", "numbers": "binary",
     "counts": "binary", "number": "int", "word": "binary", "trained": "long",
 }
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -185,21 +202,25 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = contexts(window_counts(plain.where(~F.col("held_out")).select("text"))).collect()  # at most 1 + DEPTH / P_MIN
     tree = spark.sparkContext.broadcast(Tree(rows))
 
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, at = TaskContext.get().partitionId() << 24, 0, 0
         ids: dict[bytes, int] = {}
         trained: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def words() -> pd.DataFrame:
+        def words() -> Iterator[pa.RecordBatch]:
+            """The chunk's words, some at a time: as one frame they took more memory than all else."""
             total = np.zeros(len(ids), dtype=np.int64)
             for number, n in trained:
                 total[number] += n
-            return _filled(pd.DataFrame({"chunk": chunk, "number": np.arange(len(ids)), "word": list(ids), "trained": total}))
+            word = iter(ids)
+            for i in range(0, len(ids), SENT):
+                j = min(i + SENT, len(ids))
+                yield _filled(pd.DataFrame({"chunk": chunk, "number": np.arange(i, j), "word": list(islice(word, j - i)), "trained": total[i:j]}))
 
-        for batch in batches:
-            scores = tree.value.score(list(batch["text"]))
+        for part in _taken(batches):
+            scores = tree.value.score(part[2])
             texts = []
-            for i, (row_id, is_held_out, content) in enumerate(zip(batch["id"], batch["held_out"], batch["text"])):
+            for i, (row_id, is_held_out, content) in enumerate(zip(*part)):
                 own = Counter(tokens(content))
                 own[b""] = 1
                 number = np.fromiter((ids.setdefault(w, len(ids)) for w in own), dtype=np.int32, count=len(own))
@@ -214,14 +235,14 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     trained.append((number, n))
                 at, size = at + 1, size + n_tokens
                 if size >= CHUNK_WORDS:
-                    yield words()
+                    yield from words()
                     ids, trained = {}, []
                     chunk, size, at = chunk + 1, 0, 0
             yield _filled(pd.DataFrame(texts, columns=list(_PASS)[:8]))
         if ids:
-            yield words()
+            yield from words()
 
-    whole = materialise(plain.mapInPandas(passed, ", ".join(f"{c} {t}" for c, t in _PASS.items())))
+    whole = materialise(plain.mapInArrow(passed, ", ".join(f"{c} {t}" for c, t in _PASS.items())))
     word_rows = whole.where(F.col("word").isNotNull())
     counts = materialise(word_rows.groupBy("word").agg(F.sum("trained").alias("c")).where(F.col("c") > 0))
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -252,10 +273,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
 
-def _filled(part: pd.DataFrame) -> pd.DataFrame:
+def _filled(part: pd.DataFrame) -> pa.RecordBatch:
     """All columns of the pass, in order."""
-    kinds = {"place": "Int32", "held_out": "boolean", "n_tokens": "Int64", "score": "Float64", "number": "Int32", "trained": "Int64"}
-    for name in _PASS:
-        if name not in part:
-            part[name] = None
-    return part[list(_PASS)].astype({c: k for c, k in kinds.items() if c in part})
+    return pa.RecordBatch.from_pydict({
+        name: pa.array(part[name], _ARROW[kind], from_pandas=True) if name in part else pa.nulls(len(part), _ARROW[kind]) for name, kind in _PASS.items()
+    })

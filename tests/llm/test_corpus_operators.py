@@ -9,12 +9,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fairline.llm import near_duplicates as near
-from fairline.llm import substrings
+from fairline.llm import substrings, suffix_tree
 from fairline.llm.components import connected_components
 from fairline.llm.decontamination import contaminations, myers, normalised, pieces, rows_without_items
 from fairline.llm.near_duplicates import Bands, bands_for, near_duplicates, shingles
@@ -293,3 +294,32 @@ def test_pipeline(spark, tmp_path):
     assert taken and all(1 <= r["copies"] <= 3 for r in taken)
     result = corpus_pipeline.run(spark, sf)
     assert result.count() > 0 and set(docs.columns) <= set(result.columns)
+
+
+def test_windows_are_counted_and_sent_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(9)
+    made = ["".join(map(chr, rng.integers(97, 123, n))) for n in (0, 1, 90_000, 40_000, 30_000)] + [None]
+    monkeypatch.setattr(suffix_tree, "HELD", 40_000)
+    monkeypatch.setattr(suffix_tree, "SEGMENT", 1 << 14)
+    sent = []
+
+    class Texts:  # takes the task's function; before, all of a task's windows came as one frame
+        def mapInArrow(self, function, schema):
+            sent.extend(function(iter([pa.RecordBatch.from_pydict({"text": made})])))
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    window_counts(Texts())
+    got = Counter()
+    for batch in sent:
+        got.update(dict(zip(batch["window"].to_pylist(), batch["n"].to_pylist())))
+    want = Counter()
+    for text in made:
+        symbols = b"\n" * 4 + (text or "").encode() + b"\n"
+        want.update(int.from_bytes(symbols[i : i + 5], "big") for i in range(len(symbols) - 4))
+    assert got == want and max(b.num_rows for b in sent) <= 20_000
