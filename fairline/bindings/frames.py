@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fairline.bindings.registry import table
 from fairline.functions.columns import day_number
+from fairline.functions.parallel import dealt_out
 
 
 def ev(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,10 +43,12 @@ EV_DAY = EV + """, d AS (SELECT user_id, day, CAST(sum(att) AS BIGINT) AS att, C
   FROM ev GROUP BY user_id, day)"""
 
 
-def li(spark: SparkSession, sf: str) -> DataFrame:
+def li(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
     """lineitem with part, order, customer and supplier: entity supplier, opponent = customer nation.
 
-    Customers meet the orders first, so the lines, the largest table, are not shuffled for them.
+    Customers meet the orders first, so the lines, the largest table, are not shuffled for them. With ``parts`` no task
+    sorts more lines for a larger table: lines and orders are dealt out to that many tasks, and the lines stream past
+    hash tables of the parts (a part with many lines can still be split).
     """
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", F.col("l_suppkey").alias("ent"), F.to_date("l_shipdate").alias("day"),
@@ -53,14 +56,17 @@ def li(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_extendedprice").alias("price"), (F.col("l_discount") >= 0.08).cast("int").alias("hit"),
         (F.col("l_linestatus") == "F").cast("int").alias("att"),
     )
-    parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), F.col("p_size").alias("speed"))
+    kinds = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"), F.col("p_size").alias("speed"))
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
     customers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("opp"))
     owners = orders.join(customers, F.col("cust") == F.col("c_custkey"))
     suppliers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("park"))
+    if parts is not None:
+        kinds = kinds.hint("shuffle_hash")
+    described = lines.join(kinds, F.col("l_partkey") == F.col("p_partkey"))
     return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+        dealt_out(described, parts, "l_orderkey")
+        .join(dealt_out(owners, parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("ent") == F.col("s_suppkey"))
         .drop("p_partkey", "o_orderkey", "c_custkey", "s_suppkey")
     )

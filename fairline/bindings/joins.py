@@ -8,6 +8,7 @@ from fairline.bindings.aggregates import PAIR_DAY, PROFILE, SIMILAR, pair_days,
 from fairline.bindings.frames import BOARD, EV_DAY, LI, ev_day, li, odds_board
 from fairline.bindings.registry import query, table
 from fairline.functions.durable import materialise
+from fairline.functions.parallel import dealt_out, parts_of
 from fairline.operators import aggregate as A
 from fairline.operators import join as J
 
@@ -83,8 +84,11 @@ k AS (SELECT DISTINCT ent, day FROM g), t AS (SELECT k.ent, k.day, coalesce(sum(
   coalesce(sum(x), 0) AS x FROM k LEFT JOIN e ON e.ent = k.ent AND e.day >= k.day - 60 AND e.day < k.day GROUP BY 1, 2)
 SELECT g.*, pa, hr, x FROM g JOIN t USING (ent, day)""")
 def _(spark, sf):
-    rows = li(spark, sf)
-    return J.lookback_range_join(games(rows), rows, "ent", "day", 60, {"pa": "att", "hr": "hit", "x": "x"})
+    # the joined lines are read three times, so they are written once; the number of lines says how many tasks share them
+    parts = parts_of(table(spark, sf, "lineitem"))
+    rows = materialise(li(spark, sf, parts).select("ent", "cust", "day", "att", "hit", "x"))
+    asked = dealt_out(rows.select("ent", (F.col("cust") % 25).alias("opp"), F.date_add("day", 3).alias("day")), parts, "ent", "day").distinct()
+    return J.lookback_range_join(asked, rows, "ent", "day", 60, {"pa": "att", "hr": "hit", "x": "x"}, parts)
 
 
 SIM_COLS = " ".join(f"vs_similar_{g}_{m}" + (":f" if m == "hr_rate" else ":l")

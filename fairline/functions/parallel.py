@@ -20,3 +20,17 @@ def written_side_by_side(plans: dict[str, Callable[[], DataFrame]], threads: int
     with ThreadPoolExecutor(max_workers=threads) as pool:
         running = {name: pool.submit(inherits(write), name, build) for name, build in plans.items()}
         return {name: job.result() for name, job in running.items()}
+
+
+#: Rows that one task gets, so that its hash tables and sorts are as large for any input.
+ROWS_OF_A_TASK = 250_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """Tasks for ``df``, a stored table, by its number of rows."""
+    return -(-df.count() // ROWS_OF_A_TASK) or 1
+
+
+def dealt_out(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` by hash of ``keys`` over ``parts`` tasks; adaptive execution doesn't join them to larger ones. None: as it is."""
+    return df if parts is None else df.repartition(parts, *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.functions.columns import day_number, one_row
+from fairline.functions.parallel import dealt_out
 from fairline.functions.windows import all_before
 from fairline.operators.clean import standardise_name
 
@@ -67,15 +68,19 @@ def asof_join(
 
 def totals_before(
     games: DataFrame, facts: DataFrame, keys: list[str], day: str, sums: dict[str, str], days: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Per (keys, day) of ``games``: totals of earlier days, all of them or the last ``days``.
 
     Facts and games collapse to one row per (keys, day) before the window, so
-    its partitions are bounded by the calendar.
+    its partitions are bounded by the calendar. ``parts`` is the number of tasks
+    to deal them out to (see ``dealt_out``).
     """
     zero = games.select(*keys, day, *[F.lit(0).alias(n) for n in sums])
     stacked = facts.select(*keys, day, *[F.col(c).alias(n) for n, c in sums.items()]).unionByName(zero)
+    stacked = dealt_out(stacked, parts, *keys, day)
     daily = stacked.groupBy(*keys, day).agg(*[F.sum(n).alias(n) for n in sums]).withColumn("_dn", day_number(day))
+    daily = dealt_out(daily, parts, *keys)
     if days is None:
         frame = all_before(keys, ["_dn"])
     else:
@@ -84,11 +89,11 @@ def totals_before(
 
 
 def lookback_range_join(
-    games: DataFrame, events: DataFrame, entity: str, day: str, days: int, sums: dict[str, str],
+    games: DataFrame, events: DataFrame, entity: str, day: str, days: int, sums: dict[str, str], parts: int | None = None,
 ) -> DataFrame:
     """Totals of the entity's events in ``[d - days, d)`` for every game."""
-    totals = totals_before(games, events, [entity], day, sums, days)
-    return games.join(totals, [entity, day], "left")
+    totals = totals_before(games, events, [entity], day, sums, days, parts)
+    return dealt_out(games, parts, entity, day).join(dealt_out(totals, parts, entity, day), [entity, day], "left")
 
 
 def similar_group_history(
