@@ -280,7 +280,9 @@ WITH {LI}, s AS (SELECT ent, day, avg(hit) FILTER (hand = 'A' AND att = 1) AS sl
   avg(hit) FILTER (hand = 'R' AND att = 1) AS slg_R FROM li GROUP BY 1, 2),
 g AS (SELECT ent, day, count(*) AS n FROM li GROUP BY 1, 2) SELECT g.*, slg_A, slg_R FROM g LEFT JOIN s USING (ent, day)""")
 def _(spark, sf):
-    rows = li(spark, sf)
+    # the joined lines are read twice, so they are written once; both sides are dealt out alike by (ent, day)
+    parts = parts_of(table(spark, sf, "lineitem"))
+    rows = dealt_out(materialise(li(spark, sf, parts).select("ent", "day", "hand", "att", "hit")), parts, "ent", "day")
     slg = rows.groupBy("ent", "day").agg(
         *[F.avg(F.when((F.col("hand") == k) & (F.col("att") == 1), F.col("hit"))).alias(f"slg_{k}") for k in ("A", "R")])
     return J.join_pitch_slg(rows.groupBy("ent", "day").agg(F.count(F.lit(1)).alias("n")), slg, "ent", "day")

@@ -269,5 +269,5 @@ def lookup_matchup_features(
 
 
 def join_pitch_slg(games: DataFrame, slg: DataFrame, entity: str, day: str) -> DataFrame:
-    """Wide per-category value by (entity, day)."""
+    """Wide per-category value by (entity, day); sides dealt out alike by (entity, day) are not shuffled again."""
     return games.join(slg, [entity, day], "left")

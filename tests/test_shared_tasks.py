@@ -32,7 +32,7 @@ def tables(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["j6_lookback_range_join"])
+@pytest.mark.parametrize("name", ["j6_lookback_range_join", "j16_join_pitch_slg"])
 def test_tasks_get_a_fixed_number_of_lines(spark, tables, monkeypatch, name):
     monkeypatch.setattr(parallel, "ROWS_OF_A_TASK", 300)
     df = entry.queries()[name](spark, tables)
