@@ -70,7 +70,8 @@ def _(spark, sf):
 @query("s3_read_weather_csv", "ent:l stadium:s date:d hr:l " + WX_SPEC, f"""
 WITH {LI}, {WEATHER}, {GAME_DAYS} SELECT ent, 'P' || stadium AS stadium, date, hr, temperature, wind_speed, wind_direction, humidity, pressure FROM gd LEFT JOIN wx USING (date, stadium)""")
 def _(spark, sf):
-    rows, path = store_lines(spark, sf), folder(spark)
+    # games and weather read the joined lines, so they are written once
+    rows, path = materialise(li(spark, sf).select("ent", "park", "day", "l_orderkey", "inning", "speed", "hit", "x")), folder(spark)
     named = weather(rows).select("date", F.concat(F.lit("P"), "stadium").alias("stadium"), "temperature", "wind_speed", "wind_direction", "humidity", "pressure")
     named.write.option("header", True).csv(path)
     games = game_days(rows).withColumn("stadium", F.concat(F.lit("P"), "stadium"))

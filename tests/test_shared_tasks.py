@@ -46,3 +46,13 @@ def test_tasks_get_a_fixed_number_of_lines(spark, tables, monkeypatch, name):
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     # before: joined to tasks of a size in bytes, so a task's hash tables and sorts grew with the input
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 1
+
+
+def test_weather_table_has_all_columns_it_is_made_of(spark, tables):
+    df = entry.queries()["s3_read_weather_csv"](spark, tables)  # before: an error, as the stored lines had no park, game and inning
+    got = canon([tuple(r) for r in df.collect()], df.columns)
+    con = duckdb.connect()
+    for table in ("lineitem", "part", "orders", "customer", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tables}/{table}.parquet/*.parquet')")
+    found = con.execute(entry.oracle_sql()["s3_read_weather_csv"])
+    assert got == canon(found.fetchall(), [d[0] for d in found.description]) and len(got[0]) > 100
