@@ -9,6 +9,7 @@ once, with the number of its texts that hold it, and gets back one table of coun
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -17,7 +18,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,8 +28,10 @@ from fairline.functions.durable import materialise
 
 #: UTF-8 bytes of texts taken together; a longer text is a chunk of its own.
 CHUNK = 1 << 19
-#: Units that a worker remembers before it forgets all, and units encoded at once.
-REMEMBERED, TOGETHER = 150_000, 2048
+#: Texts turned into strings at once.
+TAKEN = 256
+#: Units that a worker remembers before it forgets those that one chunk alone held, and units encoded at once.
+REMEMBERED, TOGETHER = 100_000, 2048
 #: Units that are encoded as one run, split again at their ends; a unit of more characters is encoded alone.
 RUN, LONG = 32, 256
 #: Every so manieth end of the shorter list starts the gallop of those after it.
@@ -104,11 +107,29 @@ class Encoder:
         self.flat = [np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)]
         self.begin = [np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)]
         self.same = np.zeros(0, dtype=bool)
+        self.seen = np.zeros(0, dtype=np.int64)  # chunks that held the unit
         # of each unit: its groups and links, the groups written, its distinct linked id pairs and how often they are linked
         self.n_groups, self.n_links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.written: list[str] = []
         self.pair_begin, self.pair, self.times = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _renew(self) -> None:
+        """Keep what several chunks held, the most frequent first, up to half of what may be remembered."""
+        sizes = np.maximum(np.diff(self.pair_begin), np.maximum(*map(np.diff, self.begin)))
+        kept = np.argsort(-self.seen, kind="stable")[: REMEMBERED // 2]
+        kept = np.sort(kept[(self.seen[kept] > 1) & (np.cumsum(sizes[kept]) <= 4 * REMEMBERED)])
+        units, written = [*self.place], self.written
+        self.place = {units[i]: k for k, i in enumerate(kept.tolist())}
+        self.written = [written[i] for i in kept.tolist()]
+        for k, begin in enumerate(self.begin):
+            many = np.diff(begin)[kept]
+            self.flat[k], self.begin[k] = self.flat[k][_inside(begin[kept], many)], np.r_[0, np.cumsum(many)]
+        many = np.diff(self.pair_begin)[kept]
+        found = _inside(self.pair_begin[kept], many)
+        self.pair, self.times, self.pair_begin = self.pair[found], self.times[found], np.r_[0, np.cumsum(many)]
+        self.same, self.n_groups, self.n_links = self.same[kept], self.n_groups[kept], self.n_links[kept]
+        self.seen = np.ones(len(kept), dtype=np.int64)
+
     def _alone(self, units: list[str]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
         """(ids, their numbers, whether both spell the unit) of units that are encoded one by one."""
         for i in range(0, len(units), TOGETHER):
@@ -173,6 +194,7 @@ class Encoder:
             self.flat[k] = np.concatenate([self.flat[k], ids])
             self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum(n)])
         self.same = np.concatenate([self.same, *same])
+        self.seen = np.concatenate([self.seen, np.zeros(many, dtype=np.int64)])
         self.n_groups = np.concatenate([self.n_groups, np.bincount(owner, minlength=many)])
         self.n_links = np.concatenate([self.n_links, _sums((a1 - a0) * (b1 - b0), owner, many)])
         self.pair_begin = np.concatenate([self.pair_begin, self.pair_begin[-1] + np.cumsum(np.bincount(unit, minlength=many))])
@@ -196,12 +218,15 @@ class Encoder:
     def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(place of each unit, its text); texts that are not spelled by both lists of tokens have none."""
         if len(self.place) > REMEMBERED or max(len(self.pair), *map(len, self.flat)) > 8 * REMEMBERED:
-            self._forget()
+            self._renew()
         units = [_UNIT_EDGE.split(t) if t else [] for t in texts]
         if new := [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in self.place]:
             self._learn(new)
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(sizes.sum()))
+        held = np.zeros(len(self.same), dtype=bool)
+        held[at] = True
+        self.seen += held
         owner = np.repeat(np.arange(len(texts)), sizes)
         bad = np.bincount(owner[~self.same[at]], minlength=len(texts)) > 0
         return at[~bad[owner]], owner[~bad[owner]]
@@ -231,6 +256,12 @@ def encoder(first: str, second: str) -> Encoder:
     return Encoder(first, second)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can; it otherwise keeps what lies between live objects."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """Places in ``long`` of the first values not below those of ``short`` (both ascend); all gallops step side by side."""
     at = np.zeros(len(short), dtype=np.int64)
@@ -340,46 +371,64 @@ class Chunk:
         }
 
 
-_COUNTED = "n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, groups array<string>"
+#: Rows of chunks, but for their ids, which travel as text.
+_CHUNK = {
+    "chunk": "long", "ids": "array<string>", "n_a": "array<long>", "n_b": "array<long>", "n_groups": "array<long>", "n_links": "array<long>", "sha": "array<string>",
+    "groups": "array<string>", "pairs": "array<long>", "in_texts": "array<long>", "sizes": "array<long>", "at": "binary", "times": "binary",
+}
+_SUMS = {"chunk": "long", "n_best": "array<long>", "count_sum": "array<long>"}
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
 
 
 def _encoded(docs: DataFrame, paths: tuple[str, str], text: str, doc_id: str, keep_groups: bool) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str | None]]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TAKEN):
+                yield from zip(*[c.to_pylist() for c in batch.slice(i, TAKEN).columns])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, number = Chunk(encoder(*paths), keep_groups), TaskContext.get().partitionId() << 36
         ids, texts, held = [], [], 0
-        for batch in batches:
-            for row_id, content in zip(batch["id"], batch["text"]):
-                if held and held + len(content or "") > CHUNK:
-                    yield pd.DataFrame([{"chunk": number, **chunks.row(ids, texts)}])
-                    ids, texts, held, number = [], [], 0, number + 1
-                ids.append(row_id)
-                texts.append(content)
-                held += len(content or "") + 64
+
+        def row() -> pa.RecordBatch:
+            found = {"chunk": number, **chunks.row(ids, texts)}
+            return pa.RecordBatch.from_arrays([pa.array([found[c]], _ARROW[t]) for c, t in _CHUNK.items()], names=[*_CHUNK])
+
+        for row_id, content in taken(batches):
+            if held and held + len(content or "") > CHUNK:
+                yield row()
+                ids, texts, held, number = [], [], 0, number + 1
+                _give_back()
+            ids.append(row_id)
+            texts.append(content)
+            held += len(content or "") + 64
         if ids:
-            yield pd.DataFrame([{"chunk": number, **chunks.row(ids, texts)}])
+            yield row()
 
     # ids travel as text, so that nulls and large numbers stay what they are
     plain = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
-    return plain.mapInPandas(
-        read, f"chunk long, ids array<string>, {_COUNTED}, pairs array<bigint>, in_texts array<bigint>, sizes array<bigint>, at binary, times binary"
-    ).withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
+    return plain.mapInArrow(read, _ddl(_CHUNK)).withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
 
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums over the links of each text, with the counts that its chunk got back."""
+def _summed(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    """Sums over the links of each text of a chunk, with the counts that the chunk got back."""
+    if encoder.cache_info().currsize:  # the worker has encoded texts before
+        encoder.cache_clear()
+        _give_back()
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        out = []
-        for chunk, sizes, at, times, found in zip(batch["chunk"], batch["sizes"], batch["at"], batch["times"], batch["found"]):
-            # sorted by pair, as the chunk numbers its pairs
-            found = sorted((f["pair"], f["n"], f["best"]) for f in (found if found is not None else ()))
-            n, best = np.array([f[1] for f in found], dtype=np.int64), np.array([f[2] for f in found], dtype=bool)
-            at, times = np.frombuffer(unpack(at), dtype=np.int32), np.frombuffer(unpack(times), dtype=np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            out.append((chunk, _sums(times * best[at], owner, len(sizes)).tolist(), _sums(times * n[at], owner, len(sizes)).tolist()))
-        yield pd.DataFrame(out, columns=["chunk", "n_best", "count_sum"])
+    sizes = np.array(chunk["sizes"][0].values, dtype=np.int64)
+    at, times = (np.frombuffer(unpack(chunk[c][0].as_py()), dtype=t) for c, t in (("at", np.int32), ("times", np.int64)))
+    order = np.argsort(found["pair"].to_numpy())  # by pair, as the chunk numbers its pairs
+    n, best = found["n"].to_numpy()[order], found["best"].to_numpy()[order]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    sums = [_sums(times * of[at], owner, len(sizes)) for of in (best, n)]
+    return pa.table([chunk["chunk"], *[pa.array([x], pa.list_(pa.int64())) for x in sums]], names=[*_SUMS])
 
 
 def align(docs: DataFrame, first: str, second: str, text: str = "text", doc_id: str = "doc_id", keep_groups: bool = False) -> DataFrame:
@@ -400,10 +449,9 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text", doc_id:
     # one row for each id of A's vocabulary
     highest = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))
     judged = counts.withColumn("a", a_id).join(F.broadcast(highest), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    found = pairs.select("chunk", "pair").join(judged, "pair").groupBy("chunk").agg(F.collect_list(F.struct("pair", "n", "best")).alias("found"))
-    summed = chunks.select("chunk", "sizes", "at", "times").join(found, "chunk", "left").mapInPandas(
-        _summed, "chunk long, n_best array<bigint>, count_sum array<bigint>"
-    )
+    # the counts of one chunk at a time are held, whatever number of chunks a task gets
+    found = pairs.select("chunk", "pair").join(judged, "pair").select(F.col("chunk").alias("of"), "pair", "n", "best").groupBy("of")
+    summed = chunks.select("chunk", "sizes", "at", "times").groupBy("chunk").cogroup(found).applyInArrow(_summed, _ddl(_SUMS))
     columns = ["ids", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "sha", *(["groups"] if keep_groups else [])]
     rows = chunks.select("chunk", *[c for c in columns if c not in ("n_best", "count_sum")]).join(summed, "chunk")
     rows = rows.select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")

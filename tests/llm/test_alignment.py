@@ -171,3 +171,26 @@ def test_units_are_encoded_in_runs_and_aligned_once(whole, monkeypatch):
     assert sum(ends) == once  # known units aren't searched again
     want = [whole.tokens(t) for t in texts]
     assert (first["n_a"], first["n_b"]) == ([len(a) for a, _ in want], [len(b) for _, b in want])
+
+
+def test_a_worker_forgets_what_one_chunk_alone_held(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 300)
+    worker = alignment.Chunk(Encoder(A_PATH, B_PATH), True)
+    often = [f"often{k}" for k in range(40)]
+    for k in range(12):
+        texts = [" ".join([*often, *[f"once{k}x{j}" for j in range(80)]]), "  " + " ".join(often[k:]), None]
+        got, want = worker.row([1, 2, 3], texts), alignment.Chunk(Encoder(A_PATH, B_PATH), True).row([1, 2, 3], texts)
+        assert all(np.array_equal(got[c], want[c]) for c in ("pairs", "in_texts")) and got | {"pairs": 0, "in_texts": 0} == want | {"pairs": 0, "in_texts": 0}
+        known = worker.encoder
+        assert len(known.place) == len(known.same) == len(known.seen) == len(known.written) <= 300 + 121
+        assert k < 1 or set(often) <= set(known.place)
+    before = len(known.place)
+    known._renew()  # before: all forgotten
+    assert len(known.place) < before and set(often) <= set(known.place) and known.pair_begin[-1] == len(known.pair) == len(known.times)
+
+
+def test_a_task_holds_the_counts_of_one_chunk(spark):
+    rows = [(k, f"some words {k} and more") for k in range(50)]
+    plan = align(spark.createDataFrame(rows, PLAIN), A_PATH, B_PATH)._jdf.queryExecution().executedPlan().toString()
+    # before: lists of all counts of many chunks at once, in the JVM and as rows in Python
+    assert "collect_list" not in plan and "InPandas" not in plan and "FlatMapCoGroupsInArrow" in plan
