@@ -1,5 +1,6 @@
 """Queries whose tasks get a fixed number of lines: plans, and results against their SQL twins on rows made here."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import canon
-from fairline.functions import parallel
+from fairline.bindings.plans import PITCHES, park_weather, stored_events
+from fairline.functions import durable, parallel
+from fairline.plans import features
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +59,25 @@ def test_weather_table_has_all_columns_it_is_made_of(spark, tables):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tables}/{table}.parquet/*.parquet')")
     found = con.execute(entry.oracle_sql()["s3_read_weather_csv"])
     assert got == canon(found.fetchall(), [d[0] for d in found.description]) and len(got[0]) > 100
+
+
+def test_feature_table_leaves_only_the_wide_table_on_disk(spark, tables):
+    events, folder, held = stored_events(spark, tables), durable.shared_folder(spark), spark.conf.get(durable._CLEANUP, None)
+    before = set(os.listdir(folder))
+    table = features.build_feature_table(events, PITCHES, park_weather(events))
+    left = [spark.read.parquet(f"{folder}/{name}").columns for name in sorted(set(os.listdir(folder)) - before)]
+    # before: also the day tables, the spine and all blocks
+    assert len(left) <= 3 and sum("roll10_pa" in columns for columns in left) == 1 and not any(set(columns) <= {*features.GAME_KEYS, "opp_starter"} for columns in left)
+    assert spark.conf.get(durable._CLEANUP, None) == held
+    assert table.df.count() == events.groupBy(*features.GAME_KEYS).count().count() > 100
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def files():
+        local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {b.name() for b in (lambda found: [found.apply(k) for k in range(found.size())])(local.getAllBlocks().toList()) if b.isShuffle()}
+
+    before = files()
+    with durable.shuffles_removed(spark):
+        assert spark.range(1000).repartition(3, "id").groupBy("id").count().count() == 1000
+    assert files() <= before
