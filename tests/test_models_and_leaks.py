@@ -115,3 +115,17 @@ def test_store_batches_read_written_lines(spark, monkeypatch):
     monkeypatch.setattr(payloads.K, "upsert_matchup_tables", lambda s, path, increment, *rest: plans.append(increment) or upsert(s, path, increment, *rest))
     assert QUERIES["s10_upsert_matchup_tables"](spark, SF).count() > 0
     assert plans and all("Join" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
+def test_ablation_prepares_rows_once(spark, monkeypatch):
+    rng, weighted = random.Random(8), []
+    made = [(rng.random(), rng.choice([1.0, 2.0, None, float("inf")]), float(k % 7), int(k % 7 + 3 * rng.random() > 5)) for k in range(600)]
+    rows = spark.createDataFrame(made, "a double, b double, c double, y int").coalesce(1)
+    train, test, settings = rows.where("a < 0.8"), rows.where("a >= 0.8"), model.ModelSettings(boost_rounds=3, boost_depth=2, boost_rate=0.3)
+    monkeypatch.setattr(model, "balanced_weights", lambda df, label, f=model.balanced_weights: weighted.append(label) or f(df, label))
+    got = model.ablation_experiments(train, test, [("first", ["a", "b"]), ("second", ["c", "missing"])], "y", settings=settings)[0].orderBy("step").collect()
+    assert weighted == ["y"]  # before: once for each experiment, as all else that prepares the rows
+    assert [(r["experiment_name"], r["feature_count"]) for r in got][:2] == [("first", 2), ("second", 3)] and got[2]["experiment_name"] == "top_features"
+    for r, columns in zip(got, (["a", "b"], ["a", "b", "c"])):
+        m = evaluate.binary_metrics(model.predict(model.train_model("boosted", train, columns, "y", settings), test, columns), "probability_1", "y").first()
+        assert [r[k] for k in model.METRICS] == pytest.approx([m[k] for k in model.METRICS])
